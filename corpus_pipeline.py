@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality_model
+from tidemark.llm import decontamination, mixing, near_duplicates, quality_model
 from tidemark.llm.common import written
 from tidemark.llm.queries import MIX, MIX_BLOCK, sharded, table
 
@@ -16,6 +16,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return near_duplicates.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in files that follow the mix of sources."""
     return mixing.interleaved(docs, MIX, MIX_BLOCK)
@@ -28,6 +38,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality),
+    ("near_duplicates", near_duplicate),
+    ("decontamination", decontaminate),
     ("mix", mix),
     ("shards", shards),
 ]

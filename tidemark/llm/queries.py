@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality_model, robust_rules, sharding, url_rules
+from tidemark.llm import decontamination, line_dedup, lm_scoring, mixing, near_duplicates, quality_model, robust_rules, sharding, substring_dedup, url_rules
 from tidemark.llm.common import shared_folder
 
 #: Parts of the mix by source; all other sources share one part.
@@ -25,6 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.judge(table(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +59,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"), MIX, MIX_BLOCK)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     listed = spark.createDataFrame(URL_LIST, "host string, path string")
@@ -59,4 +79,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_classifier, op5_sharding, op6_mixing, op9_url_filter, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lm_scoring,
+        op2_near_duplicates,
+        op3_substring_dedup,
+        op4_quality_classifier,
+        op5_sharding,
+        op6_mixing,
+        op7_line_dedup,
+        op8_decontamination,
+        op9_url_filter,
+        op10_quality_rules,
+    )
+}
