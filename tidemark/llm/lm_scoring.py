@@ -1,93 +1,215 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-The model is the corpus itself: for each order n up to `order`, a table of the n-grams with their counts over all
-texts. N-grams of order 2 and more that occur fewer than `min_count` times are left out, as is usual, so that text
-which nothing else resembles backs off. A term's score is log(count of the n-gram / count of its context) for the
-longest n-gram ending in it that the tables hold, with log(backoff) for each order that was given up; for single
-terms log(count / terms of the corpus).
-
-Tables are keyed by 64-bit hashes and so partitioned. Exploded n-grams of all texts are joined to the table of the
-highest order; those that are found add to their document's sum, the rest go on to the next order. Sums by document
-are combined before they are shuffled. Nothing is collected and no table is broadcast by hand.
+The model is the corpus itself: the counts of all n-grams up to `order`, over all texts. N-grams of order 2 and more
+that occur fewer than `min_count` times are left out, as is usual, so that text which nothing else resembles backs
+off. A term's score is log(count of the n-gram / count of its context) for the longest n-gram ending in it that is
+left, with log(backoff) for each order given up; for single terms log(count / terms of the corpus).
+
+Three steps, each of rows that Spark shuffles:
+1. Texts are taken in chunks of about CHUNK characters. Each chunk's n-grams are exploded, hashed to 64 bits and
+   counted; the different ones go, by the leading bits of their hash, to buckets: a row a chunk, order and bucket.
+   A frequent n-gram thus counts once a chunk, and no bucket is hotter than another.
+2. A bucket is a part of the count tables. It adds up the counts of its n-grams over all chunks and joins them back
+   to its rows: for each chunk, the corpus counts of the chunk's n-grams, in their order.
+3. A chunk's texts meet its counts, each term takes the longest n-gram that is left, and a document's sum is made.
+
+The number of buckets grows with the corpus, so that a bucket keeps about BUCKET n-grams; chunks do not grow.
+Chunks are made anew for step 3, from the same rows in the same order; a checksum of the texts tells if they were not.
 
 Defined cases
 - null, empty or wordless text: n_terms 0, log_score 0, mean_log null.
-- first terms of a text: the longest n-gram that fits. Long texts: whole.
-- repeated rows (same doc_id and text) are scored as one document, counted as often as they occur; each is returned.
-- null doc_id: scored like any. Empty table: no rows. Extra columns are not read.
+- first terms of a text: the longest n-gram that fits. Long texts: whole, as a chunk of their own.
+- repeated rows and null doc_id: each row counts and is scored. Empty table: no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import terms_of, written
-
-
-def _gram(n: int, back: int = 0) -> Callable[[Column, Column], Column]:
-    """Hash of the n terms that end `back` terms before term i of the lambda's array."""
-    return lambda terms, i: F.xxhash64(F.lit(n), *[F.get(terms, i - (back + k)) for k in reversed(range(n))])
-
-
-def _exploded(docs: DataFrame, order: int) -> DataFrame:
-    """id, text_hash, and g1..gN: for every term the hashes of the n-grams that end in it, null where none fits."""
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), terms_of(F.col("text")).alias("terms"))
+from tidemark.llm.common import written
 
-    def grams(_: Column, i: Column) -> Column:
-        terms = F.col("terms")
-        return F.struct(*[F.when(i >= n - 1, _gram(n)(terms, i)).alias(f"g{n}") for n in range(1, order + 1)])
+#: Characters of the texts of a chunk, one text at least.
+CHUNK = 2_000_000
+#: Different n-grams of a bucket, about.
+BUCKET = 500_000
+
+GRAMS = "bucket int, chunk long, n int, grams binary, counts binary"
+TOTALS = "chunk long, n int, bucket int, totals binary"
+TEXTS = "chunk long, check long, ids array<long>, sizes array<int>, texts binary, raw long"
+SCORES = "doc_id long, n_terms long, part double, singles long"
+
+_U = np.uint64
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers by byte planes: those that are alike compress to nothing in the shuffle."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    return rows.select("id", "text_hash", F.explode(F.transform("terms", grams)).alias("g")).select("id", "text_hash", "g.*")
 
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
-def _with_context(n: int) -> Column:
-    """gram and ctx: the n-gram that ends in each term, and the n - 1 terms before its last."""
 
-    def grams(_: Column, i: Column) -> Column:
-        terms = F.col("terms")
-        ctx = F.when(i >= n - 1, _gram(n - 1, 1)(terms, i)) if n > 1 else F.lit(None).cast("long")
-        return F.struct(F.when(i >= n - 1, _gram(n)(terms, i)).alias("gram"), ctx.alias("ctx"))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix64)."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
-    return F.transform("terms", grams)
 
-
-def count_tables(docs: DataFrame, order: int = 3, min_count: int = 2) -> list[DataFrame]:
-    """For n = 1..order: gram, n (its count), ctx (its context's hash; null for n = 1)."""
-    rows = docs.select(terms_of(F.col("text")).alias("terms"))
-    tables = []
-    for n in range(1, order + 1):
-        each = rows.select(F.explode(_with_context(n)).alias("g")).select("g.*").where("gram IS NOT NULL")
-        counts = each.groupBy("gram").agg(F.count("*").alias("n"), F.first("ctx").alias("ctx"))
-        tables.append(written(counts.where(F.col("n") >= (min_count if n > 1 else 1)), f"counts-{n}"))
-    return tables
-
-
-def log_tables(counts: list[DataFrame]) -> list[DataFrame]:
-    """For n = 1..order: gram, logp."""
-    total = counts[0].agg(F.sum("n")).first()[0] or 1
-    out = [counts[0].select("gram", F.log(F.col("n") / F.lit(total)).alias("logp"))]
-    for low, high in zip(counts, counts[1:], strict=False):
-        ctx = low.select(F.col("gram").alias("ctx"), F.col("n").alias("of"))
-        out.append(high.join(ctx, "ctx").select("gram", F.log(F.col("n") / F.col("of")).alias("logp")))
-    return out
+def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Text number and place of each term, and for n = 1..order the hash of the n terms that end there (where place >= n - 1)."""
+    split = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    sizes = np.array([len(s) for s in split], dtype=np.int64)
+    words = np.array([w for s in split for w in s], dtype=object)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    h = pd.util.hash_array(words, categorize=True).astype(_U) if len(words) else np.zeros(0, _U)
+    out = [_mixed(h)]
+    for n in range(2, order + 1):
+        before = np.concatenate([np.zeros(1, _U), out[-1][:-1]])[: len(h)]
+        out.append(_mixed(before * _U(0x9E3779B97F4A7C15) + h + _U(n)))
+    return doc, place, out
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, list[str]]]:
+    """chunk number, checksum, ids and texts; in the order of the task's rows."""
+    task, at, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+    def done() -> tuple[int, int, list, list[str]]:
+        digest = xxhash.xxh3_64()
+        for t in texts:
+            digest.update(t)
+            digest.update(b"\0")
+        return task * 2**32 + at, digest.intdigest() - 2**63, ids, texts
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                t = t or ""
+                if texts and size + len(t) > CHUNK:
+                    yield done()
+                    at, ids, texts, size = at + 1, [], [], 0
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+    if texts:
+        yield done()
+
+
+def _table(schema: str, columns: list[list]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _bucketed(x: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket of the sorted hashes `x` starts, and the end."""
+    marks = np.arange(1, 2**bits, dtype=np.uint64) << _U(64 - bits) if bits else np.zeros(0, _U)
+    return np.concatenate([[0], np.searchsorted(x, marks), [len(x)]])
+
+
+def exploded(docs: DataFrame, order: int, bits: int) -> DataFrame:
+    """Step 1: the different n-grams of each chunk with their counts, by bucket."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, _check, _ids, texts in _chunks(batches):
+            _doc, place, hashes = grams(texts, order)
+            for n, h in enumerate(hashes, 1):
+                each, counts = np.unique(h[place >= n - 1], return_counts=True)
+                at = _bucketed(each, bits)
+                there = np.flatnonzero(np.diff(at))
+                parts = [slice(at[b], at[b + 1]) for b in there]
+                steps = [_packed(np.diff(each[p], prepend=_U(0))) for p in parts]
+                yield _table(GRAMS, [there.tolist(), [chunk] * len(there), [n] * len(there), steps, [_packed(counts[p]) for p in parts]])
+
+    return docs.mapInArrow(explode, GRAMS)
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """Step 2: for each chunk's n-grams in a bucket their counts over the corpus, in the same order."""
+
+    def count(bucket: pa.Table) -> pa.Table:
+        out = []
+        for n in sorted(set(bucket.column("n").to_pylist())):
+            own = bucket.filter(pc.equal(bucket.column("n"), n))
+            each = [np.cumsum(_unpacked(b), dtype=_U) for b in own.column("grams").to_pylist()]
+            counts = np.concatenate([_unpacked(b) for b in own.column("counts").to_pylist()])
+            different, which = np.unique(np.concatenate(each), return_inverse=True)
+            totals = np.bincount(which, weights=counts, minlength=len(different))[which].astype(np.int64)
+            ends = np.cumsum([len(e) for e in each])
+            keys = zip(own.column("chunk").to_pylist(), own.column("bucket").to_pylist(), np.split(totals, ends[:-1]), strict=True)
+            out += [(c, n, b, _packed(t)) for c, b, t in keys]
+        return pa.Table.from_batches([_table(TOTALS, [list(c) for c in zip(*out, strict=True)])])
+
+    return rows.groupBy("bucket").applyInArrow(count, TOTALS)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """The chunks again, with their texts packed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, check, ids, texts in _chunks(batches):
+            each = [t.encode() for t in texts]
+            raw = b"".join(each)
+            yield _table(TEXTS, [[chunk], [check], [ids], [[len(e) for e in each]], [pa.compress(raw, "zstd", asbytes=True)], [len(raw)]])
+
+    return docs.mapInArrow(pack, TEXTS)
+
+
+def _scored(texts: list[str], totals: dict[int, np.ndarray], order: int, min_count: int, backoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: its terms, the sum of their scores without log(terms of the corpus), and how many single terms that lacks."""
+    doc, place, hashes = grams(texts, order)
+    counts = []
+    for n, h in enumerate(hashes, 1):
+        there = place >= n - 1
+        c = np.zeros(len(h))
+        c[there] = totals[n][np.unique(h[there], return_inverse=True)[1]] if there.any() else 0
+        counts.append(c)
+    score, level = np.zeros(len(doc)), np.zeros(len(doc), int)
+    for n in range(order, 0, -1):
+        found = (level == 0) & (counts[n - 1] >= (min_count if n > 1 else 1))
+        context = counts[n - 2][np.flatnonzero(found) - 1] if n > 1 else 1.0
+        score[found] = np.log(counts[n - 1][found] / context) + (order - n) * math.log(backoff)
+        level[found] = n
+    size = len(texts)
+    return np.bincount(doc, minlength=size), np.bincount(doc, weights=score, minlength=size), np.bincount(doc[level == 1], minlength=size)
 
 
 def score(docs: DataFrame, order: int = 3, min_count: int = 2, backoff: float = 0.4) -> DataFrame:
     """doc_id, n_terms, log_score (sum over the terms) and mean_log of every row of `docs`."""
-    tables = [written(t, f"logp-{k + 1}") for k, t in enumerate(log_tables(count_tables(docs, order, min_count)))]
-    rows, sums = _exploded(docs.select("doc_id", "text").distinct(), order), []
-    for n in range(order, 0, -1):
-        g = f"g{n}"
-        tried = rows.join(tables[n - 1].withColumnRenamed("gram", g), g, "left")
-        penalty = (order - n) * math.log(backoff)
-        sums.append(tried.where("logp IS NOT NULL").groupBy("id", "text_hash").agg(F.sum(F.col("logp") + penalty).alias("part"), F.count("*").alias("k")))
-        rows = tried.where("logp IS NULL").select("id", "text_hash", *[f"g{k}" for k in range(1, n)])
-    total = reduce(DataFrame.unionByName, sums).groupBy("id", "text_hash").agg(F.sum("part").alias("log_score"), F.sum("k").alias("n_terms"))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("hash"))
-    found = keyed.join(total, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")), "left")
-    return found.select("doc_id", F.coalesce("n_terms", F.lit(0)).alias("n_terms"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"), (F.col("log_score") / F.col("n_terms")).alias("mean_log"))
+    rows = docs.select("doc_id", "text")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, chars * order / 8 / BUCKET))))  # about eight characters to a different n-gram
+
+    def join(chunk: pa.Table, counts: pa.Table) -> pa.Table:
+        names, out = [f.split()[0] for f in SCORES.split(", ")], []
+        by: dict[tuple[int, int], dict[int, bytes]] = {}
+        for c, n, b, t in zip(*[counts.column(k).to_pylist() for k in ("chunk", "n", "bucket", "totals")], strict=True):
+            by.setdefault((c, n), {})[b] = t
+        for r in chunk.to_pylist():
+            raw, ends = pa.decompress(r["texts"], r["raw"], "zstd", asbytes=True), np.cumsum(r["sizes"])
+            texts = [raw[e - s : e].decode() for s, e in zip(r["sizes"], ends, strict=True)]
+            totals = {n: np.concatenate([_unpacked(t) for _, t in sorted(by.get((r["chunk"], n), {0: b""}).items())]) for n in range(1, order + 1)}
+            terms, part, singles = _scored(texts, totals, order, min_count, backoff)
+            out.append(_table(SCORES, [r["ids"], terms.tolist(), part.tolist(), singles.tolist()]))
+        schema = _table(SCORES, [[]] * len(names)).schema
+        return pa.Table.from_batches(out, schema)
+
+    totals = counted(exploded(rows, order, bits))
+    sums = written(_texts(rows).groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(join, SCORES), "lm-sums")
+    terms = sums.agg(F.sum("n_terms")).first()[0] or 1
+    log_score = F.col("part") - F.col("singles") * math.log(max(1, terms))
+    return sums.select("doc_id", "n_terms", log_score.alias("log_score"), F.when(F.col("n_terms") > 0, log_score / F.col("n_terms")).alias("mean_log"))
