@@ -311,6 +311,23 @@ def _(d):
     return prep.transform(d.mart, ("hour_ts", "city")).select(F.col("key_hour_ts").alias("hour_ts"), F.col("key_city").alias("city"), *r(*[f"z_{c}" for c in _Z], n=5))
 
 
+@query("ml_fit_once", "SELECT 'demand_lag_1h' AS feature, round(quantile_cont(demand_lag_1h, 0.5), 6) + 0.0::double AS median FROM mart")
+def _(d):
+    path = fresh(d.spark, "preparation")
+    training.fit_once(d.mart, path)
+    again = training.fit_once(d.mart.withColumn("demand_lag_1h", F.lit(9e9)), path)  # the kept one is used
+    return d.spark.createDataFrame([("demand_lag_1h", round(again.medians["demand_lag_1h"], 6))], "feature string, median double")
+
+
+@query("src_batch_fail", "SELECT 'store' AS reason, count(*) AS n FROM demand_events")
+def _(d):
+    """A table that cannot be appended to (its folder holds another type of key): all messages become dead letters."""
+    table, dead = fresh(d.spark, "raw"), fresh(d.spark, "dead")
+    d.spark.range(1).select(F.array("id").alias("event_id")).write.parquet(table)
+    streams.ingest(messages(Live(d.spark, d.dir)), "demand", table, dead, fresh(d.spark, "point")).awaitTermination()
+    return d.spark.read.parquet(dead).groupBy(F.substring_index(F.col("headers")[0]["value"].cast("string"), ":", 1).alias("reason")).agg(F.count("*").alias("n"))
+
+
 _SC = ("demand_lag_1h", "temperature_c")
 _THERE = " AND ".join(f"{c} IS NOT NULL" for c in _SC)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.paths import exists
+
 TRAINER_NUMERIC = ("event_count", "demand_lag_1h", "demand_lag_24h", "demand_lag_168h", "demand_roll_3h", "demand_roll_24h", "temperature_c", "humidity_pct", "precip_mm")
 #: The worker's list also has the target; both are kept as they are.
 WORKER_NUMERIC = ("total_demand", *TRAINER_NUMERIC)
@@ -71,6 +74,17 @@ def fit_preparation(rows: DataFrame, numeric: tuple[str, ...] = TRAINER_NUMERIC)
     return Preparation(numeric, medians, {c: second[f"m_{c}"] or 0.0 for c in numeric}, {c: second[f"s_{c}"] or 0.0 for c in numeric}, cities[0]["city"] if cities else "", tuple(sorted(r["city"] for r in cities)))
 
 
+def fit_once(rows: DataFrame, path: str, numeric: tuple[str, ...] = TRAINER_NUMERIC) -> Preparation:
+    """The preparation kept at a path; fitted on `rows` and kept there only if there is none yet."""
+    spark = rows.sparkSession
+    if not exists(spark, path):
+        prep = fit_preparation(rows, numeric)
+        kept = spark.createDataFrame([(json.dumps(asdict(prep)),)], "preparation string").coalesce(1)
+        kept.write.mode("ignore").text(path)
+    kept = json.loads(spark.read.text(path).first()[0])
+    return Preparation(tuple(kept["numeric"]), kept["medians"], kept["means"], kept["deviations"], kept["city"], tuple(kept["cities"]))
+
+
 def complete_scaler(rows: DataFrame, columns: tuple[str, ...]) -> tuple[dict[str, float], dict[str, float]]:
     """Means and population deviations over rows in which all columns are there."""
     r = rows.dropna(subset=list(columns)).agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
