@@ -27,10 +27,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of keys is broadcast up to so many rows (some tens of MB), and shuffled beyond.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """`keys`, a written table of a few numbers a row, with a broadcast hint if its counted rows are few enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def words_of(text: Column) -> Column:
     """Words of a whole text, parted by blanks; none for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), lambda w: w != "")
