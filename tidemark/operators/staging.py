@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalar import failed_checks, hour_of
@@ -85,9 +86,7 @@ def stage_weather(raw: DataFrame, start: datetime, end: datetime) -> tuple[DataF
 
 def as_stored(df: DataFrame, ddl: str) -> DataFrame:
     """`df` with the columns and types of a stored table; decimals round half up."""
-    from pyspark.sql import types as T
-
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in T._parse_datatype_string(ddl)])
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in DataType.fromDDL(ddl)])
 
 
 def duplicate_groups(rows: DataFrame, key: str = "event_id") -> DataFrame:
