@@ -22,49 +22,54 @@ Defined cases
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import words_of, written
+from tidemark.llm.common import bounded, written
 
 MIN_WORDS = 8
 LAST = 2**63 - 1
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(docs["doc_id"], F.lit(LAST)).alias("id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].alias("text")).where("text IS NOT NULL")
-
-
 def _lines(docs: DataFrame) -> DataFrame:
-    """id, text_hash, line_no, words, h1, h2: every line with words."""
-    split = _rows(docs).select("id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    worded = split.select("id", "text_hash", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
-    joined = F.array_join("words", " ")
-    return worded.select("id", "text_hash", "line_no", "words", F.xxhash64(joined).alias("h1"), F.xxhash64(F.size("words"), joined).alias("h2"))
-
-
-def _halves(words: Column) -> Column:
-    """Hashes of the first and last half, cut as for n and for n - 1 words."""
-    n = F.size(words)
-    first = lambda m: F.xxhash64(F.lit("first"), m, F.array_join(F.slice(words, 1, m), " "))
-    last = lambda m: F.xxhash64(F.lit("last"), m, F.array_join(F.slice(words, n - m + 1, m), " "))
+    """id, text_hash, line_no, line (its words, parted by single spaces), n (how many), h1, h2: every line with words."""
+    # Plain texts, whose only blanks are single spaces and line ends, pass as they are; a search is cheaper than a pattern.
+    odd = reduce(lambda a, b: a | b, [F.contains("text", F.lit(b)) for b in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    spaced = F.when(odd, F.regexp_replace("text", r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col("text"))
+    rows = docs.select(F.coalesce(docs["doc_id"], F.lit(LAST)).alias("id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].alias("text")).where("text IS NOT NULL")
+    split = rows.select("id", "text_hash", F.posexplode(F.split(spaced, "\n")).alias("line_no", "line"))
+    line = split.select("id", "text_hash", "line_no", F.trim("line").alias("line")).where("line <> ''")
+    counted = line.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
+    return counted.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"))
+
+
+def _halves() -> Column:
+    """Hashes of the first and last half of a line's words, cut as for n and for n - 1 words."""
+    n, line = F.col("n"), F.col("line")
+    first = lambda m: F.xxhash64(F.lit("first"), m, F.call_function("substring_index", line, F.lit(" "), m))
+    last = lambda m: F.xxhash64(F.lit("last"), m, F.call_function("substring_index", line, F.lit(" "), -m))
     low, high = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     return F.array_distinct(F.array(first(low), first(high), last((n - low).cast("int")), last((n - 1 - high).cast("int"))))
 
 
 def _variants(suspects: DataFrame) -> DataFrame:
-    """h1, h2, first, variant: keys of each suspect line's variants."""
-    words = suspects.select("h1", "h2", "first", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    own = Window.partitionBy("h1", "h2").orderBy("i")
-    before = F.coalesce(F.bit_xor(F.xxhash64("i", "word")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    after = F.coalesce(F.bit_xor(F.xxhash64(F.col("n") - F.col("i"), "word")).over(own.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    cut = words.select("h1", "h2", "first", "n", "i", F.xxhash64("i", "word").alias("fore"), F.xxhash64(F.col("n") - F.col("i"), "word").alias("aft"), before.alias("before"), after.alias("after"))
-    key = lambda at, x, y: F.xxhash64(at, x, y)
-    gap = key(F.col("i"), F.col("before"), F.col("after").bitwiseXOR(F.col("aft")))
-    end = key(F.col("n"), F.col("before").bitwiseXOR(F.col("fore")), F.lit(0).cast("long"))
-    keys = F.array(key(F.col("i"), F.col("before"), F.col("after")), gap, F.when(F.col("i") == F.col("n") - 1, end))
-    return cut.select("h1", "h2", "first", F.explode(keys).alias("variant")).where("variant IS NOT NULL")
+    """first (the line's first occurrence, which stands for it) and variant: keys of each suspect line's variants."""
+    words = suspects.select("first", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    fore, aft = F.xxhash64("i", "word"), F.xxhash64(F.col("n") - F.col("i"), "word")
+    hashed = words.select("first", "n", "i", fore.alias("fore"), aft.alias("aft"))
+    own = Window.partitionBy("first")
+    none = F.lit(0).cast("long")
+    before = F.coalesce(F.bit_xor("fore").over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), none)
+    after = F.coalesce(F.bit_xor("aft").over(own.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)), none)
+    cut = hashed.select("*", before.alias("before"), after.alias("after"))
+    without = F.xxhash64("i", "before", "after")
+    gap = F.xxhash64("i", "before", F.col("after").bitwiseXOR(F.col("aft")))
+    end = F.xxhash64("n", F.col("before").bitwiseXOR(F.col("fore")), none)
+    keys = F.array(without, gap, F.when(F.col("i") == F.col("n") - 1, end))
+    return cut.select("first", F.explode(keys).alias("variant")).where("variant IS NOT NULL")
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -78,50 +83,44 @@ def _within_one(a: Column, b: Column) -> Column:
     return (long - short <= 1) & (same(a, b) + same(F.reverse(a), F.reverse(b)) >= long - 1)
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, text_hash, line_no of every line that goes."""
+def decisions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """id, text_hash, n_lines (with words) and removed (numbers of the lines that go) of each text with lines."""
     order = F.struct("id", "text_hash", "line_no")
     lines = _lines(docs)
-    seen = written(
-        lines.select("id", "text_hash", "line_no", "h1", "h2", F.when(F.size("words") >= min_words - 1, _halves(F.col("words"))).alias("halves"), F.size("words").alias("n")),
-        "lines",
-    )
+    seen = written(lines.select("id", "text_hash", "line_no", "h1", "h2", F.when(F.col("n") >= min_words, _halves()).alias("halves")), "lines")
     first = written(seen.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")), "first-lines")
 
-    halves = seen.where(F.col("n") >= min_words).select("h1", "h2", F.explode("halves").alias("half"))
-    line = F.struct("h1", "h2")
-    shared = halves.groupBy("half").agg(F.min(line).alias("low"), F.max(line).alias("high")).where("low <> high").select("half")
-    names = halves.join(shared, "half").select("h1", "h2").distinct()
-    texts = lines.select("h1", "h2", "words").join(names, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("words").alias("words"))
-    suspects = written(texts.join(first.select("h1", "h2", "first"), ["h1", "h2"]), "suspects")
+    halves = seen.where("halves IS NOT NULL").select("h1", "h2", F.explode("halves").alias("half"))
+    ends = halves.groupBy("half").agg(F.min("h1").alias("a1"), F.max("h1").alias("b1"), F.min("h2").alias("a2"), F.max("h2").alias("b2"))
+    shared = ends.where("a1 <> b1 OR a2 <> b2").select("half")
+    names = written(halves.join(shared, "half").select("h1", "h2").distinct(), "suspect-names")
+    texts = lines.select("h1", "h2", "line").join(bounded(names), ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    suspects = written(texts.join(first.select("h1", "h2", "first"), ["h1", "h2"]).withColumn("words", F.split("line", " ")).drop("line"), "suspects")
 
     variants = written(_variants(suspects), "variants")
-    whose = F.struct("first", "h1", "h2")
-    earliest = variants.groupBy("variant").agg(F.min(whose).alias("earliest"), F.max(whose).alias("latest")).where("earliest <> latest").select("variant", "earliest")
-    tried = variants.join(earliest, "variant").where("earliest.first < first").select("h1", "h2", F.col("earliest.h1").alias("e1"), F.col("earliest.h2").alias("e2")).distinct()
-    mine = suspects.select("h1", "h2", "words")
-    theirs = suspects.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("other"))
-    near = tried.join(mine, ["h1", "h2"]).join(theirs, ["e1", "e2"]).where(_within_one(F.col("words"), F.col("other"))).select("h1", "h2").distinct()
+    earliest = variants.groupBy("variant").agg(F.min("first").alias("earliest"), F.max("first").alias("latest")).where("earliest <> latest").select("variant", "earliest")
+    tried = variants.join(earliest, "variant").where("earliest < first").select("first", "earliest").distinct()
+    theirs = suspects.select(F.col("first").alias("earliest"), F.col("words").alias("other"))
+    near = tried.join(suspects, "first").join(theirs, "earliest").where(_within_one(F.col("words"), F.col("other"))).select("h1", "h2").distinct()
 
     doubles = first.where("first <> last").select("h1", "h2", "first")
     goes = doubles.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "full")
-    out = seen.join(goes, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (order != F.col("first"))).select("id", "text_hash", "line_no")
-    return written(out.distinct(), "lines-gone")
+    gone = F.coalesce("near", F.lit(False)) | F.coalesce(order != F.col("first"), F.lit(False))
+    marked = seen.select("id", "text_hash", "line_no", "h1", "h2").join(goes, ["h1", "h2"], "left").select("id", "text_hash", F.when(gone, F.col("line_no")).alias("off"), "line_no").distinct()
+    return written(marked.groupBy("id", "text_hash").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list("off")).alias("removed")), "lines-gone")
 
 
 def judge(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines (with words), n_removed and removed (line numbers from 0) of every row of `docs`."""
-    gone = repeated(docs.select("doc_id", "text"), min_words).groupBy("id", "text_hash").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("text_hash"), n.cast("long").alias("n_lines"))
-    found = rows.join(gone, ["id", "text_hash"], "left")
-    none = F.array().cast("array<int>")
-    return found.select("doc_id", "n_lines", F.size(F.coalesce("removed", none)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"))
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("text_hash"))
+    found = rows.join(decisions(docs.select("doc_id", "text"), min_words), ["id", "text_hash"], "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return found.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` without the lines that go; all other columns as they were."""
-    gone = repeated(docs.select("doc_id", "text"), min_words).groupBy("id", "text_hash").agg(F.collect_list("line_no").alias("removed"))
+    gone = decisions(docs.select("doc_id", "text"), min_words).where(F.size("removed") > 0).select("id", "text_hash", "removed")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"], F.lit(LAST)).alias("id"), F.xxhash64(docs["text"]).alias("text_hash"))
     found = rows.join(gone, ["id", "text_hash"], "left")
     left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("removed", i), F.lit(False))), "\n")
