@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 #: Characters of the texts of a chunk, one text at least.
-CHUNK = 2_000_000
+CHUNK = 4_000_000
 #: Different n-grams of a bucket, about.
-BUCKET = 500_000
+BUCKET = 2_000_000
 
 GRAMS = "bucket int, chunk long, n int, grams binary, counts binary"
 TOTALS = "chunk long, n int, bucket int, totals binary"
@@ -53,12 +53,15 @@ _U = np.uint64
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Numbers by byte planes: those that are alike compress to nothing in the shuffle."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers by byte planes, compressed: planes that are alike take next to nothing."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    n = int.from_bytes(b[:4], "little")
+    planes = np.frombuffer(pa.decompress(b[4:], 8 * n, "zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -164,7 +167,7 @@ def _texts(docs: DataFrame) -> DataFrame:
         for chunk, check, ids, texts in _chunks(batches):
             each = [t.encode() for t in texts]
             raw = b"".join(each)
-            yield _table(TEXTS, [[chunk], [check], [ids], [[len(e) for e in each]], [pa.compress(raw, "zstd", asbytes=True)], [len(raw)]])
+            yield _table(TEXTS, [[chunk], [check], [ids], [[len(e) for e in each]], [pa.Codec("zstd", compression_level=9).compress(raw, asbytes=True)], [len(raw)]])
 
     return docs.mapInArrow(pack, TEXTS)
 
@@ -202,7 +205,7 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2, backoff: float =
         for r in chunk.to_pylist():
             raw, ends = pa.decompress(r["texts"], r["raw"], "zstd", asbytes=True), np.cumsum(r["sizes"])
             texts = [raw[e - s : e].decode() for s, e in zip(r["sizes"], ends, strict=True)]
-            totals = {n: np.concatenate([_unpacked(t) for _, t in sorted(by.get((r["chunk"], n), {0: b""}).items())]) for n in range(1, order + 1)}
+            totals = {n: np.concatenate([_unpacked(t) for _, t in sorted(by.get((r["chunk"], n), {0: _packed(np.zeros(0))}).items())]) for n in range(1, order + 1)}
             terms, part, singles = _scored(texts, totals, order, min_count, backoff)
             out.append(_table(SCORES, [r["ids"], terms.tolist(), part.tolist(), singles.tolist()]))
         schema = _table(SCORES, [[]] * len(names)).schema
