@@ -300,6 +300,26 @@ def test_copies_and_edits_of_items_are_found(spark, make_docs):
     assert kept == {*range(10), 52}
 
 
+@pytest.mark.parametrize("every", [5, 6])
+def test_copies_with_close_edits_are_found(spark, make_docs, every):
+    items = [(i, prose(300 + i, 40)) for i in range(20)]
+    # Each item twice with other edits: what one copy leaves intact the other may lack.
+    texts = [prose(400 + i, 50) + " " + edited(t, every, i) + " " + prose(500 + i, 50) for i, t in items]
+    texts += [prose(600 + i, 50) + " " + edited("x " + t, every, 50 + i) for i, t in items]
+    texts += [" ".join(t.split(" ")[10:22]) + " " + prose(700 + i, 100) for i, t in items]  # a third is no copy
+    got = {r.doc_id: list(r.item_ids) for r in decontamination.judge(make_docs(texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {k: [k % 20] if k < 40 else [] for k in range(60)}
+
+
+def test_a_copy_with_many_added_terms_is_found(spark, make_docs):
+    # 19 added terms leave a score of 21 of 40; only the last four terms are a run.
+    words = prose(800, 40).split()
+    text = " ".join(w + (f" added{i}" if i in (0, 35) or (i % 2 == 0 and 2 <= i < 36) else "") for i, w in enumerate(words))
+    frame = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = decontamination.judge(make_docs([prose(801, 30) + " " + text + " " + prose(802, 30)]), frame).first()
+    assert got.item_ids == [1] and got.score == 21 / 40
+
+
 def test_every_exact_copy_in_the_tables_is_found(spark):
     d = "/root/testdata/sf0.01"
     items = [(r.item_id, " ".join(terms(r.text))) for r in table(spark, d, "benchmark").collect()]

@@ -1,11 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are runs of `seed_terms` terms (lower-cased runs of letters and digits) of benchmark items. How many
-documents have each of them is counted over the whole corpus, and from every `spread` consecutive runs of an item
-the rarest is a seed. An item that is copied thousands of times therefore keeps its seeds, and any stretch of
-seed_terms + spread - 1 terms that a copy leaves intact holds one. Texts that share a seed with an item are aligned
-with it locally: +1 for a term in common, -1 for a changed, added or missing one. A score of at least `least` times
-the item's terms marks the text.
+Seeds are all runs of `seed_terms` terms (lower-cased runs of letters and digits) of benchmark items, however many
+documents have them: any stretch of seed_terms terms that a copy leaves intact is one. Texts that share a seed with
+an item are aligned with it locally: +1 for a term in common, -1 for a changed, added or missing one. A score of at
+least `least` times the item's terms marks the text. Stretches of a text that lack too many of the item's terms to
+reach it are passed over, and the stretches are wide enough for all gaps that it allows, so neither loses a match.
+
+A copy whose every run of seed_terms terms is broken (an edit in each fourth term, or a term put in after each
+third) is not found.
 
 Each distinct run of a text is looked up in the item runs. Those are broadcast when their counted number is at
 most BROADCAST_SEEDS, and otherwise joined by a shuffle. Alignment runs once a candidate text in tasks that hold a
@@ -30,7 +32,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.common import shingles_of, terms_of, text_key, written
 
@@ -40,7 +41,6 @@ BROADCAST_SEEDS = 2_000_000
 @dataclass(frozen=True)
 class Decontamination:
     seed_terms: int = 4
-    spread: int = 3
     least: float = 0.5
 
 
@@ -74,8 +74,8 @@ def _windows(starts: list[int], length: int, slack: int, end: int) -> list[tuple
     return out
 
 
-def best_alignments(text: str, items: list[tuple[int, str]], n: int) -> list[tuple[int, float]]:
-    """(item's place in `items`, score / its terms) of each item that shares a run of n terms with the text."""
+def best_alignments(text: str, items: list[tuple[int, str]], n: int, least: float) -> list[tuple[int, float]]:
+    """(item's place in `items`, score / its terms) of each item that shares a run of n terms with the text and scores `least`."""
     terms, numbers = _terms(text), {}
     coded = np.array([numbers.setdefault(t, len(numbers)) for t in terms], dtype=np.int64)
     split = [_terms(t) for _, t in items]
@@ -90,9 +90,12 @@ def best_alignments(text: str, items: list[tuple[int, str]], n: int) -> list[tup
     out = []
     for k, at in starts.items():
         words = np.array([numbers.get(t, -1 - i) for i, t in enumerate(split[k])], dtype=np.int64)
-        slack = max(4, len(words) // 3)
-        score = max(smith_waterman(words, coded[lo:hi]) for lo, hi in _windows(at, len(words), slack, len(terms)))
-        out.append((k, score / len(words)))
+        slack = max(4, int(len(words) * (1 - least)))
+        stretches = (coded[lo:hi] for lo, hi in _windows(at, len(words), slack, len(terms)))
+        # No score exceeds the number of the item's terms that the stretch has.
+        scores = [smith_waterman(words, s) / len(words) for s in stretches if np.isin(words, s).sum() / len(words) >= least]
+        if scores and max(scores) >= least:
+            out.append((k, max(scores)))
     return out
 
 
@@ -107,11 +110,7 @@ def matches(docs: DataFrame, items: DataFrame, how: Decontamination = Decontamin
     found = terms.select("key_a", "key_b", F.explode(F.array_distinct(shingles_of(F.col("terms"), n))).alias("gram"))
     hits = written(found.join(grams, "gram"), "seed-hits")
 
-    counts = hits.groupBy("gram").agg(F.count("*").alias("df"))
-    ahead = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, how.spread - 1)
-    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)), "pos", "gram")).over(ahead)
-    seeds = runs.join(counts, "gram", "left").select("item_id", rarest["gram"].alias("gram")).distinct()
-    pairs = hits.join(seeds, "gram").select("key_a", "key_b", "item_id").distinct()
+    pairs = hits.join(runs.select("gram", "item_id").distinct(), "gram").select("key_a", "key_b", "item_id").distinct()
     wanted = written(
         pairs.join(items.select(F.col("item_id").alias("id"), F.col("text").alias("item_text")), F.col("item_id").eqNullSafe(F.col("id")))
         .groupBy("key_a", "key_b")
@@ -124,7 +123,7 @@ def matches(docs: DataFrame, items: DataFrame, how: Decontamination = Decontamin
             rows = []
             for a, b, text, candidates in batch.itertuples(index=False):
                 own = [(c["item_id"], c["item_text"]) for c in candidates]
-                rows += [(a, b, own[k][0], s) for k, s in best_alignments(text, own, n) if s >= how.least]
+                rows += [(a, b, own[k][0], s) for k, s in best_alignments(text, own, n, how.least)]
             yield pd.DataFrame(rows, columns=["key_a", "key_b", "item_id", "score"]).astype({"item_id": "Int64", "score": "float64"})
 
     texts = docs.select(*text_key(F.col("text")), "text").join(wanted.select("key_a", "key_b"), ["key_a", "key_b"], "left_semi")
