@@ -145,6 +145,28 @@ def test_substrings_equal_brute_force(spark, sf_dir):
     assert sum(map(len, gone.values()))
 
 
+@pytest.mark.parametrize("ends", [(), (24,), (9, 18, 27), (12, 24, 36), (5, 45)])
+def test_no_shared_run_of_50_words_stays(spark, make_docs, ends):
+    """Wherever the sentences of a shared run end, also nowhere, and however they go on before and after it."""
+    plain = lambda seed, n: prose(seed, n).replace(".", "").split()
+    texts, runs = [], []
+    for i in range(30):
+        run = plain(1000 + i, 50)
+        for k in ends:
+            run[k] += "."
+        runs.append(run)
+        texts += [" ".join(plain(2000 + 9 * i + k, n) + run + plain(3000 + 9 * i + k, m)) for k, n, m in ((0, 40, i), (1, i, 40))]
+    got = {r.doc_id: r.text for r in substring_dedup.judge(make_docs(texts)).collect()}
+    assert all(got[2 * i] == texts[2 * i] for i in range(30))
+    assert not any(" ".join(run) in got[2 * i + 1] for i, run in enumerate(runs))
+
+
+def test_a_stutter_is_cut_into_whole_windows():
+    text = "so " * 600
+    pieces = substring_dedup.sentences(text)
+    assert "".join(pieces) == text and len(pieces) <= 600 / substring_dedup.WINDOW + 2
+
+
 # Quality model
 
 

@@ -1,10 +1,12 @@
 """Substring de-duplication over sliding spans of sentences.
 
-A sentence ends after . ! or ? with what blanks follow, or at a line's end. From every sentence starts one span:
-the shortest run of at least `sentences` sentences that has at least `words` words. Spans are hashed (128 bits)
-and joined over the whole corpus; the first occurrence, by doc_id, text and place, stays, and every sentence that
-any other occurrence covers is removed. A passage that texts share thus stays once, up to the sentences at its
-ends that run into other text.
+A sentence ends after . ! or ? with what blanks follow, or at a line's end. One of more than LONG words is several
+pieces, which count as sentences: of each WINDOW neighbouring pairs of words in it, it is cut after the one with the
+least hash. Texts that share a part of a sentence thus cut it alike, and a piece has at most WINDOW words (one more
+at its start). From every piece starts one span: the shortest run of at least `sentences` pieces that has at least
+`words` words. Spans are hashed (128 bits) and joined over the whole corpus; the first occurrence, by doc_id, text
+and place, stays, and every piece that any other occurrence covers is removed. A passage of 50 words that texts
+share thus holds a span wherever its sentences end, and stays once, up to the pieces at its ends.
 
 How often a span occurs and where first is one grouped aggregate, combined on the map side; only spans that occur
 again are joined back, so that neither a passage in a third of all texts nor a group of copies meets in one task.
@@ -22,6 +24,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
+from zlib import crc32
 
 import pandas as pd
 import xxhash
@@ -32,6 +36,9 @@ from tidemark.llm.common import written
 
 #: A sentence with the blanks after it.
 SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s|$)\s*|\n\s*|$)", re.DOTALL)
+#: Sentences of more words are cut, at the least of so many neighbouring hashes.
+LONG, WINDOW = 12, 12
+WORD = re.compile(r"\s*\S+\s*")
 LAST = 2**63 - 1
 
 
@@ -41,9 +48,33 @@ class Spans:
     words: int = 12
 
 
+def _cuts(words: list[str]) -> list[int]:
+    """Places of `words` before which a long sentence is cut. The last least hash stays while its window lasts, so that a stutter is no run of cuts."""
+    hashes = [crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in pairwise(words)]
+    out, at = [], -1
+    for end in range(WINDOW - 1, len(hashes)):
+        if at <= end - WINDOW:
+            at = min(range(end, end - WINDOW, -1), key=hashes.__getitem__)
+        elif hashes[end] < hashes[at]:
+            at = end
+        else:
+            continue
+        out.append(at + 2)
+    return [k for k in out if k < len(words)]
+
+
 def sentences(text: str) -> list[str]:
-    """The text in pieces, one a sentence; joined they are the text."""
-    return [m for m in SENTENCE.findall(text) if m]
+    """The text in pieces, one a sentence, several a long one; joined they are the text."""
+    out = []
+    for m in SENTENCE.findall(text):
+        words = m.split()
+        if len(words) <= LONG:
+            if m:
+                out.append(m)
+            continue
+        parts, cuts = WORD.findall(m), _cuts(words)
+        out += ["".join(parts[lo:hi]) for lo, hi in pairwise([0, *cuts, len(parts)])]
+    return out
 
 
 def spans(text: str, how: Spans) -> list[tuple[int, int, bytes]]:
@@ -82,7 +113,7 @@ def removed(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
 
     rows = docs.select(F.coalesce(docs["doc_id"], F.lit(LAST)).alias("id"), F.xxhash64("text").alias("text_hash"), "text").where("text IS NOT NULL")
     found = written(rows.mapInPandas(hashed, "id long, text_hash long, start int, end int, h1 long, h2 long"), "spans")
-    first = found.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.max(_order()).alias("last")).where("first <> last").select("h1", "h2", "first")
+    first = found.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     again = found.join(first, ["h1", "h2"]).where(_order() != F.col("first"))
     # Spans of a text overlap: start and longest end are enough.
     ranges = again.select("id", "text_hash", "start", "end").distinct()
@@ -109,7 +140,7 @@ def _without(text: str, gone: str) -> Column:
 
 
 def judge(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
-    """doc_id, text (what stays), n_sentences, n_removed and repeats (some were removed) of every row of `docs`."""
+    """doc_id, text (what stays), n_sentences (pieces), n_removed and repeats (some were removed) of every row of `docs`."""
     gone = removed(docs, how)
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
     out = rows.join(gone, ["id", "text_hash"], "left").select("doc_id", _without("text", "gone").alias("x"))
