@@ -68,7 +68,10 @@ def test_point_in_time_features_ignore_the_future(spark, sf_dir):
     future = d.mart.limit(5).withColumns({"hour_ts": F.lit(datetime(2024, 6, 1)).cast("timestamp_ntz"), "total_demand": F.lit(9e6), "event_count": F.lit(9999)})
     late = d.demand_events.limit(5).withColumns({"sim_ts": F.lit(datetime(2024, 6, 1)).cast("timestamp_ntz"), "event_type": F.lit("cancellation")})
     again = marts.route_features(d.mart.unionByName(future), d.demand_events.unionByName(late), FEATURE_DATE).orderBy("route_id").collect()
-    assert past and past == again
+    # Sums of doubles may be taken in another order in another plan; everything else is equal.
+    close = lambda x, y: x == y if not isinstance(x, float) else y == pytest.approx(x, rel=1e-9)
+    assert past and len(past) == len(again)
+    assert all(a.asDict().keys() == b.asDict().keys() and all(map(close, a, b)) for a, b in zip(past, again, strict=True))
 
 
 def test_lower_bound_is_exclusive(spark):

@@ -6,18 +6,32 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: For local masters only (tests, a laptop); a cluster names its folder in spark.checkpoint.dir.
 LOCAL_SHARED = "/tmp/checkpoints/tidemark"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """As spark.checkpoint.dir of the session names it; a local one where it is unset."""
+    """As spark.checkpoint.dir of the session names it; a local one for a local master where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return (named or LOCAL_SHARED).rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of this application's written tables."""
+    return f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's folder."""
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written; call it when no result is read any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
