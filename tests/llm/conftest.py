@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, key_a string, grp int, n_words string, score string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, key_a string, grp int, n_words string, score string, `a.b` string"
 
 
 def prose(seed: int, n: int, vocabulary: int = 400) -> str:
@@ -24,7 +24,7 @@ def make_docs(spark):
         rows = []
         for i, t in enumerate(texts):
             i, t = t if isinstance(t, tuple) else (i, t)
-            rows.append((i, t, lang, source, None if t is None else len(t), "r", "k", 7, "w", "x"))
+            rows.append((i, t, lang, source, None if t is None else len(t), "r", "k", 7, "w", "x", "y"))
         return spark.createDataFrame(rows, DOCS)
 
     return make
@@ -35,15 +35,15 @@ def odd_docs(spark):
     """Nulls in every column, empty, blank and very long texts, ties and repeated rows."""
     long = prose(5, 30_000)
     rows = [
-        (None, None, None, None, None, None, None, None, None, None),
-        (1, None, "en", "s", None, "r", "k", 7, "w", "x"),
-        (2, "", "en", None, 0, "r", "k", 7, "w", "x"),
-        (3, " \n\t\r ", None, "s", 5, "r", "k", 7, "w", "x"),
-        (4, long, "en", "s", len(long), "r", "k", 7, "w", "x"),
-        (4, long, "en", "s", len(long), "r", "k", 7, "w", "x"),
-        (None, "one two three", "en", "s", 13, "r", "k", 7, "w", "x"),
-        (5, "one two three", "en", "s", 13, None, None, None, None, None),
-        (6, "one two three", "en", "s", -4, "r", "k", 7, "w", "x"),
-        (7, "!!! ... ###", "en", "s", 11, "r", "k", 7, "w", "x"),
+        (None, None, None, None, None, None, None, None, None, None, None),
+        (1, None, "en", "s", None, "r", "k", 7, "w", "x", "y"),
+        (2, "", "en", None, 0, "r", "k", 7, "w", "x", "y"),
+        (3, " \n\t\r ", None, "s", 5, "r", "k", 7, "w", "x", "y"),
+        (4, long, "en", "s", len(long), "r", "k", 7, "w", "x", "y"),
+        (4, long, "en", "s", len(long), "r", "k", 7, "w", "x", "y"),
+        (None, "one two three", "en", "s", 13, "r", "k", 7, "w", "x", "y"),
+        (5, "one two three", "en", "s", 13, None, None, None, None, None, None),
+        (6, "one two three", "en", "s", -4, "r", "k", 7, "w", "x", "y"),
+        (7, "!!! ... ###", "en", "s", 11, "r", "k", 7, "w", "x", "y"),
     ]
     return spark.createDataFrame(rows, DOCS)

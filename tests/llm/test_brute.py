@@ -8,12 +8,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from tidemark.llm import decontamination, line_dedup, lm_scoring, mixing, near_duplicates, oracles, quality_model, queries, robust_rules, sharding, substring_dedup, url_rules
-from tidemark.llm.common import shared_folder
+from tidemark.llm import common, decontamination, line_dedup, lm_scoring, mixing, near_duplicates, oracles, quality_model, queries, robust_rules, sharding, substring_dedup, url_rules
+from tidemark.llm.common import mixed
+from tidemark.sources.paths import shared_folder
 
 
 def table(spark, sf_dir, name="documents"):
@@ -132,17 +134,78 @@ def test_repeated_passages_stay_once(spark, make_docs):
     assert "second one" not in got[1].text and prose(3, 60) in got[1].text and prose(4, 60) in got[1].text
 
 
-def test_substrings_equal_brute_force(spark, sf_dir):
-    docs = sorted((r.doc_id, r.text) for r in table(spark, sf_dir).collect())
-    how, first, gone = substring_dedup.Spans(), {}, defaultdict(set)
-    spans = [(d, s, e, h) for d, t in docs for s, e, h in substring_dedup.spans(t, how)]
-    for d, s, e, h in spans:
-        if h in first:
-            gone[d] |= set(range(s, e))
-        first.setdefault(h, (d, s))
-    want = {d: "".join(p for k, p in enumerate(substring_dedup.sentences(t)) if k not in gone[d]) for d, t in docs}
-    assert {r.doc_id: r.text for r in substring_dedup.judge(table(spark, sf_dir)).collect()} == want
-    assert sum(map(len, gone.values()))
+def pieces_one_by_one(text):
+    """(words, whether it is a whole sentence) of each piece: a long sentence is cut after the least pair of every window."""
+    out = []
+    for line in text.split("\n"):
+        sentence = []
+        for w in [*line.split(), None]:
+            if w is not None:
+                sentence.append(w)
+            if not sentence or (w is not None and w[-1] not in ".!?"):
+                continue
+            cuts = set()
+            if len(sentence) > 12:
+                h = pd.util.hash_array(np.array(sentence, dtype=object)).astype(np.uint64)
+                keys = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]).tolist()
+                at = -1
+                for end in range(11, len(keys)):
+                    if at <= end - 12:
+                        at = min(range(end, end - 12, -1), key=keys.__getitem__)
+                    elif keys[end] < keys[at]:
+                        at = end
+                    cuts.add(at + 2)
+            edges = [0, *sorted(c for c in cuts if c < len(sentence)), len(sentence)]
+            out += [(sentence[x:y], len(edges) == 2) for x, y in zip(edges, edges[1:], strict=False)]
+            sentence = []
+    return out
+
+
+def spans_one_by_one(text):
+    """(first word, word after the last, words) of every pair of sentences and of the pieces of long ones."""
+    parts, at = pieces_one_by_one(text), [0]
+    for w, _ in parts:
+        at.append(at[-1] + len(w))
+    words = [w for p, _ in parts for w in p]
+    for k in range(len(parts) - 1):
+        if parts[k][1] and parts[k + 1][1]:
+            yield at[k], at[k + 2], tuple(words[at[k] : at[k + 2]])
+        end = next((e for e in range(k + 2, len(parts) + 1) if at[e] - at[k] >= 12), None)
+        if end and not all(whole for _, whole in parts[k:end]):
+            yield at[k], at[end], tuple(words[at[k] : at[end]])
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_substrings_equal_brute_force(spark, sf):
+    docs = sorted((r.doc_id, r.text) for r in table(spark, f"/root/testdata/{sf}").collect())
+    first, off = {}, defaultdict(set)
+    for d, t in docs:
+        for lo, hi, words in sorted(spans_one_by_one(t)):
+            if first.setdefault(words, (d, lo)) != (d, lo):
+                off[d] |= set(range(lo, hi))
+    got = {r.doc_id: r for r in substring_dedup.judge(table(spark, f"/root/testdata/{sf}")).collect()}
+    for d, t in docs:
+        assert got[d].text.split() == [w for k, w in enumerate(t.split()) if k not in off[d]]
+        assert got[d].repeats == bool(off[d]) and got[d].n_removed == len(off[d])
+        assert off[d] or got[d].text == t
+    assert sum(map(len, off.values()))
+
+
+def test_repeated_pairs_of_short_sentences_stay_once(spark, make_docs):
+    texts = [f"{prose(k, 20)}. No way. It is. {prose(9 + k, 20)}" for k in range(4)] + ["No way. Then other words. It is. So there."]
+    got = {r.doc_id: r.text for r in substring_dedup.judge(make_docs(texts)).collect()}
+    assert [("No way. It is." in got[k]) for k in range(4)] == [True, False, False, False]
+    assert all(" ".join(got[k].split()) == " ".join(texts[k].replace("No way. It is. ", "").split()) for k in range(1, 4)) and got[4] == texts[4]
+
+
+def test_hot_spans_are_joined_apart(spark, make_docs, monkeypatch):
+    """A table beyond the broadcast size: its hot keys by broadcast, the others by a shuffle; the same result."""
+    passage = "This one is shared. All over the place. "
+    docs = make_docs([passage + prose(k, 30) + (" Twice in here. Just so. " if k % 9 == 0 else "") + passage for k in range(40)])
+    want = sorted(substring_dedup.judge(docs).select("doc_id", "text", "n_removed").collect())
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common.joined_by_count, "__defaults__", (20,))
+    assert sorted(substring_dedup.judge(docs).select("doc_id", "text", "n_removed").collect()) == want
 
 
 @pytest.mark.parametrize("ends", [(), (24,), (9, 18, 27), (12, 24, 36), (5, 45)])
@@ -162,9 +225,7 @@ def test_no_shared_run_of_50_words_stays(spark, make_docs, ends):
 
 
 def test_a_stutter_is_cut_into_whole_windows():
-    text = "so " * 600
-    pieces = substring_dedup.sentences(text)
-    assert "".join(pieces) == text and len(pieces) <= 600 / substring_dedup.WINDOW + 2
+    assert len(substring_dedup.pieces(["so " * 600])[2]) <= 600 / substring_dedup.WINDOW + 2
 
 
 # Quality model

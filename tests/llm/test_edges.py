@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, line_dedup, lm_scoring, mixing, near_duplicates, quality_model, robust_rules, sharding, substring_dedup, url_rules
-from tidemark.llm.common import shared_folder
+from tidemark.sources.paths import shared_folder
 
 ITEMS = "item_id long, text string"
 LABELS = "doc_id long, quality int, toxic int"

@@ -2,42 +2,60 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Where nothing names a shared folder (tests, a laptop); a cluster sets spark.checkpoint.dir.
-LOCAL_SHARED = "/tmp/checkpoints/tidemark"
+from tidemark.sources.paths import fresh
 
 #: What separates words: space and the ASCII controls from tab to carriage return.
 BLANK = r"[\x20\x09-\x0D]"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir of the session names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or LOCAL_SHARED).rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as Parquet under the shared folder and read again.
 
-    Cuts the lineage: a lost executor costs the reading of a file, not the job that made it.
+    Cuts the lineage: a lost executor costs the reading of a file, not the job that made it. `paths.clear` removes
+    what an application has written.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: A table of keys is broadcast up to so many rows (some tens of MB), and shuffled beyond.
 BROADCAST_ROWS = 1_000_000
+#: A key with more rows than this, and than a hundred-thousandth of all, is hot.
+HOT_ROWS = 10_000
 
 
-def bounded(keys: DataFrame) -> DataFrame:
+def bounded(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`keys`, a written table of a few numbers a row, with a broadcast hint if its counted rows are few enough."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
+def joined_by_count(rows: DataFrame, table: DataFrame, keys: list[str], hot: int = HOT_ROWS) -> DataFrame:
+    """`rows` joined to `table`, a written table with a row a key and `n`, how many of `rows` the key has.
+
+    A small table is broadcast. Of a larger one only the hot keys are (100 000 at most, by their number of rows), so
+    that no task of the shuffle meets more than the rows of one key that is not hot.
+    """
+    size, total = table.agg(F.count("*"), F.sum("n")).first()
+    if size <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys)
+    limit = max(hot, (total or 0) // 100_000)
+    often = F.broadcast(table.where(F.col("n") > limit))
+    rest = rows.join(often.select(*keys), keys, "left_anti").join(table.where(F.col("n") <= limit), keys)
+    return rows.join(often, keys).unionByName(rest)
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever is in their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def words_of(text: Column) -> Column:
@@ -66,3 +84,11 @@ def text_key(text: Column) -> list[Column]:
         F.coalesce(F.xxhash64(F.lit(17), text), F.lit(0)).alias("key_a"),
         F.xxhash64(text, F.lit(71), F.length(text)).alias("key_b"),
     ]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix64)."""
+    u = np.uint64
+    x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
+    return x ^ (x >> u(31))

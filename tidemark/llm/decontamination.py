@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shingles_of, terms_of, text_key, written
+from tidemark.llm.common import columns_of, shingles_of, terms_of, text_key, written
 
 BROADCAST_SEEDS = 2_000_000
 
@@ -147,5 +147,5 @@ def judge(docs: DataFrame, items: DataFrame, how: Decontamination = Decontaminat
 def clean(docs: DataFrame, items: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
     """The rows of `docs` that hold no item, all columns as they were."""
     found = matches(docs.select("text"), items, how).select("key_a", "key_b").distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *text_key(docs["text"]))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), *text_key(docs["text"]))
     return rows.join(found, ["key_a", "key_b"], "left_anti").select("row.*")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import bounded, written
+from tidemark.llm.common import bounded, columns_of, written
 
 MIN_WORDS = 8
 LAST = 2**63 - 1
@@ -121,7 +121,7 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` without the lines that go; all other columns as they were."""
     gone = decisions(docs.select("doc_id", "text"), min_words).where(F.size("removed") > 0).select("id", "text_hash", "removed")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"], F.lit(LAST)).alias("id"), F.xxhash64(docs["text"]).alias("text_hash"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.coalesce(docs["doc_id"], F.lit(LAST)).alias("id"), F.xxhash64(docs["text"]).alias("text_hash"))
     found = rows.join(gone, ["id", "text_hash"], "left")
     left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("removed", i), F.lit(False))), "\n")
     return found.select(*[(F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(left) if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import mixed, written
 
 #: Characters of the texts of a chunk, one text at least.
 CHUNK = 4_000_000
@@ -64,13 +64,6 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Text number and place of each term, and for n = 1..order the hash of the n terms that end there (where place >= n - 1)."""
     split = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
@@ -79,10 +72,10 @@ def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np
     doc = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     h = pd.util.hash_array(words, categorize=True).astype(_U) if len(words) else np.zeros(0, _U)
-    out = [_mixed(h)]
+    out = [mixed(h)]
     for n in range(2, order + 1):
         before = np.concatenate([np.zeros(1, _U), out[-1][:-1]])[: len(h)]
-        out.append(_mixed(before * _U(0x9E3779B97F4A7C15) + h + _U(n)))
+        out.append(mixed(before * _U(0x9E3779B97F4A7C15) + h + _U(n)))
     return doc, place, out
 
 

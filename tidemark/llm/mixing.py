@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.common import columns_of
+
 REST = "*"
 MAX_PARTS = 10_000
 PREFIX = 3  # hexadecimal digits of the hashed order
@@ -110,6 +112,6 @@ def schedule(docs: DataFrame, parts: dict[str, int], block_units: int, size: str
 
 def interleaved(docs: DataFrame, parts: dict[str, int], block_units: int) -> DataFrame:
     """All rows of `docs` with their columns, range-partitioned and sorted by slot: written files follow the mix."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"], docs["source"], docs["n_chars"].alias("size"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), docs["doc_id"], docs["source"], docs["n_chars"].alias("size"))
     placed = _schedule(rows, with_rest(parts) if REST not in parts else parts, block_units)
     return placed.select("row", "slot", "key").repartitionByRange("slot", "key").sortWithinPartitions("slot", "key").select("row.*")

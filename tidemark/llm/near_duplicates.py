@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, shingles_of, terms_of, text_key, written
+from tidemark.llm.common import bounded, columns_of, mixed, shingles_of, terms_of, text_key, written
 
 TERMS = 5
 BANDS, ROWS = 24, 5
@@ -46,13 +46,6 @@ CHUNK = 1_000_000
 _U = np.uint64
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def weighted_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, hash and count of each distinct run of five terms, ordered by text."""
     split = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
@@ -66,7 +59,7 @@ def weighted_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     run, place = np.zeros(len(words), _U), np.arange(len(words))
     for k in range(TERMS):
         there = np.minimum(place + k, len(words) - 1)
-        run = _mixed(run * _U(0x9E3779B97F4A7C15) + np.where(k < left, h[there], _U(0)) + _U(k))
+        run = mixed(run * _U(0x9E3779B97F4A7C15) + np.where(k < left, h[there], _U(0)) + _U(k))
     starts = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     whole = (left >= TERMS) | (starts == 0)
     doc, run = doc[whole], run[whole]
@@ -86,10 +79,10 @@ def sketch(texts: list[str], registers: int = BANDS * ROWS) -> np.ndarray:
     time, turn = np.zeros(len(doc)), 0
     while len(doc):
         turn += 1
-        draw = _mixed(run + _U((turn * 0x9E3779B97F4A7C15) % 2**64))
+        draw = mixed(run + _U((turn * 0x9E3779B97F4A7C15) % 2**64))
         uniform = ((draw >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
         time = time - np.log(uniform) / weight
-        cell = doc * registers + (_mixed(draw ^ _U(0xD1B54A32D192ED03)) % _U(registers)).astype(np.int64)
+        cell = doc * registers + (mixed(draw ^ _U(0xD1B54A32D192ED03)) % _U(registers)).astype(np.int64)
         np.minimum.at(first, cell, time)
         won = time == first[cell]
         kept[cell[won]] = run[won]
@@ -103,7 +96,7 @@ def sketch(texts: list[str], registers: int = BANDS * ROWS) -> np.ndarray:
 def band_hashes(sketches: np.ndarray) -> np.ndarray:
     out = np.zeros((len(sketches), BANDS), _U)
     for r in range(ROWS):
-        out = _mixed(out * _U(0x9E3779B97F4A7C15) + sketches[:, r::ROWS][:, :BANDS])
+        out = mixed(out * _U(0x9E3779B97F4A7C15) + sketches[:, r::ROWS][:, :BANDS])
     return out
 
 
@@ -245,7 +238,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     best = narrow.join(least, "class").where(F.col("id").eqNullSafe(F.col("class_id")))
     # A text and an id name the rows that stay; where several rows have both, one of them.
     stay = written(best.groupBy("class").agg(F.min("node").alias("node"), F.first("class_id").alias("class_id"), F.count("*").alias("n")).select("node", "class_id", "n"), "stay")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), *text_key(docs["text"]), _has_terms(docs["text"]).alias("worded"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), docs["doc_id"].alias("id"), *text_key(docs["text"]), _has_terms(docs["text"]).alias("worded"))
     rows = rows.select("row", "id", "worded", _node())
     chosen = rows.where("worded").join(stay, (rows["node"] == stay["node"]) & rows["id"].eqNullSafe(stay["class_id"])).select("row", stay["node"], "n")
     single = chosen.where("n = 1").select("row.*")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANK, words_of, written
+from tidemark.llm.common import BLANK, columns_of, words_of, written
 
 FEATURES = ("mean_word", "symbols", "dup_lines", "repeats", "capitals", "marks", "distinct", "short_words")
 SYMBOLS = "#*$%&|<>!"
@@ -161,5 +161,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Statistics are computed twice, for the fit and on the way through, rather than carrying texts through a join.
     """
     model = _learn(with_features(docs.select(F.struct("doc_id").alias("row"), "text")), labels)
-    scored = _scored(with_features(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))), model)
+    scored = _scored(with_features(docs.select(F.struct(*columns_of(docs)).alias("row"), docs["text"].alias("text"))), model)
     return scored.where(F.col("score") >= GOOD).select("row.*")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, line_dedup, lm_scoring, mixing, near_duplicates, quality_model, robust_rules, sharding, substring_dedup, url_rules
-from tidemark.llm.common import shared_folder
+from tidemark.sources.paths import fresh
 
 #: Parts of the mix by source; all other sources share one part.
 MIX = {"src0": 6, "src1": 4, "src2": 4, "src3": 3, "src4": 3, "src5": 2, "src6": 2, "src7": 2, "src8": 2, "src9": 2, mixing.REST: 10}
@@ -43,7 +41,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, shard (its place in the manifest), rows and bytes of the shard, tier and version, from written shards."""
-    store = sharding.ShardTable(spark, f"{shared_folder(spark)}/tidemark/shards-{uuid.uuid4().hex}", SHARDS)
+    store = sharding.ShardTable(spark, fresh(spark, "shards"), SHARDS)
     store.append(docs)
     version = store.compact()
     store.vacuum()
