@@ -7,8 +7,12 @@ shard) is written under a new name, and renaming a pointer file to the next vers
 one. The rename fails if that version exists, so of two writers one has to start again. Readers keep the version
 they opened until `vacuum`. Nothing is changed in place: a lost executor or driver leaves the last version whole.
 
+The rename is atomic on HDFS and local disks; an object store needs a connector that refuses to rename onto an
+existing name. Pointers are never deleted, as they are what makes a number taken.
+
 One compaction job merges at most MERGE_SHARDS shards, whose plan is therefore small enough to broadcast; larger
-backlogs take several jobs, each with its commit.
+backlogs take several jobs, each with its commit. Runs of neighbours are sought within spans of SPAN places, so that
+no task plans the whole manifest.
 
 Defined cases
 - empty table: a version without shards; reading gives no rows with the right columns.
@@ -16,11 +20,14 @@ Defined cases
   makes a larger file.
 - columns with any name are kept; the columns for the merge have names that the table lacks.
 - ties in size or arrival: by file name.
+- `vacuum` beside other writers: files of an append or merge that is not committed yet are in no manifest and stay,
+  unless they are older than `grace_hours`; a commit on a parent whose manifest was vacuumed fails and is started again.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -29,8 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.llm.common import columns_of, written
+
 MANIFEST = "file string, bytes long, rows long, seq long, tier int"
-MERGE_SHARDS = 10_000
+MERGE_SHARDS = 100_000
+#: Places (seq) among which runs of neighbours are sought, as a power of two.
+SPAN = 17
 
 
 @dataclass(frozen=True)
@@ -102,7 +113,7 @@ class ShardTable:
         sizes = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
         data = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
         rows = data.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
-        return sizes.select(_uri(F.col("path")).alias("file"), F.col("length").alias("bytes")).join(rows.select(_uri(F.col("file")).alias("file"), "rows"), "file")
+        return written(sizes.select(_uri(F.col("path")).alias("file"), F.col("length").alias("bytes")).join(rows.select(_uri(F.col("file")).alias("file"), "rows"), "file"), "new-shards")
 
     def append(self, docs: DataFrame) -> int:
         """Adds the rows of `docs` as small shards; the new version."""
@@ -112,17 +123,19 @@ class ShardTable:
         old = self.manifest(parent)
         last = old.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
         new = self._written(run, docs.schema)
-        new = new.withColumn("seq", F.row_number().over(Window.orderBy("file")).cast("long") + last).withColumn("tier", self._tier())
+        # Places in the order of file names: a sorted table in as few parts as hold a span each.
+        ordered = new.orderBy("file").coalesce(max(1, new.count() >> SPAN))
+        new = ordered.withColumn("seq", F.monotonically_increasing_id() + (last + 1)).withColumn("tier", self._tier())
         return self._commit(old.unionByName(new.select(*old.columns)), docs.schema, parent)
 
     def _plan(self, shards: DataFrame) -> DataFrame:
-        """file, seq, grp: neighbouring shards of a tier, each group about a target file. Large shards stay."""
+        """file, seq, tier, span, n: neighbouring shards of a tier, each (tier, span, n) about a target file. Large shards stay."""
         t = self.tiers
-        tier = Window.partitionBy("tier").orderBy("seq", "file")
-        small = shards.where(F.col("bytes") < t.target_bytes // 2)
-        runs = small.withColumn("n", F.floor((F.sum("bytes").over(tier) - F.col("bytes")) / t.target_bytes))
-        sized = runs.withColumn("in_run", F.count("*").over(Window.partitionBy("tier", "n"))).where(F.col("in_run") >= t.least_runs)
-        return sized.select("file", "seq", F.dense_rank().over(Window.orderBy("tier", "n")).alias("grp"), F.row_number().over(Window.orderBy("tier", "n", "seq", "file")).alias("place"))
+        small = shards.where(F.col("bytes") < t.target_bytes // 2).withColumn("span", F.shiftright("seq", SPAN))
+        before = Window.partitionBy("tier", "span").orderBy("seq", "file").rowsBetween(Window.unboundedPreceding, -1)
+        runs = small.withColumn("n", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / t.target_bytes))
+        sized = runs.withColumn("in_run", F.count("*").over(Window.partitionBy("tier", "span", "n")))
+        return sized.where(F.col("in_run") >= t.least_runs).select("file", "seq", "tier", "span", "n")
 
     def compact(self) -> int:
         """Merges similarly sized neighbours until no tier has a run to merge; the last version."""
@@ -131,20 +144,22 @@ class ShardTable:
             if not parent:
                 return 0
             shards = self.manifest(parent)
-            plan = self._plan(shards).where(F.col("place") <= MERGE_SHARDS)
-            chosen = plan.collect()  # MERGE_SHARDS rows at most
-            groups = len({r["grp"] for r in chosen})
-            if not groups:
+            chosen = self._plan(shards).orderBy("tier", "span", "n", "seq", "file").limit(MERGE_SHARDS).collect()
+            number: dict[tuple, int] = {}
+            for r in chosen:
+                number.setdefault((r["tier"], r["span"], r["n"]), len(number))
+            if not number:
                 return parent
             schema = T.StructType.fromJson(self._pointer(parent)["schema"])
-            grp, seq, row = _free(schema.names, "shard_grp", "shard_seq", "shard_row")
-            steps = self.spark.createDataFrame([(r["file"], r["grp"], r["seq"]) for r in chosen], f"file string, {grp} int, {seq} long")
+            grp, seq, row, file = _free(schema.names, "shard_grp", "shard_seq", "shard_row", "shard_file")
+            steps = self.spark.createDataFrame([(r["file"], number[r["tier"], r["span"], r["n"]], r["seq"]) for r in chosen], f"{file} string, {grp} int, {seq} long")
             data = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[r["file"] for r in chosen])
-            read = data.select(*[data[c] for c in schema.names], _uri(F.col("_metadata.file_path")).alias(f"{grp}_file"), F.col("_metadata.row_index").alias(row))
-            merged = read.join(F.broadcast(steps.withColumnRenamed("file", f"{grp}_file")), f"{grp}_file").drop(f"{grp}_file")
+            read = data.select(*columns_of(data), _uri(F.col("_metadata.file_path")).alias(file), F.col("_metadata.row_index").alias(row))
+            merged = read.join(F.broadcast(steps), file).drop(file)
             run = f"{self.path}/data/merge-{parent + 1:012d}-{uuid.uuid4().hex}"
+            # One task a group: each writes a file of about the target size.
             (
-                merged.repartition(groups, grp)
+                merged.repartitionById(len(number), F.col(grp))
                 .sortWithinPartitions(grp, seq, row)
                 .drop(seq, row)
                 .write.option("compression", "zstd")
@@ -153,8 +168,8 @@ class ShardTable:
             )
             new = self._written(run, schema).withColumn(grp, F.regexp_extract("file", rf"/{grp}=(\d+)/", 1).cast("int"))
             first = steps.groupBy(grp).agg(F.min(seq).alias("seq"))
-            new = new.join(first, grp).withColumn("tier", self._tier())
-            kept = shards.join(F.broadcast(steps.select("file")), "file", "left_anti")
+            new = new.join(F.broadcast(first), grp).withColumn("tier", self._tier())
+            kept = shards.join(F.broadcast(steps.select(F.col(file).alias("file"))), "file", "left_anti")
             self._commit(kept.unionByName(new.select(*kept.columns)), schema, parent)
 
     def read(self, version: int | None = None, with_shard: str | None = None) -> DataFrame:
@@ -168,13 +183,29 @@ class ShardTable:
         data = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*files)
         return data.select("*", _uri(F.col("_metadata.file_path")).alias(with_shard)) if with_shard else data
 
-    def vacuum(self) -> int:
-        """Deletes runs of shards of which the current version has none; how many."""
-        used = {r[0] for r in self.manifest().select(F.regexp_extract("file", r"/data/([^/]+)/", 1)).distinct().collect()}
-        gone = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.path}/data")) if s.getPath().getName() not in used]
-        for p in gone:
-            self._fs.delete(p, True)
-        return len(gone)
+    def vacuum(self, grace_hours: float = 168.0) -> int:
+        """Deletes the files that only older versions name, then those versions' manifests; how many files.
+
+        Folders of data that no version names and that are older than `grace_hours` are leavings of failed writers and
+        go too. File names come to the driver one by one, not all at once.
+        """
+        now, current = self.version(), self.manifest().select("file")
+        old = [self._pointer(v)["manifest"] for v in range(1, now)]
+        old = [m for m in old if self._fs.exists(self._path(m))]
+        gone = 0
+        if old:
+            named = written(self.spark.read.schema(MANIFEST).parquet(*old).select("file").distinct(), "named-shards")
+            for r in named.join(current, "file", "left_anti").toLocalIterator():
+                gone += self._fs.delete(self._path(r["file"]), False)
+            for m in old:
+                self._fs.delete(self._path(m), True)
+        runs = {r[0] for r in current.select(F.regexp_extract("file", r"/data/([^/]+)/", 1)).distinct().toLocalIterator()}
+        data = self._path(f"{self.path}/data")
+        for status in self._fs.listStatus(data) if self._fs.exists(data) else []:
+            age = time.time() - status.getModificationTime() / 1000
+            if status.getPath().getName() not in runs and age > grace_hours * 3600:
+                self._fs.delete(status.getPath(), True)
+        return gone
 
 
 def _uri(path):
