@@ -18,6 +18,9 @@ from tidemark.llm.common import mixed
 from tidemark.sources.paths import shared_folder
 
 
+ITEM = "item_id long, text string"
+
+
 def table(spark, sf_dir, name="documents"):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -283,6 +286,51 @@ def test_a_version_is_committed_once(spark, make_docs):
     assert store.version() == 1
 
 
+@pytest.mark.parametrize("who", ["append", "compact"])
+def test_vacuum_beside_a_writer_loses_nothing(spark, make_docs, who):
+    path = f"{shared_folder(spark)}/test-vacuum-{random.random()}"
+    tiers = sharding.Tiers(arrival_rows=3, target_bytes=1 << 20, least_runs=2)
+    first, second = sharding.ShardTable(spark, path, tiers), sharding.ShardTable(spark, path, tiers)
+    docs = make_docs([prose(k, 20) for k in range(40)])
+    first.append(docs.where("doc_id < 20"))
+    first.append(docs.where("doc_id >= 20 AND doc_id < 30"))
+    commit = first._commit
+    first._commit = lambda *a: (second.vacuum(), commit(*a))[1]
+    if who == "append":
+        first.append(docs.where("doc_id >= 30"))
+    else:
+        second.append(docs.where("doc_id >= 30"))
+        first.compact()
+    assert sorted(map(str, second.read().collect())) == sorted(map(str, docs.collect()))
+    assert second.vacuum(grace_hours=0) >= 0 and second.read().count() == 40
+
+
+def test_vacuum_deletes_what_only_older_versions_name(spark, make_docs):
+    store = sharding.ShardTable(spark, f"{shared_folder(spark)}/test-old-{random.random()}", sharding.Tiers(arrival_rows=3, target_bytes=1 << 20, least_runs=2))
+    store.append(make_docs([prose(k, 20) for k in range(30)]))
+    files = store.manifest(1).count()
+    assert store.compact() == 2 and store.vacuum() == files and store.vacuum() == 0
+    assert store.read().count() == 30
+
+
+def test_plan_equals_a_model(spark):
+    rng = random.Random(4)
+    tiers = sharding.Tiers(target_bytes=1000, least_bytes=10, least_runs=3)
+    store = sharding.ShardTable(spark, f"{shared_folder(spark)}/test-plan", tiers)
+    shards = [(f"f{k:03d}", rng.choice([5, 30, 60, 200, 499, 700]), 1, k) for k in range(200)]
+    frame = spark.createDataFrame(shards, "file string, bytes long, rows long, seq long").withColumn("tier", store._tier())
+    want, sums = defaultdict(list), Counter()
+    for f, size, _, _ in shards:
+        if size < 500:
+            tier = int(math.log(max(size / 10, 1)) / math.log(4))
+            want[tier, sums[tier] // 1000].append(f)
+            sums[tier] += size
+    got = defaultdict(list)
+    for r in store._plan(frame).orderBy("seq").collect():
+        got[r.tier, r.n].append(r.file)
+    assert got == {k: v for k, v in want.items() if len(v) >= 3}
+
+
 # Mixing
 
 
@@ -403,6 +451,39 @@ def test_a_copy_with_many_added_terms_is_found(spark, make_docs):
     assert got.item_ids == [1] and got.score == 21 / 40
 
 
+def matched(text, items, n=4, least=0.5):
+    """Places of the items that share a seed with the text and align to at least half: the whole text, cell by cell."""
+    t, out = terms(text), set()
+    for k, item in enumerate(items):
+        w = terms(item)
+        m = min(n, len(w))
+        if not m or not {tuple(w[i : i + m]) for i in range(len(w) - m + 1)} & {tuple(t[i : i + m]) for i in range(len(t) - m + 1)}:
+            continue
+        row, best = [0] * (len(t) + 1), 0
+        for x in w:
+            new = [0]
+            for j, y in enumerate(t):
+                new.append(max(0, row[j] + (1 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+            row, best = new, max(best, *new)
+        if best >= least * len(w):
+            out.add(k)
+    return out
+
+
+def test_repeated_and_null_item_ids_equal_brute_force(spark, make_docs):
+    """Five items under one id, several without, short ones, equal texts: by their texts, on both sides."""
+    items = [prose(900 + k, 30) for k in range(10)] + ["rare thing", "Unlikely", "", None, prose(900, 30)]
+    ids = [7] * 5 + [None] * 3 + [8, 9, 10, 11, 12, 13, 14]
+    texts = [prose(950 + k, 60) + " " + edited(items[k % 10], 4 + k % 5, k) + " " + prose(980 + k, 60) for k in range(40)]
+    texts += ["a rare thing here", "rare other thing", "not unlikely at all", "", None, items[9], prose(1, 5)]
+    got = {r.doc_id: r for r in decontamination.judge(make_docs(texts), spark.createDataFrame(list(zip(ids, items, strict=True)), ITEM)).collect()}
+    for k, t in enumerate(texts):
+        want = matched(t, items)
+        assert got[k].contaminated == bool(want)
+        assert set(got[k].item_ids) == {ids[i] for i in want} - {None} and sorted(set(got[k].item_ids)) == list(got[k].item_ids)
+    assert sum(r.contaminated for r in got.values()) > 25
+
+
 def test_every_exact_copy_in_the_tables_is_found(spark):
     d = "/root/testdata/sf0.01"
     items = [(r.item_id, " ".join(terms(r.text))) for r in table(spark, d, "benchmark").collect()]

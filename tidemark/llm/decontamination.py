@@ -1,23 +1,24 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Seeds are all runs of `seed_terms` terms (lower-cased runs of letters and digits) of benchmark items, however many
-documents have them: any stretch of seed_terms terms that a copy leaves intact is one. Texts that share a seed with
-an item are aligned with it locally: +1 for a term in common, -1 for a changed, added or missing one. A score of at
-least `least` times the item's terms marks the text. Stretches of a text that lack too many of the item's terms to
-reach it are passed over, and the stretches are wide enough for all gaps that it allows, so neither loses a match.
+documents have them: any stretch of seed_terms terms that a copy leaves intact is one. An item of fewer terms has one
+seed, all its terms. Texts that share a seed with an item are aligned with it locally: +1 for a term in common, -1 for
+a changed, added or missing one. A score of at least `least` times the item's terms marks the text. Stretches of a
+text that lack too many of the item's terms to reach it are passed over, and the stretches are wide enough for all
+gaps that it allows, so neither loses a match.
 
 A copy whose every run of seed_terms terms is broken (an edit in each fourth term, or a term put in after each
-third) is not found.
+third) is not found; of an item of fewer terms only copies without an edit are.
 
 Each distinct run of a text is looked up in the item runs. Those are broadcast when their counted number is at
-most BROADCAST_SEEDS, and otherwise joined by a shuffle. Alignment runs once a candidate text in tasks that hold a
-text and the items that share a seed with it.
+most BROADCAST_SEEDS, and otherwise joined by a shuffle. Items and texts are compared by 128-bit keys of their texts
+throughout; ids come in at the end. Alignment runs in rows of one candidate text and about ITEMS_A_ROW items at most.
 
 Defined cases
-- null, empty or short texts and items: an item with fewer than seed_terms terms is never found, a text with
-  fewer never marked. Null doc_id or item_id: kept as it is.
-- repeated rows: each is judged; texts are compared by a 128-bit key, so copies are aligned as one text.
+- null, empty or wordless texts and items: never found, never marked. Null doc_id: kept as it is.
+- items with the same or null item_id: each is found by its own text; a null id marks the text but is not listed.
 - items with equal texts: all are found. Ties of scores: all items are listed, ascending.
+- repeated rows: each is judged; copies of a text are aligned once.
 - empty tables: no rows, or nothing marked. Extra columns: kept by `clean`, whatever their names.
 """
 
@@ -27,15 +28,18 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns_of, shingles_of, terms_of, text_key, written
+from tidemark.llm.common import bounded, columns_of, shingles_of, terms_of, text_key, written
 
 BROADCAST_SEEDS = 2_000_000
+#: Items that are aligned with a text in one row, about.
+ITEMS_A_ROW = 64
 
 
 @dataclass(frozen=True)
@@ -74,19 +78,21 @@ def _windows(starts: list[int], length: int, slack: int, end: int) -> list[tuple
     return out
 
 
-def best_alignments(text: str, items: list[tuple[int, str]], n: int, least: float) -> list[tuple[int, float]]:
-    """(item's place in `items`, score / its terms) of each item that shares a run of n terms with the text and scores `least`."""
+def best_alignments(text: str, items: list[str], n: int, least: float) -> list[tuple[int, float]]:
+    """(item's place in `items`, score / its terms) of each item that shares a seed with the text and scores `least`."""
     terms, numbers = _terms(text), {}
     coded = np.array([numbers.setdefault(t, len(numbers)) for t in terms], dtype=np.int64)
-    split = [_terms(t) for _, t in items]
+    split = [_terms(t) for t in items]
     runs: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
     for k, words in enumerate(split):
-        for p in range(len(words) - n + 1):
-            runs[tuple(words[p : p + n])].append((k, p))
+        size = min(n, len(words))
+        for p in range(len(words) - size + 1 if size else 0):
+            runs[tuple(words[p : p + size])].append((k, p))
     starts: dict[int, list[int]] = defaultdict(list)
-    for p in range(len(terms) - n + 1):
-        for k, q in runs.get(tuple(terms[p : p + n]), ()):
-            starts[k].append(p - q)
+    for size in {len(r) for r in runs}:
+        for p in range(len(terms) - size + 1):
+            for k, q in runs.get(tuple(terms[p : p + size]), ()):
+                starts[k].append(p - q)
     out = []
     for k, at in starts.items():
         words = np.array([numbers.get(t, -1 - i) for i, t in enumerate(split[k])], dtype=np.int64)
@@ -99,44 +105,52 @@ def best_alignments(text: str, items: list[tuple[int, str]], n: int, least: floa
     return out
 
 
+def _item_key() -> list[Column]:
+    return [c.alias(f"item_{k}") for c, k in zip(text_key(F.col("text")), "ab", strict=True)]
+
+
 def matches(docs: DataFrame, items: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
-    """key_a, key_b (the text's key), item_id, score: the items that each marked text holds."""
+    """key_a, key_b (the text's key), item_a, item_b (the item's), score: the items that each marked text holds."""
     n = how.seed_terms
-    keyed = items.select("item_id", "text", terms_of(F.col("text")).alias("terms"))
-    runs = written(keyed.select("item_id", F.posexplode(shingles_of(F.col("terms"), n)).alias("pos", "gram")), "item-runs")
-    grams = runs.select("gram").distinct()
+    distinct = items.where("text IS NOT NULL").select(*_item_key(), "text").groupBy("item_a", "item_b").agg(F.first("text").alias("item_text"))
+    named = written(distinct.withColumn("terms", terms_of(F.col("item_text"))).where(F.size("terms") > 0), "items")
+    size = F.least(F.size("terms"), F.lit(n))
+    counts = {r["size"]: r["items"] for r in named.groupBy(size.alias("size")).agg(F.count("*").alias("items")).collect()}  # n rows at most
+    seeds_of = lambda m: named.where(size == m).select("item_a", "item_b", F.explode(F.array_distinct(shingles_of(F.col("terms"), m))).alias("gram"))
+    seeds = written(reduce(DataFrame.unionByName, [seeds_of(m) for m in counts] or [seeds_of(n)]), "seeds")
+    grams = seeds.select("gram").distinct()
     grams = F.broadcast(grams) if grams.count() <= BROADCAST_SEEDS else grams
     terms = docs.select(*text_key(F.col("text")), terms_of(F.col("text")).alias("terms"))
-    found = terms.select("key_a", "key_b", F.explode(F.array_distinct(shingles_of(F.col("terms"), n))).alias("gram"))
-    hits = written(found.join(grams, "gram"), "seed-hits")
-
-    pairs = hits.join(runs.select("gram", "item_id").distinct(), "gram").select("key_a", "key_b", "item_id").distinct()
-    wanted = written(
-        pairs.join(items.select(F.col("item_id").alias("id"), F.col("text").alias("item_text")), F.col("item_id").eqNullSafe(F.col("id")))
-        .groupBy("key_a", "key_b")
-        .agg(F.collect_list(F.struct("item_id", "item_text")).alias("items")),
-        "candidates",
-    )
+    runs = F.array_distinct(F.concat(*[shingles_of(F.col("terms"), m) for m in counts or [n]]))
+    hits = written(terms.select("key_a", "key_b", F.explode(runs).alias("gram")).join(grams, "gram"), "seed-hits")
+
+    rows = max(1, -(-sum(counts.values()) // ITEMS_A_ROW))
+    pairs = hits.join(seeds, "gram").select("key_a", "key_b", "item_a", "item_b").distinct()
+    listed = pairs.join(named.select("item_a", "item_b", "item_text"), ["item_a", "item_b"]).groupBy("key_a", "key_b", F.pmod("item_a", F.lit(rows)).alias("row"))
+    wanted = written(listed.agg(F.collect_list(F.struct("item_a", "item_b", "item_text")).alias("items")), "candidates")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            out = []
             for a, b, text, candidates in batch.itertuples(index=False):
-                own = [(c["item_id"], c["item_text"]) for c in candidates]
-                rows += [(a, b, own[k][0], s) for k, s in best_alignments(text, own, n, how.least)]
-            yield pd.DataFrame(rows, columns=["key_a", "key_b", "item_id", "score"]).astype({"item_id": "Int64", "score": "float64"})
+                own = best_alignments(text, [c["item_text"] for c in candidates], n, how.least)
+                out += [(a, b, candidates[k]["item_a"], candidates[k]["item_b"], s) for k, s in own]
+            yield pd.DataFrame(out, columns=["key_a", "key_b", "item_a", "item_b", "score"])
 
-    texts = docs.select(*text_key(F.col("text")), "text").join(wanted.select("key_a", "key_b"), ["key_a", "key_b"], "left_semi")
+    keys = written(wanted.select("key_a", "key_b").distinct(), "candidate-keys")
+    texts = docs.select(*text_key(F.col("text")), "text").join(bounded(keys), ["key_a", "key_b"], "left_semi")
     once = texts.groupBy("key_a", "key_b").agg(F.first("text").alias("text")).join(wanted, ["key_a", "key_b"])
-    aligned = once.select("key_a", "key_b", "text", "items").mapInPandas(align, "key_a long, key_b long, item_id long, score double")
+    aligned = once.select("key_a", "key_b", "text", "items").mapInPandas(align, "key_a long, key_b long, item_a long, item_b long, score double")
     return written(aligned, "alignments")
 
 
 def judge(docs: DataFrame, items: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
     """doc_id, contaminated, item_ids (ascending) and the best score (null if not marked) of every row of `docs`."""
-    found = matches(docs, items, how).groupBy("key_a", "key_b").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("score").alias("score"))
-    keyed = docs.select("doc_id", *text_key(F.col("text")))
-    return keyed.join(found, ["key_a", "key_b"], "left").select(
+    found = matches(docs, items, how)
+    ids = items.select(*_item_key(), "item_id").groupBy("item_a", "item_b").agg(F.collect_set("item_id").alias("ids"))
+    marked = found.join(ids, ["item_a", "item_b"]).groupBy("key_a", "key_b")
+    marked = written(marked.agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"), F.max("score").alias("score")), "marked")
+    return docs.select("doc_id", *text_key(F.col("text"))).join(bounded(marked, 200_000), ["key_a", "key_b"], "left").select(
         "doc_id",
         F.col("score").isNotNull().alias("contaminated"),
         F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"),
@@ -146,6 +160,6 @@ def judge(docs: DataFrame, items: DataFrame, how: Decontamination = Decontaminat
 
 def clean(docs: DataFrame, items: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
     """The rows of `docs` that hold no item, all columns as they were."""
-    found = matches(docs.select("text"), items, how).select("key_a", "key_b").distinct()
+    found = written(matches(docs.select("text"), items, how).select("key_a", "key_b").distinct(), "marked")
     rows = docs.select(F.struct(*columns_of(docs)).alias("row"), *text_key(docs["text"]))
-    return rows.join(found, ["key_a", "key_b"], "left_anti").select("row.*")
+    return rows.join(bounded(found), ["key_a", "key_b"], "left_anti").select("row.*")
