@@ -202,11 +202,10 @@ def test_repeated_pairs_of_short_sentences_stay_once(spark, make_docs):
 
 
 def test_hot_spans_are_joined_apart(spark, make_docs, monkeypatch):
-    """A table beyond the broadcast size: its hot keys by broadcast, the others by a shuffle; the same result."""
+    """Some keys by broadcast, the others by a shuffle: the same result as all by a shuffle."""
     passage = "This one is shared. All over the place. "
     docs = make_docs([passage + prose(k, 30) + (" Twice in here. Just so. " if k % 9 == 0 else "") + passage for k in range(40)])
     want = sorted(substring_dedup.judge(docs).select("doc_id", "text", "n_removed").collect())
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(common.joined_by_count, "__defaults__", (20,))
     assert sorted(substring_dedup.judge(docs).select("doc_id", "text", "n_removed").collect()) == want
 

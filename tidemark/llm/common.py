@@ -37,13 +37,10 @@ def bounded(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def joined_by_count(rows: DataFrame, table: DataFrame, keys: list[str], hot: int = HOT_ROWS) -> DataFrame:
     """`rows` joined to `table`, a written table with a row a key and `n`, how many of `rows` the key has.
 
-    A small table is broadcast. Of a larger one only the hot keys are (100 000 at most, by their number of rows), so
-    that no task of the shuffle meets more than the rows of one key that is not hot.
+    Hot keys are broadcast (100 000 at most, by their number of rows), the others shuffled, so that no task of the
+    shuffle meets more than the rows of one key that is not hot. The plan is the same at every size.
     """
-    size, total = table.agg(F.count("*"), F.sum("n")).first()
-    if size <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), keys)
-    limit = max(hot, (total or 0) // 100_000)
+    limit = max(hot, (table.agg(F.sum("n")).first()[0] or 0) // 100_000)
     often = F.broadcast(table.where(F.col("n") > limit))
     rest = rows.join(often.select(*keys), keys, "left_anti").join(table.where(F.col("n") <= limit), keys)
     return rows.join(often, keys).unionByName(rest)
