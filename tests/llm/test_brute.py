@@ -40,32 +40,37 @@ def edited(text, every, seed=0):
 
 
 def test_lm_scores_equal_a_direct_count(spark, make_docs):
-    texts = [prose(i % 3, 60, 9) for i in range(5)] + ["one", "one two", "one two three"]
-    counts = [Counter() for _ in range(4)]
-    for t in texts:
-        w = terms(t)
-        for n in (1, 2, 3):
-            counts[n].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-    # Rows are counted as they occur, and each text is scored.
-    total = sum(counts[1].values())
-
-    def one(w, i):
-        penalty = 0.0
-        for n in (3, 2, 1):
-            if i >= n - 1:
-                g = tuple(w[i - n + 1 : i + 1])
-                if n == 1:
-                    return penalty + math.log(counts[1][g] / total)
-                if counts[n][g] >= 2:
-                    return penalty + math.log(counts[n][g] / counts[n - 1][g[:-1]])
-            penalty += math.log(0.4)
-
+    texts = [prose(i % 3, 60, 9) for i in range(5)] + ["one", "one two", "one two three", "two one two one two", None, "..."]
+    of = lambda t: Counter(tuple(w[i : i + n]) for w in [terms(t)] for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    total = sum(map(of, texts), Counter())
+    # A text is scored by what the other rows hold, whatever occurs once there too.
+    size = sum(len(terms(t)) for t in texts)
     got = {r.doc_id: r for r in lm_scoring.score(make_docs(texts)).collect()}
     for k, t in enumerate(texts):
-        w = terms(t)
+        w, others, want = terms(t), total - of(t), 0.0
+        for i in range(len(w)):
+            for n in (3, 2, 1, 0):
+                g = tuple(w[i - n + 1 : i + 1]) if i >= n - 1 else ()
+                if n == 0:
+                    want -= math.log(max(1, size - len(w)))
+                elif others[g]:
+                    want += math.log(others[g] / (others[g[:-1]] if n > 1 else max(1, size - len(w))))
+                    break
+                want += math.log(0.4) if n else 0
         assert got[k].n_terms == len(w)
-        assert got[k].log_score == pytest.approx(sum(one(w, i) for i in range(len(w))))
-        assert got[k].mean_log == pytest.approx(got[k].log_score / len(w))
+        assert got[k].log_score == pytest.approx(want)
+        assert got[k].mean_log == (pytest.approx(got[k].log_score / len(w)) if w else None)
+
+
+def test_lm_refuses_rows_in_another_order(spark, make_docs):
+    # Each scan deals the rows anew, as a shuffle that is made again may.
+    @F.udf("string")
+    def other(t):
+        return f"{t} {random.random()}"
+
+    docs = make_docs([prose(k, 30) for k in range(20)]).withColumn("text", other.asNondeterministic()("text"))
+    with pytest.raises(Exception, match="write them before scoring"):
+        lm_scoring.score(docs).count()
 
 
 # Near duplicates

@@ -1,25 +1,31 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-The model is the corpus itself: the counts of all n-grams up to `order`, over all texts. N-grams of order 2 and more
-that occur fewer than `min_count` times are left out, as is usual, so that text which nothing else resembles backs
-off. A term's score is log(count of the n-gram / count of its context) for the longest n-gram ending in it that is
-left, with log(backoff) for each order given up; for single terms log(count / terms of the corpus).
+The model is the corpus itself: the counts of all n-grams up to `order`, over all texts. A text is scored by the
+counts of the other rows: what it holds itself is taken off each count, as it would else vouch for itself. A term's
+score is log(count of the n-gram / count of its context) for the longest n-gram ending in it that the others hold,
+with log(backoff) for each order given up; for single terms log(count / terms of the others); a term that no other
+row holds scores as one of those terms, with one more log(backoff).
 
 Three steps, each of rows that Spark shuffles:
 1. Texts are taken in chunks of about CHUNK characters. Each chunk's n-grams are exploded, hashed to 64 bits and
    counted; the different ones go, by the leading bits of their hash, to buckets: a row a chunk, order and bucket.
-   A frequent n-gram thus counts once a chunk, and no bucket is hotter than another.
 2. A bucket is a part of the count tables. It adds up the counts of its n-grams over all chunks and joins them back
    to its rows: for each chunk, the corpus counts of the chunk's n-grams, in their order.
 3. A chunk's texts meet its counts, each term takes the longest n-gram that is left, and a document's sum is made.
 
-The number of buckets grows with the corpus, so that a bucket keeps about BUCKET n-grams; chunks do not grow.
-Chunks are made anew for step 3, from the same rows in the same order; a checksum of the texts tells if they were not.
+The number of buckets grows with the corpus, so that a bucket keeps about BUCKET n-grams; chunks do not grow. A
+frequent n-gram counts once a chunk, so a bucket also has an entry a chunk for each of those that it holds.
+Chunks are made anew for step 3, from the same rows in the same order. Each carries a checksum of its ids and texts
+through steps 1 and 2; where it differs from that of step 3 the job fails instead of scoring by counts of other texts.
+
+Rows of packed n-grams take a third of the disk that a row an n-gram takes (README), but a row has fewer n-grams the
+more buckets there are; from about 10 TB on BUCKET has to grow with the executors' memory.
 
 Defined cases
 - null, empty or wordless text: n_terms 0, log_score 0, mean_log null.
 - first terms of a text: the longest n-gram that fits. Long texts: whole, as a chunk of their own.
-- repeated rows and null doc_id: each row counts and is scored. Empty table: no rows. Extra columns are not read.
+- repeated rows and null doc_id: each row counts and is scored, copies by each other.
+- a single row: all terms unseen, of one. Empty table: no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -44,8 +50,8 @@ CHUNK = 4_000_000
 #: Different n-grams of a bucket, about.
 BUCKET = 2_000_000
 
-GRAMS = "bucket int, chunk long, n int, grams binary, counts binary"
-TOTALS = "chunk long, n int, bucket int, totals binary"
+GRAMS = "bucket int, chunk long, check long, n int, grams binary, counts binary"
+TOTALS = "chunk long, check long, n int, bucket int, totals binary"
 TEXTS = "chunk long, check long, ids array<long>, sizes array<int>, texts binary, raw long"
 SCORES = "doc_id long, n_terms long, part double, singles long"
 
@@ -85,9 +91,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list,
 
     def done() -> tuple[int, int, list, list[str]]:
         digest = xxhash.xxh3_64()
-        for t in texts:
-            digest.update(t)
-            digest.update(b"\0")
+        for i, t in zip(ids, texts, strict=True):
+            digest.update(f"{i}\0{t}\0")
         return task * 2**32 + at, digest.intdigest() - 2**63, ids, texts
 
     for batch in batches:
@@ -121,7 +126,7 @@ def exploded(docs: DataFrame, order: int, bits: int) -> DataFrame:
     """Step 1: the different n-grams of each chunk with their counts, by bucket."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _check, _ids, texts in _chunks(batches):
+        for chunk, check, _ids, texts in _chunks(batches):
             _doc, place, hashes = grams(texts, order)
             for n, h in enumerate(hashes, 1):
                 each, counts = np.unique(h[place >= n - 1], return_counts=True)
@@ -129,7 +134,7 @@ def exploded(docs: DataFrame, order: int, bits: int) -> DataFrame:
                 there = np.flatnonzero(np.diff(at))
                 parts = [slice(at[b], at[b + 1]) for b in there]
                 steps = [_packed(np.diff(each[p], prepend=_U(0))) for p in parts]
-                yield _table(GRAMS, [there.tolist(), [chunk] * len(there), [n] * len(there), steps, [_packed(counts[p]) for p in parts]])
+                yield _table(GRAMS, [there.tolist(), [chunk] * len(there), [check] * len(there), [n] * len(there), steps, [_packed(counts[p]) for p in parts]])
 
     return docs.mapInArrow(explode, GRAMS)
 
@@ -146,8 +151,8 @@ def counted(rows: DataFrame) -> DataFrame:
             different, which = np.unique(np.concatenate(each), return_inverse=True)
             totals = np.bincount(which, weights=counts, minlength=len(different))[which].astype(np.int64)
             ends = np.cumsum([len(e) for e in each])
-            keys = zip(own.column("chunk").to_pylist(), own.column("bucket").to_pylist(), np.split(totals, ends[:-1]), strict=True)
-            out += [(c, n, b, _packed(t)) for c, b, t in keys]
+            keys = zip(*[own.column(k).to_pylist() for k in ("chunk", "check", "bucket")], np.split(totals, ends[:-1]), strict=True)
+            out += [(c, k, n, b, _packed(t)) for c, k, b, t in keys]
         return pa.Table.from_batches([_table(TOTALS, [list(c) for c in zip(*out, strict=True)])])
 
     return rows.groupBy("bucket").applyInArrow(count, TOTALS)
@@ -165,26 +170,41 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(pack, TEXTS)
 
 
-def _scored(texts: list[str], totals: dict[int, np.ndarray], order: int, min_count: int, backoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: its terms, the sum of their scores without log(terms of the corpus), and how many single terms that lacks."""
+def _others(h: np.ndarray, doc: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Of each n-gram `h` of text `doc`: how often other texts hold it, from the corpus counts of the different ones."""
+    if not len(h):
+        return np.zeros(0)
+    order = np.argsort(h, kind="stable")  # texts stay in order among equal ones
+    sorted_h, sorted_doc = h[order], doc[order]
+    new = np.append(True, sorted_h[1:] != sorted_h[:-1])
+    each = np.append(new[1:] | (sorted_doc[1:] != sorted_doc[:-1]), True)
+    ends = np.flatnonzero(each)
+    own = np.repeat(np.diff(ends, prepend=-1), np.diff(ends, prepend=-1))
+    out = np.empty(len(h))
+    out[order] = totals[np.cumsum(new) - 1] - own
+    return out
+
+
+def _scored(texts: list[str], totals: dict[int, np.ndarray], order: int, backoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: its terms, the sum of their scores without the log of the others' terms, and how many lack that."""
     doc, place, hashes = grams(texts, order)
     counts = []
     for n, h in enumerate(hashes, 1):
         there = place >= n - 1
         c = np.zeros(len(h))
-        c[there] = totals[n][np.unique(h[there], return_inverse=True)[1]] if there.any() else 0
+        c[there] = _others(h[there], doc[there], totals[n])
         counts.append(c)
-    score, level = np.zeros(len(doc)), np.zeros(len(doc), int)
+    score, level = np.full(len(doc), order * math.log(backoff)), np.zeros(len(doc), int)
     for n in range(order, 0, -1):
-        found = (level == 0) & (counts[n - 1] >= (min_count if n > 1 else 1))
+        found = (level == 0) & (counts[n - 1] > 0)
         context = counts[n - 2][np.flatnonzero(found) - 1] if n > 1 else 1.0
         score[found] = np.log(counts[n - 1][found] / context) + (order - n) * math.log(backoff)
         level[found] = n
     size = len(texts)
-    return np.bincount(doc, minlength=size), np.bincount(doc, weights=score, minlength=size), np.bincount(doc[level == 1], minlength=size)
+    return np.bincount(doc, minlength=size), np.bincount(doc, weights=score, minlength=size), np.bincount(doc[level <= 1], minlength=size)
 
 
-def score(docs: DataFrame, order: int = 3, min_count: int = 2, backoff: float = 0.4) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, backoff: float = 0.4) -> DataFrame:
     """doc_id, n_terms, log_score (sum over the terms) and mean_log of every row of `docs`."""
     rows = docs.select("doc_id", "text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -193,19 +213,25 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2, backoff: float =
     def join(chunk: pa.Table, counts: pa.Table) -> pa.Table:
         names, out = [f.split()[0] for f in SCORES.split(", ")], []
         by: dict[tuple[int, int], dict[int, bytes]] = {}
+        checks = set(counts.column("check").to_pylist())
         for c, n, b, t in zip(*[counts.column(k).to_pylist() for k in ("chunk", "n", "bucket", "totals")], strict=True):
             by.setdefault((c, n), {})[b] = t
         for r in chunk.to_pylist():
+            if checks - {r["check"]}:
+                raise ValueError("the texts came in another order the second time: write them before scoring")
             raw, ends = pa.decompress(r["texts"], r["raw"], "zstd", asbytes=True), np.cumsum(r["sizes"])
             texts = [raw[e - s : e].decode() for s, e in zip(r["sizes"], ends, strict=True)]
             totals = {n: np.concatenate([_unpacked(t) for _, t in sorted(by.get((r["chunk"], n), {0: _packed(np.zeros(0))}).items())]) for n in range(1, order + 1)}
-            terms, part, singles = _scored(texts, totals, order, min_count, backoff)
+            terms, part, singles = _scored(texts, totals, order, backoff)
             out.append(_table(SCORES, [r["ids"], terms.tolist(), part.tolist(), singles.tolist()]))
+        if counts.num_rows and not chunk.num_rows:
+            raise ValueError("the texts came in other chunks the second time: write them before scoring")
         schema = _table(SCORES, [[]] * len(names)).schema
         return pa.Table.from_batches(out, schema)
 
     totals = counted(exploded(rows, order, bits))
     sums = written(_texts(rows).groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(join, SCORES), "lm-sums")
-    terms = sums.agg(F.sum("n_terms")).first()[0] or 1
-    log_score = F.col("part") - F.col("singles") * math.log(max(1, terms))
+    terms = sums.agg(F.sum("n_terms")).first()[0] or 0
+    others = F.log(F.greatest(F.lit(terms) - F.col("n_terms"), F.lit(1)))
+    log_score = F.col("part") - F.col("singles") * others
     return sums.select("doc_id", "n_terms", log_score.alias("log_score"), F.when(F.col("n_terms") > 0, log_score / F.col("n_terms")).alias("mean_log"))

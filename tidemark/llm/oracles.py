@@ -49,4 +49,19 @@ def _urls() -> str:
     """
 
 
-ORACLES = {"op6_mixing": _mixing(), "op9_url_filter": _urls()}
+#: Terms as lower-cased runs of letters and digits; counts of n-grams by windows, the row's own ones taken off.
+_LM = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+    t AS (SELECT r, i, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS p, CASE WHEN i > 2 THEN w[i - 2] END AS q FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+    c AS (SELECT r, i, count(*) OVER () AS n, count(*) OVER (PARTITION BY r) AS own,
+                 count(*) OVER (PARTITION BY x) - count(*) OVER (PARTITION BY r, x) AS c1,
+                 CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY i > 1, p, x) - count(*) OVER (PARTITION BY r, i > 1, p, x) ELSE 0 END AS c2,
+                 CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY i > 2, q, p, x) - count(*) OVER (PARTITION BY r, i > 2, q, p, x) ELSE 0 END AS c3 FROM t),
+    b AS (SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY i) AS b1, lag(c2) OVER (PARTITION BY r ORDER BY i) AS b2 FROM c),
+    s AS (SELECT r, count(*) AS n_terms, sum(CASE WHEN c3 > 0 THEN ln(c3 / b2) WHEN c2 > 0 THEN ln(c2 / b1) + ln(0.4)
+                 WHEN c1 > 0 THEN ln(c1 / greatest(n - own, 1)) + 2 * ln(0.4) ELSE 3 * ln(0.4) - ln(greatest(n - own, 1)) END) AS log_score FROM b GROUP BY r)
+    SELECT doc_id, coalesce(n_terms, 0) AS n_terms, round(coalesce(log_score, 0), 4) + 0.0::double AS log_score, round(log_score / n_terms, 6) + 0.0::double AS mean_log FROM d LEFT JOIN s USING (r)
+"""
+
+
+ORACLES = {"op1_lm_scoring": _LM, "op6_mixing": _mixing(), "op9_url_filter": _urls()}

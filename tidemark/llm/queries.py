@@ -24,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"))
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_terms", F.round("log_score", 4).alias("log_score"), F.round("mean_log", 6).alias("mean_log"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
