@@ -101,27 +101,49 @@ def test_sketch_weighs_repeated_runs():
     assert (s[0] == s[1]).mean() == pytest.approx(exact, abs=0.04)
 
 
-def test_near_duplicate_classes(spark, make_docs):
-    texts = [prose(i, 200) for i in range(30)]
-    texts += [edited(texts[0], 45, k) for k in range(25)] + [texts[1]] * 20 + [texts[2].upper()]
-    texts += [edited(texts[3], 9, 1)]  # far too many edits
-    docs = make_docs(texts)
-    got = {r.doc_id: r.class_id for r in near_duplicates.judge(docs).collect()}
-    sets = [shingles(t) for t in texts]
-    parent = list(range(len(texts)))
+def linked_classes(texts):
+    """The least place of each text's class, from all pairs of texts that have a run in common."""
+    sets, holders, parent = [shingles(t) for t in texts], defaultdict(list), list(range(len(texts)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i in range(len(texts)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+    for i, own in enumerate(sets):
+        common = Counter(j for g in own for j in holders[g])
+        for j, n in common.items():
+            if n >= 0.8 * (len(own) + len(sets[j]) - n):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
-    assert got == {i: root(i) for i in range(len(texts))}
-    assert sorted(r.doc_id for r in near_duplicates.one_of_each(docs).collect()) == sorted({root(i) for i in range(len(texts))})
+        for g in own:
+            holders[g].append(i)
+    return {i: root(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("rounds", [6, 1])
+def test_near_duplicate_classes(spark, make_docs, monkeypatch, rounds):
+    """Also when the leader rounds leave nearly all to the exact one, in blocks."""
+    monkeypatch.setattr(near_duplicates, "LEADER_ROUNDS", rounds)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+    texts = [prose(i, 200) for i in range(30)]
+    texts += [edited(texts[0], 45, k) for k in range(25)] + [texts[1]] * 20 + [texts[2].upper()]
+    texts += [edited(texts[3], 9, 1)]  # far too many edits
+    texts += [edited(texts[4], 37 + k % 9, k) for k in range(60)]  # most at just 0.8 of few others
+    stutter = " ".join(texts[5].split()[:3])
+    texts += [texts[5] + f" {stutter}" * k for k in (40, 300)]  # the same runs but for some that repeat
+    docs, want = make_docs(texts), linked_classes(texts)
+    assert {r.doc_id: r.class_id for r in near_duplicates.judge(docs).collect()} == want
+    if rounds > 1:
+        assert sorted(r.doc_id for r in near_duplicates.one_of_each(docs).collect()) == sorted(set(want.values()))
+
+
+def test_near_duplicate_classes_of_a_table(spark):
+    d = "/root/testdata/sf0.01"
+    rows = sorted((r.doc_id, r.text) for r in table(spark, d).collect())
+    want = linked_classes([t for _, t in rows])
+    got = {r.doc_id: r.class_id for r in queries.QUERIES["op2_near_duplicates"](spark, d).collect()}
+    assert got == {i: rows[want[k]][0] for k, (i, _) in enumerate(rows)}
 
 
 def test_components_of_a_chain(spark):

@@ -5,12 +5,19 @@ process whose rate is its weight; every arrival falls on one of the registers, w
 first. A run stops arriving once its next arrival is later than all registers' (early termination), so a text costs
 about its length plus m log m arrivals. Two texts agree in a register with the probability Jaccard similarity of
 their weighted runs. BANDS bands of ROWS registers make candidates: texts at 0.8 share none with odds of 1 in 10^4.
+A text that repeats runs has a second sketch, of its runs with weight one, in the same bands: a text and its like
+with a stutter in it have alike sets of runs, however far apart their weights are.
 
 Candidates are verified: a link needs a Jaccard similarity of their sets of runs of at least 0.8, computed exactly.
-Within a bucket, texts outside its largest class are tried against one member of that class and one of the others,
-never against all; in the first round each text is its own class. Further rounds try the buckets that still hold
-several classes against members drawn anew, and finer buckets of two bands, where what meets is likelier to be
-similar; until a round finds no link (MAX_ROUNDS at most). No pair is tried twice. Classes are the connected components of the links, found by label propagation with each step written.
+First in rounds by leaders: within a bucket, texts outside its largest class are tried against one member of that
+class and one of the others; in the first round each text is its own class. Further rounds try the buckets that still
+hold several classes against members drawn anew, and finer buckets of two bands, where what meets is likelier to be
+similar, until a round finds no link (LEADER_ROUNDS at most). Then an exact round: in each bucket that still holds
+several classes, every text outside the largest is tried, in blocks of BLOCK members, against every text of another
+class that it was not tried against and that is large enough to be similar. After it no two texts of a bucket that are
+similar are in two classes, whatever the rounds before found; what they save is pairs within classes, which are never
+tried. No pair is tried twice. Classes are the connected components of the links, found by label propagation with
+each step written.
 
 Copies are one text throughout: texts are compared by a 128-bit key and joined to their rows at the end.
 
@@ -39,7 +46,9 @@ from tidemark.llm.common import bounded, columns_of, mixed, shingles_of, terms_o
 TERMS = 5
 BANDS, ROWS = 24, 5
 SIMILAR = 0.8
-MAX_ROUNDS = 6
+LEADER_ROUNDS = 6
+#: Members of a bucket in a block of the exact round, about.
+BLOCK = 1_000
 #: Bytes of text that are sketched at a time.
 CHUNK = 1_000_000
 
@@ -73,9 +82,13 @@ def weighted_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def sketch(texts: list[str], registers: int = BANDS * ROWS) -> np.ndarray:
     """The run that arrives first at each register, a row a text; zeros for a text without runs."""
-    doc, run, weight = weighted_runs(texts)
-    first = np.full(len(texts) * registers, np.inf)
-    kept = np.zeros(len(texts) * registers, _U)
+    return arrivals(*weighted_runs(texts), len(texts), registers)
+
+
+def arrivals(doc: np.ndarray, run: np.ndarray, weight: np.ndarray, n: int, registers: int = BANDS * ROWS) -> np.ndarray:
+    """`sketch` of `n` texts from their runs and the runs' weights."""
+    first = np.full(n * registers, np.inf)
+    kept = np.zeros(n * registers, _U)
     time, turn = np.zeros(len(doc)), 0
     while len(doc):
         turn += 1
@@ -100,6 +113,21 @@ def band_hashes(sketches: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many runs each text has, how many band hashes (BANDS, or twice if runs repeat), and all of these in a row."""
+    doc, run, weight = weighted_runs(texts)
+    runs = np.bincount(doc, minlength=len(texts))
+    hashes = band_hashes(arrivals(doc, run, weight, len(texts)))
+    repeats = np.unique(doc[weight > 1])
+    if not len(repeats):
+        return runs, np.full(len(texts), BANDS), hashes.ravel()
+    own = np.isin(doc, repeats)
+    second = band_hashes(arrivals(np.searchsorted(repeats, doc[own]), run[own], np.ones(own.sum()), len(repeats)))
+    which = np.concatenate([np.arange(len(texts)), repeats])
+    order = np.argsort(which, kind="stable")
+    return runs, np.bincount(which) * BANDS, np.concatenate([hashes, second])[order].ravel()
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bands of the texts of each batch, CHUNK characters (one text at least) at a time."""
     for batch in batches:
@@ -107,10 +135,10 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
             part = batch.slice(lo, hi - lo)
-            hashes = band_hashes(sketch(part.column("text").to_pylist())).view(np.int64)
-            offsets = np.arange(len(hashes) + 1, dtype=np.int32) * BANDS
-            bands = pa.ListArray.from_arrays(offsets, pa.array(hashes.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("key_a"), part.column("key_b"), bands], ["key_a", "key_b", "bands"])
+            runs, counts, hashes = bands_of(part.column("text").to_pylist())
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("key_a"), part.column("key_b"), pa.array(runs.astype(np.int32)), bands], ["key_a", "key_b", "size", "bands"])
 
 
 def _has_terms(text: Column) -> Column:
@@ -162,12 +190,13 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """node (text key), label: for each text that is linked to another one, its class."""
     keyed = docs.select(*text_key(F.col("text")), "text").where(_has_terms(F.col("text")))
-    bands = written(keyed.mapInArrow(_bands, "key_a long, key_b long, bands array<long>"), "bands")
-    once = bands.groupBy("key_a", "key_b").agg(F.first("bands").alias("bands"))
-    members = _shared(once.select(_node(), F.posexplode("bands").alias("band", "value")), "members")
+    bands = written(keyed.mapInArrow(_bands, "key_a long, key_b long, size int, bands array<long>"), "bands")
+    once = bands.groupBy("key_a", "key_b").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    placed = lambda values: F.explode(F.array_distinct(F.transform(values, lambda x, i: F.struct((i % BANDS).alias("band"), x.alias("value"))))).alias("x")
+    members = _shared(once.select(_node(), "size", placed("bands")).select("node", "size", "x.*"), "members")
     # Finer buckets of two neighbouring bands: what meets there is likelier to be similar.
-    pairs = F.transform("bands", lambda x, i: F.xxhash64(x, F.get("bands", (i + 1) % BANDS)))
-    finer = _shared(once.select(_node(), F.posexplode(pairs).alias("band", "value")), "finer-members").withColumn("band", F.col("band") + BANDS)
+    pairs = F.transform("bands", lambda x, i: F.xxhash64(x, F.get("bands", i - i % BANDS + (i + 1) % BANDS)))
+    finer = _shared(once.select(_node(), "size", placed(pairs)).select("node", "size", "x.*"), "finer-members").withColumn("band", F.col("band") + BANDS)
 
     wanted = written(members.select("node.key_a", "node.key_b").distinct(), "candidates")
     texts = keyed.join(bounded(wanted), ["key_a", "key_b"], "left_semi").groupBy("key_a", "key_b").agg(F.first("text").alias("text"))
@@ -176,7 +205,7 @@ def classes(docs: DataFrame) -> DataFrame:
     runs = written(terms.select("node", whole.alias("runs")), "runs")
 
     labels = tried = None
-    for turn in range(MAX_ROUNDS):
+    for turn in range(LEADER_ROUNDS):
         rows = members.unionByName(finer) if turn else members
         at = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         draw = lambda c: _draw(F.col(c), turn)  # noqa: B023, E731
@@ -189,9 +218,7 @@ def classes(docs: DataFrame) -> DataFrame:
         if labels is not None:
             own = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
             tries = tries.join(own("a"), "a", "left").join(own("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-        if tried is not None:
-            tries = tries.join(tried, ["a", "b"], "left_anti")
-        tries = written(tries, "tries")
+        tries = written(tries if tried is None else tries.join(tried, ["a", "b"], "left_anti"), "tries")
         tried = tries if tried is None else tried.unionByName(tries)
         new = written(_linked(tries, runs), "new-links")
         if not new.limit(1).count():
@@ -199,11 +226,32 @@ def classes(docs: DataFrame) -> DataFrame:
                 break
             continue
         labels = components(new) if labels is None else _joined(labels, new)
+
+    rest = _untried(members, labels)
+    rest = written(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    new = written(_linked(rest, runs), "new-links")
+    if new.limit(1).count():
+        labels = components(new) if labels is None else _joined(labels, new)
     if labels is None:
         return members.select("node", F.col("node").alias("label")).limit(0)
     return labels
 
 
+def _untried(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of a bucket in different classes, of sizes that allow a link, one of them outside its largest class."""
+    at = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    at = written(at, "placed-members")
+    by_class = at.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
+    buckets = by_class.groupBy("band", "value").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k"))
+    buckets = written(buckets.where("k > 1").select("band", "value", "top", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-buckets")
+    both = at.join(buckets, ["band", "value"])
+    outside = both.where(F.col("label") != F.col("top")).select("band", "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("node", "label", "size").alias("x"))
+    inside = both.select("band", "value", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.struct("node", "label", "size").alias("y"))
+    sizes = F.least("x.size", "y.size") >= SIMILAR * F.greatest("x.size", "y.size")
+    pairs = outside.join(inside, ["band", "value", "block"]).where((F.col("x.label") != F.col("y.label")) & sizes)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def _joined(labels: DataFrame, new: DataFrame) -> DataFrame:
     """`labels` with the classes put together that new links (a, b) join; only the classes are searched, not their members."""
     own = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
