@@ -412,14 +412,16 @@ def test_lines_equal_brute_force(spark, make_docs):
             words.insert(k, f"y{rng.randrange(3)}")
         elif change == 3:
             words[k], words[k - 1] = "p", "q"
-        texts.append("\n".join([" ".join(words), "short line", "", "  " + rng.choice(base) + "  "]))
+        # Lines of one to seven words too, most of them one edit from another.
+        short = [rng.choice("ab") if k == rng.randrange(7) else f"s{k}" for k in range(rng.randrange(1, 8))]
+        texts.append("\n".join([" ".join(words), " ".join(short), "short line", "", "  " + rng.choice(base) + "  "]))
     lines = [(tuple(line.split()), d, k) for d, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if line.split()]
     first = {}
     for w, d, k in lines:
         first.setdefault(w, (d, k))
     want = defaultdict(list)
     for w, d, k in lines:
-        near = len(w) >= 8 and any(len(o) >= 8 and o != w and first[o] < first[w] and within_one(o, w) for o in first)
+        near = len(w) >= 5 and any(len(o) >= 5 and o != w and first[o] < first[w] and within_one(o, w) for o in first)
         if near or first[w] != (d, k):
             want[d].append(k)
     got = {r.doc_id: list(r.removed) for r in line_dedup.judge(make_docs(texts)).collect()}
@@ -428,6 +430,12 @@ def test_lines_equal_brute_force(spark, make_docs):
     assert kept == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[d]) for d, t in enumerate(texts)}
 
 
+def test_line_bound_on_both_sides(spark, make_docs):
+    lines = ["a b c d e f g", "a b x d e f g", "one two three four five", "one two three four six", "p q r s", "p q r t", "p q r s u", "k", "l"]
+    got = line_dedup.judge(make_docs(["\n".join(lines)])).first()
+    assert list(got.removed) == [1, 3] and got.n_lines == len(lines)
+
+
 # Decontamination
 
 

@@ -1,8 +1,10 @@
 """Line de-duplication by a deletion-neighbourhood join, in DataFrame functions only.
 
-Two lines are the same if their words (parted by blanks) are equal, or, when both have at least `min_words`, if one
-word's insertion, deletion or replacement turns one into the other. A line goes if an equal or near line comes
-before it, by doc_id, text and place.
+Two lines are the same if their words (parted by blanks) are equal, or if one word's insertion, deletion or
+replacement turns one into the other and both have at least `min_words` words. That is the bound as a function of a
+line's length: one word, if that is a fifth of the line at most; none for lines of one to four words, which one word
+makes another line (any two lines of one word are one edit apart). A line goes if an equal or near line comes before
+it, by doc_id, text and place.
 
 A line's variants are the line without its i-th word, and the line itself with a gap at each place, each keyed by a
 hash of what stands before the gap and what stands after it. Lines that share a variant are then at most one edit
@@ -15,7 +17,7 @@ Counts by half, variant and line are grouped aggregates with map-side combining,
 
 Defined cases
 - null text: no lines. Lines without words: never removed. Lines shorter than `min_words`: equal lines only.
-- null doc_id: after all others. Repeated rows (same doc_id and text) are one document; each row is returned.
+- null doc_id: after all others, like the largest id that a long holds. Repeated rows (same doc_id and text) are one document; each row is returned.
 - long lines: variants come from running hashes, in proportion to the line's length.
 - empty table: no rows. Extra columns: kept by `clean`, whatever their names.
 """
@@ -30,7 +32,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import bounded, columns_of, written
 
-MIN_WORDS = 8
+MIN_WORDS = 5
 LAST = 2**63 - 1
 
 
