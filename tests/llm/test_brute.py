@@ -537,12 +537,46 @@ def test_matches_duckdb(spark, sf_dir, name):
     same(queries.QUERIES[name](spark, sf_dir), connection(sf_dir), oracles.ORACLES[name])
 
 
-def test_bloom_blocks_have_no_false_negative(spark):
-    entries = spark.range(2000).select(F.concat(F.lit("h"), F.col("id")).alias("host"), F.concat(F.lit("/"), F.col("id") % 7).alias("path"), F.lit("block").alias("verdict"))
-    pages = entries.select(F.monotonically_increasing_id().alias("page_id"), F.concat(F.lit("http://www."), F.col("host"), F.col("path")).alias("url"))
-    others = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://other"), F.col("id"), F.lit("/")).alias("url"))
-    assert url_rules.judge(pages, entries, entries.select("host", "path").limit(0)).where("verdict = 'block'").count() == 2000
-    assert url_rules.judge(others, entries, entries.select("host", "path").limit(0)).where("verdict = 'block'").count() == 0
+def test_bloom_blocks_pass_all_entries_and_few_others(spark):
+    entries = spark.range(20_000).select(F.concat(F.lit("h"), F.col("id") % 500).alias("host"), F.concat(F.lit("/a/"), F.col("id")).alias("path"))
+    others = entries.select("host", F.concat("path", F.lit("x")).alias("path"))
+    blocks = 20_000 * url_rules.BITS_PER_ENTRY // 512
+    filters = url_rules.bloom_blocks(entries, blocks)
+    assert filters.count() == blocks
+
+    def passed(keys):
+        block, bits = url_rules._places(F.col("host"), F.col("path"), blocks)
+        at = keys.select(block.alias("block"), bits.alias("want")).join(filters, "block")
+        return at.where(F.forall("want", lambda b: url_rules._bit(F.col("bits"), b))).count()
+
+    assert passed(entries) == 20_000
+    assert passed(others) < 0.01 * 20_000
+
+
+def test_listed_urls_are_found_by_their_canonical_form(spark, make_docs):
+    """A list of thousands read from a table, against a set of all its keys."""
+    listed = spark.range(5_000).select(F.concat(F.lit("Bad"), F.col("id") % 700, F.lit(".test")).alias("host"), F.concat(F.lit("/p/"), F.col("id"), F.lit("/")).alias("path"))
+    listed = common.written(listed.unionByName(spark.createDataFrame([("all.test.", ""), (None, "/"), ("", "/")], "host string, path string")), "list")
+    cases = {
+        "http://bad3.test/p/3": "bad3.test/p/3",
+        "http://BAD3.test:8080/p/3/": "bad3.test/p/3",
+        "http://user:pw@www.bad3.test./p//./3/deeper?q": "bad3.test/p/3",
+        "http://bad3.test/%70/3": "bad3.test/p/3",
+        "http://bad3.test/p/33": None,
+        "http://bad3.test/p/703": "bad3.test/p/703",
+        "http://notbad3.test/p/3": None,
+        "http://bad3.test/%zz/3": None,
+        "http://x.all.test/anything": "all.test",
+        "http://all.test:80": "all.test",
+        "http://all.test.example/": None,
+        "http://bad3.test": None,
+        "": None,
+    }
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    got = {r.page_id: r for r in url_rules.judge(pages, spark.createDataFrame([], "host string, path string, verdict string"), listed).collect()}
+    assert [got[k].entry for k in range(len(cases))] == list(cases.values())
+    assert [got[k].verdict for k in range(len(cases))] == ["block" if e else "allow" for e in cases.values()]
+    assert got[1].host == "bad3.test:8080" and got[2].path == "/p//./3/deeper"
 
 
 def test_base_counts_equal_brute_force(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm.queries import MIX, MIX_BLOCK, URL_LIST, URL_RULES
+from tidemark.llm.queries import MIX, MIX_BLOCK, URL_LIST_DOMAINS, URL_LIST_NAMES, URL_LIST_PAGES, URL_RULES
 
 
 def _period(parts: dict[str, int]) -> list[tuple[str, int, int]]:
@@ -33,19 +33,25 @@ def _mixing() -> str:
 
 
 def _urls() -> str:
-    entries = [(h, p, v, 0) for h, p, v in URL_RULES] + [(h, p, "block", 1) for h, p in URL_LIST]
-    values = ", ".join(f"('{h}', '{p}', '{v}', {k})" for h, p, v, k in entries)
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    hosts = ", ".join(f"('{n}.{d}', '')" for n in URL_LIST_NAMES for d in URL_LIST_DOMAINS)
     return f"""
-    WITH e(eh, ep, ev, kind) AS (VALUES {values}),
+    WITH rules(rh, rp, rv) AS (VALUES {rules}),
+    listed(lh, lp) AS (SELECT * FROM (VALUES {hosts}) UNION ALL SELECT 'host' || (k % 1000) || '.example.com', '/listed/' || k FROM range({URL_LIST_PAGES}) t(k)),
     r AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     u AS (SELECT page_id, row_number() OVER () AS n,
                  translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-    f AS (SELECT n, arg_min({{'rule': eh || ep, 'verdict': ev, 'kind': kind}}, kind * 100000 - length(eh) - length(ep)) AS hit
-          FROM u JOIN e ON (host = eh OR ends_with(host, '.' || eh)) AND starts_with(path, ep) GROUP BY n)
-    SELECT page_id, host, path, CASE WHEN hit.kind = 0 THEN hit.rule END AS rule, coalesce(hit.verdict, 'allow') AS verdict,
-           CASE hit.kind WHEN 0 THEN 'rule' WHEN 1 THEN 'list' END AS "by"
-    FROM u LEFT JOIN f USING (n)
+    c AS (SELECT n, string_split(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.+$', ''), '.') AS labels,
+                 list_filter(string_split(url_decode(replace(path, '+', '%2B')), '/'), lambda x: x <> '' AND x <> '.') AS segments FROM u),
+    k AS (SELECT n, array_to_string(labels[i:], '.') AS lh, CASE WHEN j = 0 THEN '' ELSE '/' || array_to_string(segments[:j], '/') END AS lp
+          FROM (SELECT n, labels, segments, i, unnest(range(0, len(segments) + 1)) AS j FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS i FROM c))),
+    l AS (SELECT n, arg_max(lh || lp, length(lh) + length(lp)) AS entry FROM k JOIN listed USING (lh, lp) GROUP BY n),
+    f AS (SELECT n, arg_max({{'rule': rh || rp, 'verdict': rv}}, length(rh) + length(rp)) AS hit
+          FROM u JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY n)
+    SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, CASE WHEN entry IS NOT NULL THEN 'block' END, 'allow') AS verdict, entry,
+           CASE WHEN hit IS NOT NULL THEN 'rule' WHEN entry IS NOT NULL THEN 'list' END AS "by"
+    FROM u LEFT JOIN f USING (n) LEFT JOIN l USING (n)
     """
 
 

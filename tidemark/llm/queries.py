@@ -13,8 +13,20 @@ MIX = {"src0": 6, "src1": 4, "src2": 4, "src3": 3, "src4": 3, "src5": 2, "src6":
 MIX_BLOCK = 65_536  # characters
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-#: Canonical URL prefixes that are listed as blocked, with all subdomains.
-URL_LIST = [("spam-farm.example.org", ""), ("cheap-pills.example.com", ""), ("adult-x.example.net", "")]
+#: Listed hosts: each of these names under each of these domains, with all that is below them.
+URL_LIST_NAMES = ("spam-farm", "cheap-pills", "adult-x", "casino-win", "free-bets", "ads-track")
+URL_LIST_DOMAINS = ("example.com", "example.net", "example.org")
+#: Besides, this many pages by rule: page k is /listed/k on host k mod 1000, as a list holds mostly what a crawl never meets.
+URL_LIST_PAGES = 20_000
+
+
+def url_list(spark: SparkSession) -> DataFrame:
+    """host, path of the blocked URLs."""
+    hosts = [(f"{n}.{d}", "") for n in URL_LIST_NAMES for d in URL_LIST_DOMAINS]
+    k = F.col("id")
+    pages = spark.range(URL_LIST_PAGES).select(F.concat(F.lit("host"), k % 1000, F.lit(".example.com")).alias("host"), F.concat(F.lit("/listed/"), k).alias("path"))
+    return spark.createDataFrame(hosts, "host string, path string").unionByName(pages)
+
 
 SHARDS = sharding.Tiers(arrival_rows=2_000, target_bytes=64 << 20)
 
@@ -68,8 +80,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    listed = spark.createDataFrame(URL_LIST, "host string, path string")
-    return url_rules.judge(table(spark, sf_dir, "pages"), rules, listed)
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules, url_list(spark))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
