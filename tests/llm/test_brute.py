@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 import re
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -270,6 +272,45 @@ def test_held_out_quality(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in scores)
 
 
+def plain_features(t):
+    """The transformed statistics of a text, one by one."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, chars = max(len(w), 1), sum(map(len, w))
+    windows = list(zip(w, w[1:], w[2:], strict=False))
+    capitals = sum(unicodedata.category(c) == "Lu" for c in t)
+    return [
+        (chars + 60) / (n + 10),
+        math.log1p(100 * sum(c in "#*$%&|<>!" for c in t) / (n + 10)),
+        math.sqrt((len(lines) - len(set(lines))) / (len(lines) + 3)),
+        math.sqrt(max(0, n - 2 - len(set(windows))) / (n + 10)),
+        math.sqrt((capitals + 1) / (chars + 60)),
+        math.sqrt((sum(c in ".,;:?" for c in t) + 1.4) / (n + 10)),
+        math.log((len(set(w)) + 10) / (n + 10) ** 0.9),
+        (sum(len(x) <= 3 for x in w) + 4) / (n + 10),
+    ]
+
+
+def test_scores_equal_a_fit_by_hand(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in table(spark, sf_dir).collect()}
+    labels = {r.doc_id: r.quality for r in table(spark, sf_dir, "labels").collect()}
+    x = {d: np.array(plain_features(t)) for d, t in texts.items()}
+    learnt = [d for d in labels if zlib.crc32(str(d).encode()) % 4 != 2 and texts[d].split()]
+    by = [np.array([x[d] for d in learnt if labels[d] == c]) for c in (0, 1)]
+    covs = [np.cov(v.T, bias=True) for v in by]
+    pooled = np.diag(sum(len(v) * np.diag(c) for v, c in zip(by, covs, strict=True)) / sum(map(len, by)))
+    covs = [0.7 * c + 0.3 * pooled + np.eye(8) * 0.02**2 for c in covs]
+    log = lambda c, v: -0.5 * ((v - by[c].mean(0)) @ np.linalg.solve(covs[c], v - by[c].mean(0)) + np.linalg.slogdet(covs[c])[1])
+    got = {r.doc_id: r for r in queries.QUERIES["op4_quality_classifier"](spark, sf_dir).collect()}
+    for d, t in texts.items():
+        odds = log(1, x[d]) - log(0, x[d]) + math.log(len(by[1]) / len(by[0]))
+        want = 1 / (1 + math.exp(-min(30, max(-30, odds)))) if t.split() else 0.0
+        assert got[d].score == pytest.approx(want, abs=1e-6)
+        assert got[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2)
+    kept = {r.doc_id for r in quality_model.keep_good(table(spark, sf_dir), table(spark, sf_dir, "labels")).collect()}
+    assert kept == {d for d, r in got.items() if r.predicted}
+
+
 def test_score_is_the_density_ratio():
     rng = np.random.default_rng(1)
     means = (rng.normal(size=8), rng.normal(size=8))

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANK, columns_of, words_of, written
+from tidemark.llm.common import BLANK, bounded, columns_of, words_of, written
 
 FEATURES = ("mean_word", "symbols", "dup_lines", "repeats", "capitals", "marks", "distinct", "short_words")
 SYMBOLS = "#*$%&|<>!"
@@ -74,10 +74,9 @@ def with_features(rows: DataFrame) -> DataFrame:
         F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0))),
         lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)),
     )
-    return split.select(
-        "row",
-        # The added zero keeps a filter on the score above this projection; below it each reference would split the text anew.
-        (F.size("words") + 0 * F.spark_partition_id()).alias("n_words"),
+    # One generated row a text: what is computed of it is computed once, also under a filter on the score.
+    statistics = F.struct(
+        F.size("words").alias("n_words"),
         ((F.col("n_chars") + 60) / (n + TYPICAL)).alias("mean_word"),
         F.log1p(100 * F.col("n_symbols") / (n + TYPICAL)).alias("symbols"),
         F.sqrt((F.size("lines") - F.size(F.array_distinct("lines"))) / (F.size("lines") + 3)).alias("dup_lines"),
@@ -88,6 +87,7 @@ def with_features(rows: DataFrame) -> DataFrame:
         F.log((F.size(F.array_distinct("words")) + TYPICAL) / F.pow((n + TYPICAL).cast("double"), F.lit(0.9))).alias("distinct"),
         ((F.size(F.filter("words", lambda w: F.length(w) <= 3)) + 4) / (n + TYPICAL)).alias("short_words"),
     )
+    return split.select("row", F.explode(F.array(statistics)).alias("of")).select("row", "of.*")
 
 
 def fit(features: DataFrame, label: str, shrinkage: float = 0.3, floor: float = 0.02) -> QuadraticModel:
@@ -158,8 +158,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` with a score of 0.7 or more, all columns as they were.
 
-    Statistics are computed twice, for the fit and on the way through, rather than carrying texts through a join.
+    Statistics are computed on the way through, and before that of the labelled rows alone, for the fit.
     """
-    model = _learn(with_features(docs.select(F.struct("doc_id").alias("row"), "text")), labels)
+    known = written(labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id").distinct(), "labelled-ids")
+    labelled = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(bounded(known), "doc_id", "left_semi")
+    model = _learn(with_features(labelled.select(F.struct("doc_id").alias("row"), "text")), labels)
     scored = _scored(with_features(docs.select(F.struct(*columns_of(docs)).alias("row"), docs["text"].alias("text"))), model)
     return scored.where(F.col("score") >= GOOD).select("row.*")
