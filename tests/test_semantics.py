@@ -147,19 +147,45 @@ def test_insert_ignore_is_idempotent(spark):
     assert staging.duplicate_groups(spark.read.parquet(path)).count() == 0
 
 
+def _hashes(spark, n):
+    store = spark.createDataFrame([(f"r{i}", float(i), None) for i in range(n)], "route_id string, a double, b double")
+    return online.as_hash(store, "route_id", ["a", "b"]).coalesce(1)
+
+
 def test_sync_sends_batches_and_then_the_marker(spark, tmp_path):
-    store = spark.createDataFrame([(f"r{i}", float(i), None) for i in range(7)], "route_id string, a double, b double")
-    hashes = online.as_hash(store, "route_id", ["a", "b"]).coalesce(1)
     out = tmp_path / "sent"
 
     def send(batch):
         with out.open("a") as f:
-            f.write("".join(f"{len(batch)} {k} {sorted(v)}\n" for k, v in batch))
+            f.write("".join(f"{len(batch)} {k} {sorted(v)} {v['batch_computed_at']}\n" for k, v in batch))
 
-    tables.sync(hashes, send, lambda: (tmp_path / "done").touch(), batch_size=3)
+    assert tables.sync(_hashes(spark, 7), send, lambda at: (tmp_path / at).touch(), "now", batch_size=3) == 7
     lines = out.read_text().splitlines()
-    assert len(lines) == 7 and all("['a']" in x for x in lines) and {x[0] for x in lines} == {"3", "1"}
-    assert (tmp_path / "done").exists()
+    assert len(lines) == 7 and all("['a', 'batch_computed_at'] now" in x for x in lines) and {x[0] for x in lines} == {"3", "1"}
+    assert (tmp_path / "now").exists()
+
+
+def test_sync_leaves_the_marker_without_rows_or_after_a_failure(spark):
+    done = []
+    assert tables.sync(_hashes(spark, 3).limit(0), lambda _: None, done.append, "now") == 0
+
+    def broken(batch):
+        raise OSError("the store is away")
+
+    with pytest.raises(Exception, match="the store is away"):
+        tables.sync(_hashes(spark, 3), broken, done.append, "now")
+    assert not done
+
+
+def test_a_live_stream_takes_messages_as_they_come(spark, sf_dir):
+    table, dead = fresh(spark, "live"), fresh(spark, "dead")
+    going = streams.ingest(more.messages(more.Live(spark, sf_dir)), "demand", table, dead, fresh(spark, "p"), live=True)
+    try:
+        going.processAllAvailable()
+        assert going.isActive and spark.read.parquet(table).count() + spark.read.parquet(dead).count() == 1000
+        assert going.lastProgress is not None
+    finally:
+        going.stop()
 
 
 def psi(spark, ref, cur):
@@ -246,6 +272,49 @@ def test_quality_errors_are_all_collected(spark, sf_dir):
 def test_generators_repeat(spark):
     one, two = (generate.demand(generate.weather(spark, 48)).orderBy("city", "event_type", "sim_ts").collect() for _ in range(2))
     assert one == two and min(r.quantity for r in one) >= 0 and len(one) == 48 * 10 * 6
+    at = lambda kind, hour: [r.quantity for r in one if r.event_type == kind and r.sim_ts.hour == hour]
+    assert set(at("ICE_CREAM_SALES", 3)) == {0.0} and min(at("ELECTRICITY_KWH", 3)) > 0
+
+
+#: Fixed bounds of noon temperatures over a year.
+NOON = {"london": (-17, 32), "nairobi": (19, 46), "moscow": (-20, 30), "singapore": (19, 46), "reykjavik": (-25, 27), "cape_town": (-5, 38), "new_york": (-10, 36), "tokyo": (-8, 36), "dubai": (0, 42), "sydney": (-5, 38)}
+
+
+def test_generated_weather_keeps_its_bounds(spark):
+    noon = generate.weather(spark, 24 * 365).where(F.hour("polled_at") == 12)
+    for r in noon.groupBy("city").agg(F.min("temperature_c").alias("lo"), F.max("temperature_c").alias("hi")).collect():
+        assert NOON[r.city][0] <= r.lo <= r.hi <= NOON[r.city][1]
+        assert r.hi - r.lo >= 10 or abs(generate.LATITUDE[r.city]) < 5
+    summer = F.month("polled_at").isin(6, 7, 8)
+    for r in noon.groupBy("city").agg((F.avg(F.when(summer, F.col("temperature_c"))) - F.avg(F.when(~summer, F.col("temperature_c")))).alias("gap")).collect():
+        assert abs(generate.LATITUDE[r.city]) < 5 or (r.gap > 0) == (generate.LATITUDE[r.city] > 0)
+    labels = ["HEAVY_RAIN", "RAIN", "DRIZZLE", "CLOUDY", "MOSTLY_CLOUDY", "PARTLY_CLOUDY_DAY", "MOSTLY_CLEAR", "CLEAR_DAY"]
+    fine = F.col("humidity_pct").between(10, 100) & F.col("cloud_cover_pct").between(0, 100) & F.col("precip_probability_pct").between(0, 100) & F.col("wind_direction_deg").between(0, 360) & F.col("condition").isin(labels)
+    assert noon.where(~fine | (F.col("wind_kph") < 0) | (F.col("precip_mm") < 0)).count() == 0
+    assert noon.where("dew_point_c > temperature_c OR (precip_probability_pct < 20 AND precip_mm > 0)").count() == 0
+
+
+def test_faults_lose_values_at_their_rate(spark, sf_dir):
+    n, there = more.QUERIES["src_chaos"](spark, sf_dir).first()
+    assert 0.85 * n < there < 0.95 * n
+
+
+def test_boosted_trees_repeat_by_seed_and_beat_the_baseline(spark, sf_dir):
+    one, two = (sorted((r.city, r.hour_ts, r.prediction) for r in more.QUERIES["ml_hgb"](spark, sf_dir).collect()) for _ in range(2))
+    assert one == two
+    errors = training.metrics(more.QUERIES["ml_hgb"](spark, sf_dir), "actual", "prediction").first()
+    train, val = training.split(Domain(spark, sf_dir).mart, 7)
+    assert errors.mae < training.metrics(training.naive(train, val), "total_demand", "prediction").first().mae
+
+
+def test_shadow_gap_is_the_mean_difference(spark, sf_dir):
+    got = {r.city: r.gap for r in more.QUERIES["sv_shadow"](spark, sf_dir).collect()}
+    train, val = training.split(Domain(spark, sf_dir).mart, 7)
+    prep = training.fit_preparation(train)
+    one, two = ({(r.city, r.hour_ts): r.prediction for r in training.predicted(training.fit_ridge(train, prep, alpha=a), val, prep).collect()} for a in (1.0, 100.0))
+    for city, gap in got.items():
+        own = [abs(v - two[k]) for k, v in one.items() if k[0] == city]
+        assert gap == pytest.approx(sum(own) / len(own))
 
 
 def test_easter_and_holidays():

@@ -51,12 +51,13 @@ def compass(degrees: Column) -> Column:
 
 
 def uv_index(hour: Column, cloud_pct: Column) -> Column:
-    """0 at night, highest at noon, less under cloud."""
+    """0 at night, highest at noon, less under cloud (fixed values)."""
     sun = F.sin((hour - 6) * (math.pi / 14)) * 10 * (1 - cloud_pct / 150)
     return F.when((hour < 6) | (hour > 20), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(11), F.bround(sun, 0).cast("int"))))
 
 
 def visibility_km(humidity: Column, cloud_pct: Column) -> Column:
+    """Less in damp and cloudy air (fixed values)."""
     km = F.greatest(F.lit(1.0), F.least(F.lit(20.0), 20.0 - (humidity - 50) * 0.1 - cloud_pct * 0.05))
     return F.round(F.round(km, 6), 1)  # first off the last binary digits
 
@@ -73,15 +74,17 @@ def condition(cloud_pct: Column, precip_pct: Column) -> Column:
     return out.otherwise("CLEAR_DAY")
 
 
-def snapshot_hash(df: DataFrame, keys: list[str], value: str, buckets: int = 1024) -> DataFrame:
+def snapshot_hash(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """hash16: 16 hexadecimal digits that change with any row's keys or value.
 
-    Rows are hashed in `buckets` groups, each sorted, and the groups' digests together, so no task holds all rows.
+    A tree of digests: rows are grouped by their digest's first six digits, sorted within, and hashed together; then
+    those by three digits, then all. Groups stay small up to some ten thousand million rows; no task holds all rows.
     """
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*keys, value]])
-    rows = df.select(F.sha2(line, 256).alias("digest"))
-    groups = rows.groupBy(F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("b")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("digest"))), 256).alias("d"))
-    return groups.agg(F.substring(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("d"))), 256), 1, 16).alias("hash16"))
+    rows = df.select(F.sha2(line, 256).alias("digest")).withColumn("at", F.substring("digest", 1, 6))
+    whole = F.sha2(F.concat_ws("", F.array_sort(F.collect_list("digest"))), 256).alias("digest")
+    sixes = rows.groupBy("at").agg(whole).withColumn("at", F.substring("at", 1, 3))
+    return sixes.groupBy("at").agg(whole).agg(F.substring(whole, 1, 16).alias("hash16"))
 
 
 # Holidays: a small dimension from rules.

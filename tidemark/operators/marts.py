@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,13 +80,18 @@ def check_quality(mart: DataFrame, staged: DataFrame) -> list[str]:
 
 def daily(mart: DataFrame, as_of: date) -> DataFrame:
     """city, day, daily_demand, daily_bookings up to a date."""
-    rows = mart.where(F.col("total_demand").isNotNull() & (F.to_date("hour_ts") <= F.lit(as_of)))
+    rows = mart.where(F.col("total_demand").isNotNull() & (F.col("hour_ts") < _midnight(as_of, 1)))
     return rows.groupBy("city", F.to_date("hour_ts").alias("day")).agg(F.sum("total_demand").alias("daily_demand"), F.sum("event_count").alias("daily_bookings"))
 
 
+def _midnight(day: date, later: int):
+    """The start of a day, some days later: a plain literal, so that comparing a column with it reaches the files."""
+    return F.lit(datetime.combine(day, time()) + timedelta(days=later)).cast("timestamp_ntz")
+
+
 def _since(column, as_of: date, days: int):
-    day = F.to_date(column)
-    return (day > F.date_sub(F.lit(as_of), days)) & (day <= F.lit(as_of))
+    """The last `days` days up to and with `as_of`; for dates and times."""
+    return (F.col(column) >= _midnight(as_of, 1 - days)) & (F.col(column) < _midnight(as_of, 1))
 
 
 def booking_level(days: DataFrame, as_of: date, n: int = 90) -> DataFrame:
@@ -119,7 +124,7 @@ def cancellation_rate(events: DataFrame, as_of: date, n: int = 180) -> DataFrame
 
 def elasticity(mart: DataFrame, as_of: date) -> DataFrame:
     """Correlation of temperature and demand; null where one of them is constant or there are fewer than two rows."""
-    rows = mart.where((F.to_date("hour_ts") <= F.lit(as_of)) & F.col("temperature_c").isNotNull() & F.col("total_demand").isNotNull())
+    rows = mart.where((F.col("hour_ts") < _midnight(as_of, 1)) & F.col("temperature_c").isNotNull() & F.col("total_demand").isNotNull())
     spread = F.stddev_pop("temperature_c") * F.stddev_pop("total_demand")
     return rows.groupBy("city").agg(F.when(spread > 0, F.try_divide(F.covar_pop("temperature_c", "total_demand"), spread)).alias("elasticity_estimate"))
 

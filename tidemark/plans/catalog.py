@@ -139,9 +139,14 @@ def _(d):
     return d.weather_readings.select("id", fn.compass(F.col("id") % 360).alias("wind"), fn.uv_index(F.hour("polled_at"), cloud).alias("uv"), fn.visibility_km(F.col("humidity_pct"), cloud).alias("visibility"), fn.condition(cloud, F.col("id") % 97).alias("label"))
 
 
-@query("fn_hash16")
+@query(
+    "fn_hash16",
+    """SELECT left(sha256(string_agg(g, '' ORDER BY g)), 16) AS hash16 FROM (SELECT sha256(string_agg(g, '' ORDER BY g)) AS g FROM (
+    SELECT left(digest, 6) AS p, sha256(string_agg(digest, '' ORDER BY digest)) AS g FROM (
+    SELECT sha256(city || '|' || hour_ts::varchar || '|' || coalesce(total_demand::decimal(18, 4)::varchar, '')) AS digest FROM mart) GROUP BY 1) GROUP BY left(p, 3))""",
+)
 def _(d):
-    return fn.snapshot_hash(d.mart.select("city", "hour_ts", *r("total_demand")), ["city", "hour_ts"], "total_demand")
+    return fn.snapshot_hash(d.mart.select("city", "hour_ts", F.col("total_demand").cast("decimal(18,4)").alias("total_demand")), ["city", "hour_ts"], "total_demand")
 
 
 # Joins
@@ -383,12 +388,12 @@ def _(d):
     return reduce(DataFrame.unionByName, [quality.psi_numeric(ref, cur, c).select("feature", *r("psi")) for c in WEATHER])
 
 
-@query(
-    "ag_psi_cat",
-    f"""SELECT 'city' AS feature, round(sum((pc - pr) * ln(pc / pr)), 6) AS psi FROM (
+ORACLE_PSI_CITY = f"""SELECT 'city' AS feature, round(sum((pc - pr) * ln(pc / pr)), 6) AS psi FROM (
     SELECT (count(*) FILTER ({_SPLIT}) + 0.5::double) / (sum(count(*) FILTER ({_SPLIT})) OVER () + 0.5::double * count(*) OVER ()) AS pr,
-           (count(*) FILTER (NOT ({_SPLIT})) + 0.5::double) / (sum(count(*) FILTER (NOT ({_SPLIT}))) OVER () + 0.5::double * count(*) OVER ()) AS pc FROM mart GROUP BY city)""",
-)
+           (count(*) FILTER (NOT ({_SPLIT})) + 0.5::double) / (sum(count(*) FILTER (NOT ({_SPLIT}))) OVER () + 0.5::double * count(*) OVER ()) AS pc FROM mart GROUP BY city)"""
+
+
+@query("ag_psi_cat", ORACLE_PSI_CITY)
 def _(d):
     return quality.psi_categorical(*_halves(d), "city").select("feature", *r("psi"))
 

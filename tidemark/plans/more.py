@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import marts, online, quality
 from tidemark.plans import training
-from tidemark.plans.catalog import CYCLES, MART_SQL, WEATHER, r, rs
+from tidemark.plans.catalog import CYCLES, MART_SQL, ORACLE_PSI_CITY, WEATHER, _halves, _psi_sql, r, rs
 from tidemark.plans.views_sql import VIEWS
 from tidemark.registry import registered
 from tidemark.sources import envelope, generate, lake, tables
@@ -19,6 +19,8 @@ from tidemark.sources.domain import FEATURE_DATE, Domain
 from tidemark.sources.paths import fresh
 from tidemark.streaming import features as streams
 
+_AS_OF = datetime(2024, 1, 30, 23, 30)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -46,13 +48,15 @@ class Live(Domain):
 # Topic messages
 
 
-def messages(d: Domain) -> DataFrame:
+def messages(d: Domain, events: DataFrame | None = None) -> DataFrame:
     """The demand events as envelopes; some of a later version, some without quantity, some no JSON."""
+    events = d.demand_events if events is None else events
+    also = [c for c in events.columns if c == "timestamp"]
     payload = ["city", "event_type", "sim_ts", "quantity", "temperature_c"]
     version = F.when(F.col("id") % 19 == 0, 99).otherwise(1)
-    whole = envelope.envelope_of(d.demand_events.where("id % 23 <> 0 AND id % 29 <> 0"), payload, version)
-    short = envelope.envelope_of(d.demand_events.where("id % 23 = 0 AND id % 29 <> 0"), [c for c in payload if c != "quantity"], version)
-    broken = d.demand_events.where("id % 29 = 0").select(F.col("city").cast("binary").alias("key"), F.lit("not json").cast("binary").alias("value"))
+    whole = envelope.envelope_of(events.where("id % 23 <> 0 AND id % 29 <> 0"), payload, version, also)
+    short = envelope.envelope_of(events.where("id % 23 = 0 AND id % 29 <> 0"), [c for c in payload if c != "quantity"], version, also)
+    broken = events.where("id % 29 = 0").select(F.col("city").cast("binary").alias("key"), F.lit("not json").cast("binary").alias("value"), *also)
     return whole.unionByName(short).unionByName(broken)
 
 
@@ -116,12 +120,23 @@ def _(d):
     return d.spark.read.parquet(path)
 
 
-@query("snk_hset", "SELECT city AS route_id, strftime(hour_ts, '%Y-%m-%d %H:%M:%S') AS hour_text, (total_demand IS NOT NULL)::int + (temperature_c IS NOT NULL)::int + (precip_mm IS NOT NULL)::int + (demand_lag_24h IS NOT NULL)::int AS n_fields FROM mart")
+@query(
+    "snk_hset",
+    "SELECT city AS route_id, strftime(hour_ts, '%Y-%m-%d %H:%M:%S') AS hour_text, 1 + (total_demand IS NOT NULL)::int + (temperature_c IS NOT NULL)::int + (precip_mm IS NOT NULL)::int + (demand_lag_24h IS NOT NULL)::int AS n_fields, '2024-01-30T23:30:00' AS batch_computed_at, '2024-01-30T23:30:00' AS completed_at FROM mart",
+)
 def _(d):
-    rows = d.mart.withColumn("route_id", F.col("city"))
-    sent = online.as_hash(rows.withColumn("key", F.concat_ws("|", "route_id", F.date_format("hour_ts", "yyyy-MM-dd HH:mm:ss"))), "key", ["total_demand", "temperature_c", "precip_mm", "demand_lag_24h"])
+    """Sent by the tasks in batches to a store of files, then the marker; and read back from both."""
+    store, marker = fresh(d.spark, "hashes"), fresh(d.spark, "marker")
+    rows = d.mart.withColumn("key", F.concat_ws("|", "city", F.date_format("hour_ts", "yyyy-MM-dd HH:mm:ss")))
+    sent = online.as_hash(rows, "key", ["total_demand", "temperature_c", "precip_mm", "demand_lag_24h"])
+    finish = lambda at: d.spark.createDataFrame([(at,)], "completed_at string").write.parquet(marker)
+    tables.sync(sent, tables.parquet_store(store), finish, _AS_OF.isoformat())
     parts = F.split("key", r"\|")
-    return sent.select(parts[0].alias("route_id"), parts[1].alias("hour_text"), F.size("fields").alias("n_fields"))
+    kept = d.spark.read.schema("key string, fields map<string,string>").parquet(store)
+    return kept.select(parts[0].alias("route_id"), parts[1].alias("hour_text"), F.size("fields").alias("n_fields"), F.col("fields")["batch_computed_at"].alias("batch_computed_at")).join(
+        F.broadcast(d.spark.read.schema("completed_at string").parquet(marker)),
+        F.lit(True),  # one row
+    )
 
 
 # The lake
@@ -169,6 +184,16 @@ def _(d):
     return rows.dropDuplicates(["id"]).agg(F.count_if(F.col("event_id").isNull()).alias("null_ids"), F.count_distinct("event_id").alias("ids"))
 
 
+@query("src_replay", f"SELECT event_id, city, event_type, sim_ts FROM demand_events WHERE ({_REASON}) IS NULL AND sim_ts >= TIMESTAMP '2024-01-15 06:00:00'")
+def _(d):
+    """The messages from a time on, read again into another table from a fresh checkpoint."""
+    table, dead, point = (fresh(d.spark, n) for n in ("replayed", "dead", "point"))
+    live = Live(d.spark, d.dir)
+    written = live.demand_events.withColumn("timestamp", F.col("sim_ts").cast("timestamp"))
+    streams.ingest(envelope.since(messages(live, written), datetime(2024, 1, 15, 6)), "demand", table, dead, point).awaitTermination()
+    return d.spark.read.parquet(table).select("event_id", "city", "event_type", "sim_ts")
+
+
 @query("src_copy_csv", "SELECT id, event_id, round(quantity, 6) AS quantity FROM demand_events")
 def _(d):
     path = fresh(d.spark, "csv")
@@ -229,10 +254,16 @@ def _(d):
 
 # Streams and replay
 
-_SLIDE_OUT = "route_id, id, epoch_us(sim_ts) AS sim_us, searches_5m, bookings_15m, searches_1h, bookings_1h, round(bookings_1h / greatest(searches_1h, 1), 6) AS look_to_book_1h"
+# Every event gets its windows; of each id (null is one) the first search or booking counts in them.
+_RANGE = lambda kind, s: f"count(*) FILTER (member AND event_type = '{kind}') OVER (PARTITION BY route_id ORDER BY sim_us RANGE BETWEEN {s}000000 PRECEDING AND CURRENT ROW)"
+_SLIDE_OUT = f"""SELECT *, round(bookings_1h / greatest(searches_1h, 1), 6) AS look_to_book_1h FROM (SELECT route_id, id, sim_us, {_RANGE("search", 300)} AS searches_5m,
+  {_RANGE("booking", 900)} AS bookings_15m, {_RANGE("search", 3600)} AS searches_1h, {_RANGE("booking", 3600)} AS bookings_1h FROM (
+  SELECT city AS route_id, id, event_type, epoch_us(sim_ts) AS sim_us, event_type IN ('search', 'booking')
+    AND row_number() OVER (PARTITION BY city, event_id, event_type IN ('search', 'booking') ORDER BY sim_ts, id) = 1 AS member
+  FROM demand_events WHERE city IS NOT NULL AND sim_ts IS NOT NULL))"""
 
 
-@query("st_sliding")
+@query("st_sliding", _SLIDE_OUT)
 def _(d):
     spark = d.spark
     return streams.finished(streams.sliding(Live(spark, d.dir).demand_events), fresh(spark, "sliding"), fresh(spark, "point"))
@@ -253,8 +284,11 @@ def _(d):
 
 @query("st_skip", f"SELECT ({_REASON}) IS NULL AS ok, count(*) AS n FROM demand_events GROUP BY 1")
 def _(d):
-    rows = envelope.decode(messages(d)).withColumn("ok", envelope.reject_reason("demand").isNull())
-    return rows.groupBy("ok").agg(F.count("*").alias("n"))
+    """A stream over all messages: the ones it skips are in the dead letters, the others in the table."""
+    table, dead, point = (fresh(d.spark, n) for n in ("raw", "dead", "point"))
+    streams.ingest(messages(Live(d.spark, d.dir)), "demand", table, dead, point).awaitTermination()
+    both = d.spark.read.parquet(table).select(F.lit(True).alias("ok")).unionByName(d.spark.read.parquet(dead).select(F.lit(False).alias("ok")))
+    return both.groupBy("ok").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -281,10 +315,21 @@ def _(d):
     return online.reconstruct(d.demand_events, _asks(d))
 
 
-@query("st_verify", f"SELECT feature, true AS ok, count(*) AS n FROM ({_REBUILT}), (VALUES ('searches_5m'), ('bookings_15m')) v(feature) GROUP BY 1, 2")
+@query(
+    "st_verify",
+    """SELECT feature, ok, count(*) AS n FROM (SELECT s.route_id, s.sim_ts, s.searches_5m, s.bookings_15m,
+         count(DISTINCT CASE WHEN e.event_type = 'search' AND e.t >= epoch(s.sim_ts) - 300 THEN e.event_id END) AS r5,
+         count(DISTINCT CASE WHEN e.event_type = 'booking' AND e.t >= epoch(s.sim_ts) - 900 THEN e.event_id END) AS r15
+       FROM sliding s JOIN (SELECT *, epoch(sim_ts) AS t FROM demand_events) e ON e.city = s.route_id AND e.t BETWEEN epoch(s.sim_ts) - 3600 AND epoch(s.sim_ts) GROUP BY ALL),
+    LATERAL (VALUES ('searches_5m', abs(r5 - searches_5m) < 0.001), ('bookings_15m', abs(r15 - bookings_15m) < 0.001)) v(feature, ok) GROUP BY 1, 2""",
+)
 def _(d):
-    rebuilt = online.reconstruct(d.demand_events, _asks(d))
-    return online.verify(rebuilt, rebuilt, ["route_id", "at"], ["searches_5m", "bookings_15m"]).groupBy("feature", "ok").agg(F.count("*").alias("n"))
+    """The served windows against a replay of the events: they differ where an event without id counts."""
+    path = fresh(d.spark, "served")
+    online.sliding_features(d.demand_events).withColumnRenamed("sim_ts", "at").write.parquet(path)
+    served = d.spark.read.parquet(path)
+    rebuilt = online.reconstruct(d.demand_events, served.select("route_id", "at").distinct())
+    return online.verify(rebuilt, served, ["route_id", "at"], ["searches_5m", "bookings_15m"]).groupBy("feature", "ok").agg(F.count("*").alias("n"))
 
 
 # Training
@@ -353,15 +398,46 @@ def _(d):
     return _trained(d, lambda train, prep: training.fit_boosted(train, prep, rounds=20))
 
 
-@query("ml_select", "SELECT 'ridge' AS chosen")
+_CANDIDATES = ("demand_lag_24h", "demand_roll_3h", "demand_roll_24h")
+_CUT = "hour_ts < (SELECT max(hour_ts) FROM mart) - interval 7 day"
+_ERRORS = " UNION ALL ".join(
+    f"SELECT '{c}' AS name, avg(abs(total_demand - (i + s * {c}))) AS mae FROM mart, (SELECT regr_slope(total_demand, {c}) AS s, regr_intercept(total_demand, {c}) AS i FROM mart WHERE {_CUT}) WHERE NOT ({_CUT})" for c in _CANDIDATES
+) + f" UNION ALL SELECT 'baseline', avg(abs(total_demand - coalesce(demand_lag_24h, (SELECT quantile_cont(total_demand, 0.5) FROM mart WHERE {_CUT})))) FROM mart WHERE NOT ({_CUT})"
+
+
+def _errors(d: Domain) -> dict[str, float]:
+    """Validation errors (mae) of the baseline and of a line through each candidate feature."""
+    train, val = training.split(d.mart, 7)
+    lines = train.agg(*[f(training.TARGET, c).alias(f"{n}_{c}") for c in _CANDIDATES for n, f in (("s", F.regr_slope), ("i", F.regr_intercept))]).first()
+    gaps = [F.avg(F.abs(F.col(training.TARGET) - (F.lit(lines[f"i_{c}"]) + F.lit(lines[f"s_{c}"]) * F.col(c)))).alias(c) for c in _CANDIDATES]
+    of = val.agg(*gaps).first().asDict()
+    return {**of, "baseline": training.metrics(training.naive(train, val), training.TARGET, "prediction").first()["mae"]}
+
+
+@query("ml_select", f"SELECT name, round(mae, 4) AS mae, name = (SELECT arg_min(name, mae) FROM ({_ERRORS}) WHERE name <> 'baseline') AS chosen FROM ({_ERRORS})")
 def _(d):
-    return d.spark.createDataFrame([(training.best({"baseline": 1.0, "ridge": 2.0, "boosted": 3.0}),)], "chosen string")
+    errors = _errors(d)
+    chosen = training.best(errors)
+    return d.spark.createDataFrame([(n, round(e, 4), n == chosen) for n, e in errors.items()], "name string, mae double, chosen boolean")
+
+
+_GATE_PSI = "(" + " UNION ALL ".join(f"SELECT * FROM {_psi_sql(c)}" for c in WEATHER) + f" UNION ALL {ORACLE_PSI_CITY})"
 
 
-@query("ml_gate", "SELECT * FROM (VALUES (1, true, 'promoted'), (2, false, 'unstable: city'), (3, false, 'no better than production'), (4, true, 'promoted')) t(id, promote, reason)")
+@query(
+    "ml_gate",
+    f"""SELECT name, coalesce(unstable IS NULL AND (production IS NULL OR mae < production), false) AS promote,
+         CASE WHEN unstable IS NOT NULL THEN 'unstable: ' || unstable WHEN production IS NOT NULL AND NOT mae < production THEN 'no better than production' ELSE 'promoted' END AS reason
+    FROM (SELECT name, mae, (SELECT arg_max(feature, psi) FROM {_GATE_PSI} WHERE psi > 0.25 AND name <> 'baseline') AS unstable,
+                 CASE WHEN name <> '{_CANDIDATES[0]}' THEN (SELECT min(mae) FROM ({_ERRORS})) END AS production FROM ({_ERRORS}))""",
+)
 def _(d):
-    cases = [({"city": 0.1}, 2.0, 3.0), ({"city": 0.4, "precip_mm": 0.3}, 2.0, 3.0), ({}, 3.0, 3.0), ({"total_demand": 9.0}, 3.0, None)]
-    return d.spark.createDataFrame([(i + 1, *training.promotion(*c)) for i, c in enumerate(cases)], "id int, promote boolean, reason string")
+    """Each candidate against the stability of the mart's two halves and the best one as Production; one has none, one no stability to meet."""
+    errors, halves = _errors(d), _halves(d)
+    rows = reduce(DataFrame.unionByName, [quality.psi_numeric(*halves, c) for c in WEATHER] + [quality.psi_categorical(*halves, "city")])
+    psi = {row["feature"]: row["psi"] for row in rows.collect()}  # four features
+    cases = [(n, *training.promotion(psi if n != "baseline" else {}, e, None if n == _CANDIDATES[0] else min(errors.values()))) for n, e in errors.items()]
+    return d.spark.createDataFrame(cases, "name string, promote boolean, reason string")
 
 
 def _drift(d: Domain) -> DataFrame:
@@ -381,21 +457,26 @@ def _(d):
     return reduce(DataFrame.unionByName, [quality.ks_statistic(d.mart.where(f"hour_ts < {cut}"), d.mart.where(f"hour_ts >= {cut}"), c).select("feature", *r("ks")) for c in WEATHER])
 
 
-@query("ml_drift")
+_PSI = "(" + " UNION ALL ".join(f"SELECT * FROM {_psi_sql(c)}" for c in WEATHER) + ")"
+_REPORT = f"""(SELECT p.feature AS feature_name, psi AS drift_score, ks, psi > 0.2 AND c >= 20 AS drift_detected, n AS reference_count, c AS current_count
+    FROM {_PSI} p JOIN ({_KS}) k USING (feature), (SELECT count(*) FILTER (hour_ts < TIMESTAMP '2024-01-15') AS n, count(*) FILTER (hour_ts >= TIMESTAMP '2024-01-15') AS c FROM mart))"""
+
+
+@query("ml_drift", f"SELECT * FROM {_REPORT}")
 def _(d):
     return _drift(d)
 
 
-@query("ml_retrain", "SELECT * FROM (VALUES ('first', true), ('cooling', false), ('quiet', false)) t(name, retrain)")
+@query("ml_retrain", f"SELECT name, coalesce((SELECT bool_or(drift_score > 0.3 OR drift_detected) FROM {_REPORT}) AND age >= 360, false) AS retrain FROM (VALUES ('first', 100000), ('cooling', 180), ('due', 420)) t(name, age)")
 def _(d):
-    now, soon = datetime(2024, 1, 20, 12), datetime(2024, 1, 20, 9)
-    cases = {"first": ({"a": (0.1, True)}, None), "cooling": ({"a": (0.9, True)}, soon), "quiet": ({"a": (0.3, False)}, None)}
-    return d.spark.createDataFrame([(n, training.should_retrain(s, last, now)) for n, (s, last) in cases.items()], "name string, retrain boolean")
+    """By the mart's drift report, with no run before, one three hours and one seven hours ago."""
+    scores = {row["feature_name"]: (row["drift_score"], row["drift_detected"]) for row in _drift(d).collect()}  # a row a feature
+    last = {"first": None, "cooling": _AS_OF - timedelta(minutes=180), "due": _AS_OF - timedelta(minutes=420)}
+    return d.spark.createDataFrame([(n, training.should_retrain(scores, t, _AS_OF)) for n, t in last.items()], "name string, retrain boolean")
 
 
 # Serving
 
-_AS_OF = datetime(2024, 1, 30, 23, 30)
 
 
 def _store(d: Domain) -> DataFrame:
@@ -524,10 +605,28 @@ def _(d):
     return d.spark.createDataFrame([(len(errors), len(warnings))], "errors int, warnings int")
 
 
-@query("dq_alerts", "SELECT * FROM (VALUES ('consumer_lag', 1001.0::double, true), ('drift_score', 0.2::double, false), ('predict_p99_seconds', 0.6::double, true), ('training_age_seconds', NULL, true)) t(metric, value, firing)")
+_NOW = "TIMESTAMP '2024-01-30 23:30:00'"
+
+
+@query(
+    "dq_alerts",
+    f"""SELECT metric, round(value, 6) AS value, coalesce(value > most, true) AS firing FROM (
+      SELECT 'consumer_lag' AS metric, 1000.0::double AS most, count(*)::double AS value FROM demand_events WHERE sim_ts <= {_NOW} AND ingested_at > {_NOW} - interval 3 day
+      UNION ALL SELECT 'drift_score', 0.2, max(drift_score) FROM {_REPORT}
+      UNION ALL SELECT 'predict_p99_seconds', 0.5, quantile_cont(epoch(ingested_at - sim_ts)::double, 0.99) FROM demand_events
+      UNION ALL SELECT 'training_age_seconds', 172800, epoch({_NOW} - max(hour_ts))::double FROM mart WHERE {_CUT})""",
+)
 def _(d):
-    rows = [("consumer_lag", 1001.0), ("drift_score", 0.2), ("predict_p99_seconds", 0.6), ("training_age_seconds", None)]
-    return quality.alerts(d.spark.createDataFrame(rows, "metric string, value double"))
+    """Measurements of the tables as of a time: messages of the last days, drift, delays and the age of the training rows."""
+    now = F.lit(_AS_OF).cast("timestamp_ntz")
+    seconds = lambda a, b: (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1e6
+    lag = d.demand_events.where((F.col("sim_ts") <= now) & (F.col("ingested_at") > F.lit(_AS_OF - timedelta(days=3)).cast("timestamp_ntz"))).agg(F.count("*").cast("double").alias("value"))
+    drift = _drift(d).agg(F.max("drift_score").alias("value"))
+    delay = d.demand_events.agg(F.percentile(seconds(F.col("ingested_at"), F.col("sim_ts")), 0.99).alias("value"))  # whole minutes
+    age = training.split(d.mart, 7)[0].agg(seconds(now, F.max("hour_ts")).alias("value"))
+    named = {"consumer_lag": lag, "drift_score": drift, "predict_p99_seconds": delay, "training_age_seconds": age}
+    rows = reduce(DataFrame.unionByName, [v.select(F.lit(n).alias("metric"), "value") for n, v in named.items()])
+    return quality.alerts(rows).withColumn("value", F.round("value", 6))
 
 
 @query("jn_overlay", "SELECT m.city, m.hour_ts, round(coalesce(o.t, m.temperature_c), 6) + 0.0::double AS temperature_c FROM mart m LEFT JOIN (SELECT city, arg_max(temperature_c, (polled_at, id)) AS t FROM weather_readings GROUP BY 1) o USING (city)")
