@@ -632,6 +632,108 @@ def test_base_counts_equal_brute_force(spark, sf_dir):
         assert g.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
 
 
+FLOORS = np.array(list(robust_rules.STATISTICS.values()))
+
+
+def robust_vector(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    tri = Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {i + k for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    chars, n = sum(map(len, w)), len(w)
+    capitals = sum(unicodedata.category(c) == "Lu" for c in t)
+    x = [chars / n, math.log1p(100 * sum(c in "#*$%&|<>" for c in t) / n), math.sqrt((len(lines) - len(set(lines))) / len(lines)), math.sqrt(len(covered) / n), math.sqrt(capitals / chars), math.sqrt(sum(c in ".,;:!?" for c in t) / n)]
+    return None if n < 50 or 100 * len(covered) > 50 * n else np.array(x)
+
+
+def bins(v):
+    return np.floor(32 * np.log2(np.maximum(v, 1e-6))).astype(int)
+
+
+def at_share(b, share):
+    """The least bin that has this share of the values at or below it."""
+    return min(k for k in set(b.tolist()) if (b <= k).sum() >= share * len(b))
+
+
+def lowest_determinant(x, rules):
+    """Centre and covariance of the lowest determinant that concentration from three starts meets."""
+    d = x.shape[1]
+    quarts = [[at_share(np.floor(c * 64), s) for s in (0.25, 0.5, 0.75)] for c in x.T]
+    m0 = np.array([(q[1] + 0.5) / 64 for q in quarts])
+    spread = np.maximum([(q[2] - q[0]) / 64 / 1.349 for q in quarts], FLOORS)
+    z = (x - m0) / spread
+    signs = z / np.sqrt(np.maximum((z**2).sum(1), 1e-12))[:, None]
+    starts = [np.eye(d), np.tanh(z).T @ np.tanh(z) / len(x), d * signs.T @ signs / len(x)]
+
+    def step(m, c):
+        z = np.linalg.solve(np.linalg.cholesky(c), (x - m).T)
+        b = bins((z**2).sum(0))
+        core = x[b <= at_share(b, rules.share)]
+        return core.mean(0), np.cov(core.T, bias=True).reshape(d, d) + np.diag(FLOORS**2)
+
+    det = lambda f: np.linalg.slogdet(f[1])[1]
+    runs = []
+    for s in starts:
+        now = best = step(m0, s * np.outer(spread, spread) + np.diag(FLOORS**2))
+        for _ in range(1, rules.first_steps):
+            if now is not None:
+                new = step(*now)
+                now = new if det(new) < det(best) - rules.falls else None
+                best = best if now is None else now
+        runs.append((det(best), len(runs), best, now))
+    _, _, best, now = min(runs, key=lambda r: r[:2])
+    for _ in range(rules.first_steps, rules.most_steps):
+        if now is not None:
+            new = step(*now)
+            now = new if det(new) < det(best) - rules.falls else None
+            best = best if now is None else now
+    return best
+
+
+def test_robust_distances_equal_numpy(spark, make_docs):
+    """Groups of 3 to 300 rows, of several sources of two languages, some of them with junk."""
+    rng, rules = random.Random(8), robust_rules.RobustRules()
+    rows, k = [], 0
+    for lang, source, n in (("a", "s0", 300), ("a", "s1", 50), ("a", "s2", 5), ("a", None, 3), ("b", "s0", 40), ("b", "s1", 12)):
+        for _ in range(n):
+            words = prose(rng.randrange(10**6), rng.randrange(60, 160)).split(" ")
+            words = [w.upper() if rng.random() < 0.05 * (k % 4) else w for w in words]
+            words = [w + "#$" * 3 if k % 9 == 0 or rng.random() < 0.01 else w for w in words]
+            rows.append((k, " ".join(words), lang, source))
+            k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    vectors = {i: robust_vector(t) for i, t, _, _ in rows}
+    groups = {}
+    for i, _, lang, source in rows:
+        if vectors[i] is not None:
+            for g in ((), (lang,), (lang, source or "")):
+                groups.setdefault(g, []).append(i)
+    raw = {g: lowest_determinant(np.array([vectors[i] for i in ids]), rules) for g, ids in groups.items()}
+    blend = lambda n, own, above: (n * own + rules.prior * above) / (n + rules.prior)
+    fit = dict(raw)
+    for size in (1, 2):
+        for g in [g for g in raw if len(g) == size]:
+            fit[g] = tuple(blend(len(groups[g]), raw[g][i], (raw if size == 1 else fit)[g[:-1]][i]) for i in (0, 1))
+    d2 = {}
+    middle = robust_rules.chi2_quantile(0.5, 6)
+    own = {}
+    for g in [g for g in groups if len(g) == 2]:
+        z = np.linalg.solve(np.linalg.cholesky(fit[g][1]), (np.array([vectors[i] for i in groups[g]]) - fit[g][0]).T)
+        d2[g] = (z**2).sum(0)
+        own[g] = max(1.0, 2 ** ((at_share(bins(d2[g]), 0.5) + 0.5) / 32) / middle)
+    got = {r.doc_id: r for r in robust_rules.judge(docs, rules).collect()}
+    cutoff = robust_rules.chi2_quantile(1 - rules.tail, 6)
+    for g, values in d2.items():
+        peers = [h for h in own if h[0] == g[0]]
+        above = sum(len(groups[h]) * own[h] for h in peers) / sum(len(groups[h]) for h in peers)
+        scale = blend(len(groups[g]), own[g], above)
+        for i, v in zip(groups[g], values, strict=True):
+            assert got[i].d2 == pytest.approx(v / scale, rel=1e-6, abs=1e-9)
+            assert got[i].kept == (v / scale <= cutoff)
+    assert all(got[i].base_failed and not got[i].kept and got[i].d2 is None for i, v in vectors.items() if v is None)
+    assert 20 < sum(not got[i].kept for i, v in vectors.items() if v is not None) < 100
+
+
 def test_outliers_go_and_plain_texts_stay(spark, make_docs):
     good = [prose(i, 120 + i) for i in range(120)]
     junk = [" ".join(w + "###$$$" for w in prose(900 + i, 120).split()) for i in range(20)]

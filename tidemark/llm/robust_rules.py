@@ -34,9 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import BLANK, bounded, words_of, written
+from tidemark.llm.common import bounded, words_of, written
 
 SYMBOLS = "#*$%&|<>"
+BLANKS = " \t\n\x0b\x0c\r"
 #: Estimates of so many groups are broadcast (some 100 numbers each), and shuffled beyond.
 BROADCAST_FITS = 100_000
 
@@ -78,25 +79,24 @@ def text_counts(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
-        words_of(F.col("text")).alias("words"),
-        F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        F.length(F.regexp_replace("text", BLANK + "+", "")).cast("long").alias("word_chars"),
+        F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words"),
+        F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0).alias("lines"),
+        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
         _kept_chars(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
-        (F.length("text") - F.length(F.regexp_replace("text", r"\p{Lu}", ""))).alias("n_capitals"),
+        F.regexp_count("text", F.lit(r"\p{Lu}")).alias("n_capitals"),
         _kept_chars(F.col("text"), ".,;:!?").alias("n_marks"),
     )
-    # Windows of three words, sorted by hash: a window found again stands beside its like.
-    windows = F.sort_array(
-        F.transform(
-            F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0))),
-            lambda x, i: F.struct(F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")),
-        )
+    windows = split.select(
+        "*",
+        F.transform(F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2))).alias("windows"),
     )
-    marked = split.select("*", windows.alias("windows")).select(
+    # Sorted by hash, a window found again stands beside its like; most texts have none and are not sorted.
+    placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    marked = windows.select("*", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("sorted")).select(
         "*",
         F.sort_array(
             F.transform(
-                F.filter("windows", lambda x, k: (x["h"] == F.get("windows", k - 1)["h"]) | (x["h"] == F.get("windows", k + 1)["h"])),
+                F.filter("sorted", lambda x, k: (x["h"] == F.get("sorted", k - 1)["h"]) | (x["h"] == F.get("sorted", k + 1)["h"])),
                 lambda x: x["i"],
             )
         ).alias("at"),
