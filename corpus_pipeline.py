@@ -1,4 +1,14 @@
-"""A corpus pipeline of the text operators: each stage works on what the one before it kept."""
+"""A corpus pipeline of the text operators: each stage works on what the one before it kept.
+
+Defined cases, by what the stages define
+- null, empty and wordless texts have the score 0 and go in the first stage, so none reach the others.
+- no labels, or labels of one class only: one score for all texts with words, and all of them stay or go.
+- repeated rows: one of them stays (near_duplicates). Null doc_ids stay if nothing speaks against their texts.
+- null lang, source or n_chars: kept as they are; the mix counts a null source among the rest and a null size as 1.
+- no benchmark items: nothing is contaminated. Long texts: whole in every stage.
+- empty table: no rows, with the columns of the last stage. Extra columns, whatever their names, go through all stages
+  but the last, which names where each document is: doc_id, shard, rows, bytes, tier and version.
+"""
 
 from __future__ import annotations
 
