@@ -13,20 +13,27 @@ from tidemark.registry import REGISTRY
 
 #: Seconds; both ends of a window count.
 SHORT, MIDDLE, LONG = 300, 900, 3600
+#: Hours of a route that a window task holds.
+SLOT = 6
 
 
 def sliding_features(events: DataFrame) -> DataFrame:
     """For every event the searches and bookings of its route in the windows that end at it, and their ratio.
 
     Events are de-duplicated by id first (the first by time stays), as a set of ids would have it; null ids are one.
-    One sort by (route, time) serves all four windows.
+    One sort by (route, SLOT hours, time) serves all four windows: the events of a slot's last hour also stand before
+    the next one's, so that a route is cut into as many tasks as it has slots.
     """
     clean = events.where(F.col("city").isNotNull() & F.col("sim_ts").isNotNull())
     once = clean.groupBy("city", "event_id").agg(F.min_by(F.struct("sim_ts", "event_type", "id"), F.struct("sim_ts", "id")).alias("e")).select(F.col("city").alias("route_id"), "event_id", "e.*")
-    at = once.withColumn("t", F.unix_micros(F.col("sim_ts").cast("timestamp")))
+    timed = once.withColumn("t", F.unix_micros(F.col("sim_ts").cast("timestamp")))
+    width = SLOT * LONG * 1_000_000
+    slot = F.floor(F.col("t") / width)
+    late = F.col("t") >= (slot + 1) * width - LONG * 1_000_000
+    at = timed.select("*", F.explode(F.when(late, F.array(slot, slot + 1)).otherwise(F.array(slot))).alias("slot"), slot.alias("own"))
 
     def over(kind: str, seconds: int) -> Column:
-        w = Window.partitionBy("route_id").orderBy("t").rangeBetween(-seconds * 1_000_000, 0)
+        w = Window.partitionBy("route_id", "slot").orderBy("t").rangeBetween(-seconds * 1_000_000, 0)
         return F.count_if(F.col("event_type") == kind).over(w)
 
     counted = at.select(
@@ -37,8 +44,9 @@ def sliding_features(events: DataFrame) -> DataFrame:
         over("booking", MIDDLE).alias("bookings_15m"),
         over("search", LONG).alias("searches_1h"),
         over("booking", LONG).alias("bookings_1h"),
+        (F.col("slot") == F.col("own")).alias("counts"),
     )
-    return counted.withColumn("look_to_book_1h", look_to_book("bookings_1h", "searches_1h"))
+    return counted.where("counts").drop("counts").withColumn("look_to_book_1h", look_to_book("bookings_1h", "searches_1h"))
 
 
 def look_to_book(bookings: str, searches: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalar import hour_of
+from tidemark.sources.paths import written
 
 OFFLINE = {
     "event_count": "event_count",
@@ -77,22 +78,50 @@ def skew_verdicts(rows: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
 # Population stability
 
 
-def psi_numeric(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """psi of one column: bins by exact quantiles of the reference; values outside count in the total only.
+def ranked(reference: DataFrame, current: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """feature, v, r, c (how often in the reference and current rows), through_r, through_c (with all lower values), n_r, n_c.
+
+    All columns in one pass: counts by value, range-partitioned and sorted; each part is summed by itself and its
+    start added, so that no task holds all values of a column.
+    """
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = reference.select(F.inline(each)).withColumns({"r": F.lit(1), "c": F.lit(0)}).unionByName(current.select(F.inline(each)).withColumns({"r": F.lit(0), "c": F.lit(1)}))
+    counts = long.where("v IS NOT NULL AND NOT isnan(v)").groupBy("feature", "v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    parts = written(counts.repartitionByRange("feature", "v").withColumn("part", F.spark_partition_id()), "ranked-values")
+    sums = parts.groupBy("feature", "part").agg(F.sum("r").alias("sr"), F.sum("c").alias("sc"))
+    before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    whole = Window.partitionBy("feature")
+    zero = F.lit(0).cast("long")
+    starts = sums.select("feature", "part", F.coalesce(F.sum("sr").over(before), zero).alias("br"), F.coalesce(F.sum("sc").over(before), zero).alias("bc"), F.sum("sr").over(whole).alias("n_r"), F.sum("sc").over(whole).alias("n_c"))
+    within = Window.partitionBy("feature", "part").orderBy("v")
+    return parts.join(F.broadcast(starts), ["feature", "part"]).select(
+        "feature", "v", "r", "c", (F.col("br") + F.sum("r").over(within)).alias("through_r"), (F.col("bc") + F.sum("c").over(within)).alias("through_c"), "n_r", "n_c"
+    )
+
+
+def psi_of(ranks: DataFrame, columns: tuple[str, ...], bins: int = 10) -> DataFrame:
+    """feature, psi: bins by exact quantiles of the reference; values outside count in the total only.
 
     0 when the reference has fewer than 10 values, the current rows fewer than 5, or fewer than two bins are left.
     """
-    values = lambda df: df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    ref, cur = values(reference), values(current)
-    edges = ref.agg(F.array_sort(F.array_distinct(F.percentile("v", F.array(*[F.lit(i / bins) for i in range(bins + 1)])))).alias("edges"), F.count("*").alias("n_ref"))
-    both = ref.withColumn("is_ref", F.lit(1)).unionByName(cur.withColumn("is_ref", F.lit(0)))
-    n = F.size("edges")
-    last = F.element_at("edges", -1)
+    # The values at the ranks around each quantile: two a quantile and feature.
+    at = lambda i: F.floor(i * (F.col("n_r") - 1) / bins)
+    wanted = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.array(at(i), F.least(at(i) + 1, F.col("n_r") - 1)))))
+    here = F.filter(wanted, lambda k: (k >= F.col("through_r") - F.col("r")) & (k < F.col("through_r")))
+    known = ranks.where("r > 0").select("feature", "v", "n_r", here.alias("ks")).where(F.size("ks") > 0).select("feature", "v", "n_r", F.explode("ks").alias("k"))
+    by_rank = known.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("of"), F.first("n_r").alias("n_r"))
+
+    def quantile(i: Column) -> Column:
+        low, high = F.col("of")[at(i)], F.col("of")[F.least(at(i) + 1, F.col("n_r") - 1)]
+        return low + (high - low) * (i * (F.col("n_r") - 1) / bins - at(i))
+
+    edges = by_rank.select("feature", F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(bins)), quantile))).alias("edges"))
+    n, last, v = F.size("edges"), F.element_at("edges", -1), F.col("v")
     # The number of edges at or below a value is its bin; the last bin is closed.
-    at = F.when(F.col("v") == last, n - 1).when((F.col("v") < F.element_at("edges", 1)) | (F.col("v") > last), 0).otherwise(F.size(F.filter("edges", lambda e: e <= F.col("v"))))
-    placed = both.join(F.broadcast(edges.where(n >= 3)), F.lit(True)).select("is_ref", at.alias("bin"), (n - 1).alias("k"))  # one row
-    counts = placed.groupBy("bin", "k").agg(F.count_if(F.col("is_ref") == 1).alias("r"), F.count_if(F.col("is_ref") == 0).alias("c"))
-    whole = counts.agg(F.sum("r").alias("n_r"), F.sum("c").alias("n_c"), F.max("k").alias("k"), F.collect_list(F.struct("bin", "r", "c")).alias("found"))  # a row a bin
+    place = F.when(v == last, n - 1).when((v < F.element_at("edges", 1)) | (v > last), 0).otherwise(F.size(F.filter("edges", lambda e: e <= v)))
+    placed = ranks.join(F.broadcast(edges), "feature").where(n >= 3).select("feature", place.alias("bin"), (n - 1).alias("k"), "r", "c", "n_r", "n_c")  # a row a feature
+    counts = placed.groupBy("feature", "bin", "k", "n_r", "n_c").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    whole = counts.groupBy("feature", "k", "n_r", "n_c").agg(F.collect_list(F.struct("bin", "r", "c")).alias("found"))  # a row a bin
     share = lambda x, total: (x + EPS) / (F.col(total) + EPS * F.col("k"))
     each = F.transform(
         F.sequence(F.lit(1), F.col("k")),
@@ -100,7 +129,14 @@ def psi_numeric(reference: DataFrame, current: DataFrame, column: str, bins: int
     )
     term = lambda x: (share(x["c"], "n_c") - share(x["r"], "n_r")) * F.log(share(x["c"], "n_c") / share(x["r"], "n_r"))
     psi = F.aggregate(F.transform(each, term), F.lit(0.0), lambda a, x: a + x)
-    return whole.select(F.lit(column).alias("feature"), F.coalesce(F.when((F.col("n_r") >= 10) & (F.col("n_c") >= 5), psi), F.lit(0.0)).alias("psi"))
+    found = whole.where("n_r >= 10 AND n_c >= 5").select("feature", psi.alias("psi"))
+    asked = ranks.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    return asked.join(found, "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
+
+
+def psi_numeric(reference: DataFrame, current: DataFrame, *columns: str, bins: int = 10) -> DataFrame:
+    """feature, psi of the columns (`psi_of`)."""
+    return psi_of(ranked(reference, current, columns), columns, bins)
 
 
 def psi_categorical(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
@@ -114,23 +150,15 @@ def psi_categorical(reference: DataFrame, current: DataFrame, column: str) -> Da
     return rows.agg(F.coalesce(F.sum((c - r) * F.log(c / r)), F.lit(0.0)).alias("psi")).select(F.lit(column).alias("feature"), "psi")
 
 
-def ks_statistic(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
-    """Greatest distance of the two distribution functions of one column.
+def ks_of(ranks: DataFrame) -> DataFrame:
+    """feature, ks: the greatest distance of the two distribution functions."""
+    gap = F.abs(F.try_divide("through_r", "n_r") - F.try_divide("through_c", "n_c"))
+    return ranks.groupBy("feature").agg(F.max(gap).alias("ks"))
 
-    Counts by value first; then running sums over ranges of values: each range of the sorted values is summed by
-    itself and its start added, so no single task sorts all values.
-    """
-    both = reference.select(F.col(column).cast("double").alias("v"), F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(
-        current.select(F.col(column).cast("double").alias("v"), F.lit(0).alias("r"), F.lit(1).alias("c"))
-    )
-    counts = both.where("v IS NOT NULL AND NOT isnan(v)").groupBy("v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.floor(F.col("v") * 8).alias("slot"))
-    slots = counts.groupBy("slot").agg(F.sum("r").alias("sr"), F.sum("c").alias("sc"))
-    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    starts = slots.select("slot", F.coalesce(F.sum("sr").over(before), F.lit(0)).alias("br"), F.coalesce(F.sum("sc").over(before), F.lit(0)).alias("bc"), F.sum("sr").over(everything).alias("nr"), F.sum("sc").over(everything).alias("nc"))
-    within = Window.partitionBy("slot").orderBy("v")
-    run = counts.join(starts, "slot").select(((F.col("br") + F.sum("r").over(within)) / F.col("nr") - (F.col("bc") + F.sum("c").over(within)) / F.col("nc")).alias("d"))
-    return run.agg(F.max(F.abs("d")).alias("ks")).select(F.lit(column).alias("feature"), "ks")
+
+def ks_statistic(reference: DataFrame, current: DataFrame, *columns: str) -> DataFrame:
+    """feature, ks of the columns; none where one side has no values."""
+    return ks_of(ranked(reference, current, columns)).where("ks IS NOT NULL")
 
 
 DRIFT_FEATURES = ("total_demand", "event_count", "demand_lag_1h", "demand_lag_24h", "demand_lag_168h", "demand_roll_3h", "demand_roll_24h", "temperature_c", "humidity_pct", "precip_mm")
@@ -141,8 +169,8 @@ def drift_report(reference: DataFrame, current: DataFrame, features: tuple[str,
 
     Both scores are higher the more the distributions differ.
     """
-    psi = reduce(DataFrame.unionByName, [psi_numeric(reference, current, f) for f in features])
-    ks = reduce(DataFrame.unionByName, [ks_statistic(reference, current, f) for f in features])
+    ranks = ranked(reference, current, features)
+    psi, ks = psi_of(ranks, features), ks_of(ranks)
     n = reference.agg(F.count("*").alias("reference_count")).join(F.broadcast(current.agg(F.count("*").alias("current_count"))), F.lit(True))  # one row each
     rows = psi.join(ks, "feature").join(F.broadcast(n), F.lit(True))
     return rows.select(

@@ -382,10 +382,7 @@ def _psi_sql(c: str) -> str:
 
 @query("ag_psi_num", " UNION ALL ".join(f"SELECT * FROM {_psi_sql(c)}" for c in WEATHER))
 def _(d):
-    from functools import reduce
-
-    ref, cur = _halves(d)
-    return reduce(DataFrame.unionByName, [quality.psi_numeric(ref, cur, c).select("feature", *r("psi")) for c in WEATHER])
+    return quality.psi_numeric(*_halves(d), *WEATHER).select("feature", *r("psi"))
 
 
 ORACLE_PSI_CITY = f"""SELECT 'city' AS feature, round(sum((pc - pr) * ln(pc / pr)), 6) AS psi FROM (

@@ -159,7 +159,7 @@ def _(d):
 
 @query("src_lake_scan", "SELECT id, event_id FROM demand_events WHERE ingested_at >= TIMESTAMP '2024-01-10 06:00:00' AND ingested_at < TIMESTAMP '2024-01-12 10:00:00'")
 def _(d):
-    rows = lake.scan(d.spark, lake_of(d), "demand_events", datetime(2024, 1, 10, 6), datetime(2024, 1, 12, 9))
+    rows = lake.scan(d.spark, lake_of(d), "demand_events", datetime(2024, 1, 10, 6), datetime(2024, 1, 12, 9), d.demand_events.schema)
     return rows.select("id", "event_id")
 
 
@@ -434,7 +434,7 @@ _GATE_PSI = "(" + " UNION ALL ".join(f"SELECT * FROM {_psi_sql(c)}" for c in WEA
 def _(d):
     """Each candidate against the stability of the mart's two halves and the best one as Production; one has none, one no stability to meet."""
     errors, halves = _errors(d), _halves(d)
-    rows = reduce(DataFrame.unionByName, [quality.psi_numeric(*halves, c) for c in WEATHER] + [quality.psi_categorical(*halves, "city")])
+    rows = quality.psi_numeric(*halves, *WEATHER).unionByName(quality.psi_categorical(*halves, "city"))
     psi = {row["feature"]: row["psi"] for row in rows.collect()}  # four features
     cases = [(n, *training.promotion(psi if n != "baseline" else {}, e, None if n == _CANDIDATES[0] else min(errors.values()))) for n, e in errors.items()]
     return d.spark.createDataFrame(cases, "name string, promote boolean, reason string")
@@ -454,7 +454,7 @@ _KS = " UNION ALL ".join(
 @query("ml_ks", _KS)
 def _(d):
     cut = "TIMESTAMP_NTZ '2024-01-15'"
-    return reduce(DataFrame.unionByName, [quality.ks_statistic(d.mart.where(f"hour_ts < {cut}"), d.mart.where(f"hour_ts >= {cut}"), c).select("feature", *r("ks")) for c in WEATHER])
+    return quality.ks_statistic(d.mart.where(f"hour_ts < {cut}"), d.mart.where(f"hour_ts >= {cut}"), *WEATHER).select("feature", *r("ks"))
 
 
 _PSI = "(" + " UNION ALL ".join(f"SELECT * FROM {_psi_sql(c)}" for c in WEATHER) + ")"

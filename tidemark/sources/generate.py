@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import condition
+from tidemark.functions.scalar import condition, cyclic_time
 
 # Fixed values of the demand model: bases, scales (1.0 for other cities), and the weight of each hour of the day.
 BASE = {"ELECTRICITY_KWH": 500.0, "GAS_CONSUMPTION_M3": 120.0, "RIDE_SHARE_TRIPS": 80.0, "ICE_CREAM_SALES": 40.0, "HOT_DRINK_SALES": 60.0, "GROCERY_DELIVERIES": 50.0}
@@ -109,6 +109,18 @@ def demand(readings: DataFrame) -> DataFrame:
     return rows.select("city", "event_type", F.col("polled_at").alias("sim_ts"), F.greatest(F.lit(0.0), F.round(level * noise, 2)).alias("quantity"), "temperature_c")
 
 
+def mart_rows(spark: SparkSession, n: int, cities: tuple[str, ...] = tuple(CITY_SCALE)) -> DataFrame:
+    """n rows of the hourly mart with uniform values, a hundredth of lags and a twentieth of readings missing: for measurements."""
+    i, k = F.col("id"), len(cities)
+    ts = F.expr(f"timestampadd(HOUR, CAST(id div {k} AS int), TIMESTAMP_NTZ '2000-01-01 00:00:00')")
+    between = lambda name, lo, hi: lo + (hi - lo) * uniform(F.lit(name), i)
+    some = lambda name, lo, hi, lost: F.when(uniform(F.lit("lost"), F.lit(name), i) >= lost, between(name, lo, hi)).alias(name)
+    lags = [some(c, 50, 2000, 0.01) for c in ("demand_lag_1h", "demand_lag_24h", "demand_lag_168h", "demand_roll_3h", "demand_roll_24h")]
+    readings = [some(c, lo, hi, 0.05) for c, lo, hi in (("temperature_c", -15, 42), ("humidity_pct", 10, 99), ("precip_mm", 0, 30))]
+    city = F.element_at(F.array(*[F.lit(c) for c in cities]), (i % k + 1).cast("int"))
+    return spark.range(n).select(city.alias("city"), ts.alias("hour_ts"), between("total_demand", 50, 2000).alias("total_demand"), F.floor(between("event_count", 0, 200)).cast("int").alias("event_count"), *lags, *cyclic_time(ts), *readings, (uniform(F.lit("holiday"), i) < 0.5).alias("is_holiday"))
+
+
 #: Nested fields of a weather response and the flat columns they become.
 FLAT = {
     "temperature.degrees": "temperature_c",

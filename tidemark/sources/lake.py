@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.sources.tables import insert_ignore
 
@@ -22,7 +23,8 @@ def write_hourly(rows: DataFrame, root: str, table: str, now: datetime, catch_up
     have = slots(rows.sparkSession, root, table)
     new = _as_lake(done, ts)
     if have is not None:
-        new = new.join(F.broadcast(have), ["dt", "hour"], "left_anti")  # catch_up_hours slots at most matter
+        near = have.where(F.col("dt") >= F.lit((end - timedelta(hours=catch_up_hours)).date()))  # catch_up_hours slots and a day at most
+        new = new.join(F.broadcast(near), ["dt", "hour"], "left_anti")
     new.repartition("dt", "hour").write.mode("append").option("compression", "snappy").partitionBy("dt", "hour").parquet(f"{root}/raw/{table}")
 
 
@@ -49,9 +51,13 @@ def listing(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root).select("path", F.col("length").alias("bytes"))
 
 
-def scan(spark: SparkSession, root: str, table: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-    """The table's rows, columns united over files; with bounds, only the partitions of their hours are read."""
-    rows = spark.read.option("mergeSchema", "true").parquet(f"{root}/raw/{table}")
+def scan(spark: SparkSession, root: str, table: str, start: datetime | None = None, end: datetime | None = None, schema: StructType | None = None) -> DataFrame:
+    """The table's rows; with bounds, only the partitions of their hours are read.
+
+    Columns that a file lacks are null with a `schema`; without one, the footers of all files are read to unite theirs.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
+    rows = reader.parquet(f"{root}/raw/{table}")
     slot = F.concat(F.col("dt").cast("string"), F.lpad(F.col("hour").cast("string"), 2, "0"))
     if start is not None:
         rows = rows.where((F.col("dt") >= F.lit(start.date())) & (slot >= start.strftime("%Y-%m-%d%H")))

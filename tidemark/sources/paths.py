@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: For local masters only (tests, a laptop); a cluster names its folder in spark.checkpoint.dir.
 LOCAL_SHARED = "/tmp/checkpoints/tidemark"
@@ -28,6 +28,17 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once as Parquet under the shared folder and read again.
+
+    Cuts the lineage: a lost executor costs the reading of a file, not the job that made it. `clear` removes what an
+    application has written.
+    """
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the tables that this application has written; call it when no result is read any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
