@@ -13,10 +13,12 @@ First in rounds by leaders: within a bucket, texts outside its largest class are
 class and one of the others; in the first round each text is its own class. Further rounds try the buckets that still
 hold several classes against members drawn anew, and finer buckets of two bands, where what meets is likelier to be
 similar, until a round finds no link (LEADER_ROUNDS at most). Then an exact round: in each bucket that still holds
-several classes, every text outside the largest is tried, in blocks of BLOCK members, against every text of another
-class that it was not tried against and that is large enough to be similar. After it no two texts of a bucket that are
+several classes, every text outside the largest is held, in blocks of BLOCK members, against every text of another
+class. A pair is left out if it cannot be similar: each text has a map of BITS bits, in which its runs set bits by
+hash; a bit that one text has and the other lacks stands for a run that they do not share, so sizes and maps bound
+their similarity from above, and only what may reach SIMILAR is tried. After it no two texts of a bucket that are
 similar are in two classes, whatever the rounds before found; what they save is pairs within classes, which are never
-tried. No pair is tried twice. Classes are the connected components of the links, found by label propagation with
+looked at. No pair is tried twice. Classes are the connected components of the links, found by label propagation with
 each step written.
 
 Copies are one text throughout: texts are compared by a 128-bit key and joined to their rows at the end.
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,6 +52,8 @@ SIMILAR = 0.8
 LEADER_ROUNDS = 6
 #: Members of a bucket in a block of the exact round, about.
 BLOCK = 1_000
+#: Bits of a text's map of runs, 64 to a number.
+BITS = 1024
 #: Bytes of text that are sketched at a time.
 CHUNK = 1_000_000
 
@@ -113,19 +118,22 @@ def band_hashes(sketches: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How many runs each text has, how many band hashes (BANDS, or twice if runs repeat), and all of these in a row."""
+def bands_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many runs each text has, its map of them, how many band hashes (BANDS, or twice if runs repeat), and all of these in a row."""
     doc, run, weight = weighted_runs(texts)
     runs = np.bincount(doc, minlength=len(texts))
+    bit = mixed(run ^ _U(0x5851F42D4C957F2D)) % _U(BITS)
+    maps = np.zeros((len(texts), BITS // 64), _U)
+    np.bitwise_or.at(maps, (doc, (bit >> _U(6)).astype(np.int64)), _U(1) << (bit & _U(63)))
     hashes = band_hashes(arrivals(doc, run, weight, len(texts)))
     repeats = np.unique(doc[weight > 1])
     if not len(repeats):
-        return runs, np.full(len(texts), BANDS), hashes.ravel()
+        return runs, maps, np.full(len(texts), BANDS), hashes.ravel()
     own = np.isin(doc, repeats)
     second = band_hashes(arrivals(np.searchsorted(repeats, doc[own]), run[own], np.ones(own.sum()), len(repeats)))
     which = np.concatenate([np.arange(len(texts)), repeats])
     order = np.argsort(which, kind="stable")
-    return runs, np.bincount(which) * BANDS, np.concatenate([hashes, second])[order].ravel()
+    return runs, maps, np.bincount(which) * BANDS, np.concatenate([hashes, second])[order].ravel()
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +143,11 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
             part = batch.slice(lo, hi - lo)
-            runs, counts, hashes = bands_of(part.column("text").to_pylist())
+            runs, maps, counts, hashes = bands_of(part.column("text").to_pylist())
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("key_a"), part.column("key_b"), pa.array(runs.astype(np.int32)), bands], ["key_a", "key_b", "size", "bands"])
+            bits = pa.ListArray.from_arrays(np.arange(len(maps) + 1, dtype=np.int32) * (BITS // 64), pa.array(maps.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("key_a"), part.column("key_b"), pa.array(runs.astype(np.int32)), bits, bands], ["key_a", "key_b", "size", "bits", "bands"])
 
 
 def _has_terms(text: Column) -> Column:
@@ -190,13 +199,13 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """node (text key), label: for each text that is linked to another one, its class."""
     keyed = docs.select(*text_key(F.col("text")), "text").where(_has_terms(F.col("text")))
-    bands = written(keyed.mapInArrow(_bands, "key_a long, key_b long, size int, bands array<long>"), "bands")
-    once = bands.groupBy("key_a", "key_b").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    bands = written(keyed.mapInArrow(_bands, "key_a long, key_b long, size int, bits array<long>, bands array<long>"), "bands")
+    once = bands.groupBy("key_a", "key_b").agg(F.first("bands").alias("bands"))
     placed = lambda values: F.explode(F.array_distinct(F.transform(values, lambda x, i: F.struct((i % BANDS).alias("band"), x.alias("value"))))).alias("x")
-    members = _shared(once.select(_node(), "size", placed("bands")).select("node", "size", "x.*"), "members")
+    members = _shared(once.select(_node(), placed("bands")).select("node", "x.*"), "members")
     # Finer buckets of two neighbouring bands: what meets there is likelier to be similar.
     pairs = F.transform("bands", lambda x, i: F.xxhash64(x, F.get("bands", i - i % BANDS + (i + 1) % BANDS)))
-    finer = _shared(once.select(_node(), "size", placed(pairs)).select("node", "size", "x.*"), "finer-members").withColumn("band", F.col("band") + BANDS)
+    finer = _shared(once.select(_node(), placed(pairs)).select("node", "x.*"), "finer-members").withColumn("band", F.col("band") + BANDS)
 
     wanted = written(members.select("node.key_a", "node.key_b").distinct(), "candidates")
     texts = keyed.join(bounded(wanted), ["key_a", "key_b"], "left_semi").groupBy("key_a", "key_b").agg(F.first("text").alias("text"))
@@ -227,7 +236,7 @@ def classes(docs: DataFrame) -> DataFrame:
             continue
         labels = components(new) if labels is None else _joined(labels, new)
 
-    rest = _untried(members, labels)
+    rest = _untried(members, labels, bands)
     rest = written(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "rest")
     new = written(_linked(rest, runs), "new-links")
     if new.limit(1).count():
@@ -237,18 +246,24 @@ def classes(docs: DataFrame) -> DataFrame:
     return labels
 
 
-def _untried(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of a bucket in different classes, of sizes that allow a link, one of them outside its largest class."""
+def _untried(members: DataFrame, labels: DataFrame | None, bands: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket in different classes that sizes and maps of runs do not rule out, one of them outside its largest class."""
     at = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     at = written(at, "placed-members")
     by_class = at.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
     buckets = by_class.groupBy("band", "value").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k"))
     buckets = written(buckets.where("k > 1").select("band", "value", "top", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-buckets")
-    both = at.join(buckets, ["band", "value"])
-    outside = both.where(F.col("label") != F.col("top")).select("band", "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("node", "label", "size").alias("x"))
-    inside = both.select("band", "value", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.struct("node", "label", "size").alias("y"))
-    sizes = F.least("x.size", "y.size") >= SIMILAR * F.greatest("x.size", "y.size")
-    pairs = outside.join(inside, ["band", "value", "block"]).where((F.col("x.label") != F.col("y.label")) & sizes)
+    both = written(at.join(buckets, ["band", "value"]), "mixed-members")
+    nodes = both.select("node").distinct()
+    maps = bands.select(_node(), "size", "bits").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    known = both.join(maps, "node").withColumn("x", F.struct("node", "label", "size", "bits", F.aggregate("bits", F.lit(0), lambda n, w: n + F.bit_count(w)).alias("ones")))
+    outside = known.where(F.col("label") != F.col("top")).select("band", "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "x")
+    inside = known.select("band", "value", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("x").alias("y"))
+    ones = reduce(lambda m, n: m + n, [F.bit_count(F.get("x.bits", F.lit(i)).bitwiseAND(F.get("y.bits", F.lit(i)))) for i in range(BITS // 64)])
+    # Each bit that only one has is a run that only it has.
+    most = F.least(F.col("x.size") - F.col("x.ones") + ones, F.col("y.size") - F.col("y.ones") + ones)
+    possible = most >= SIMILAR * (F.col("x.size") + F.col("y.size") - most)
+    pairs = outside.join(inside, ["band", "value", "block"]).where((F.col("x.label") != F.col("y.label")) & possible)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
