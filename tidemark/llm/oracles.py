@@ -70,4 +70,19 @@ _LM = r"""
 """
 
 
-ORACLES = {"op1_lm_scoring": _LM, "op6_mixing": _mixing(), "op9_url_filter": _urls()}
+#: Equal lines by their first occurrence; lines of five words and more within one word of an earlier one: by what is left without a word.
+_LINES = r"""
+    WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, line_no, doc_id * 1000000 + line_no AS place, trim(regexp_replace(raw, '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS line FROM t WHERE regexp_matches(raw, '[^\x20\x09\x0B-\x0D]')),
+    f AS (SELECT line, min(place) AS first, string_split(line, ' ') AS w FROM l GROUP BY line),
+    s AS (SELECT line, first, w, len(w) AS n FROM f WHERE len(w) >= 5),
+    m AS (SELECT line, first, n, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM s)),
+    near AS (SELECT line FROM m QUALIFY min(first) OVER (PARTITION BY n, i, rest) < first
+             UNION SELECT CASE WHEN m.first < s.first THEN s.line ELSE m.line END FROM m JOIN s ON s.line = m.rest)
+    SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(len(removed), 0) AS n_removed, coalesce(removed, []) AS removed FROM documents d LEFT JOIN (
+      SELECT l.doc_id, count(*) AS n_lines, list(l.line_no::int ORDER BY l.line_no) FILTER (l.place <> f.first OR near.line IS NOT NULL) AS removed
+      FROM l JOIN f USING (line) LEFT JOIN near ON near.line = l.line GROUP BY 1) USING (doc_id)
+"""
+
+
+ORACLES = {"op1_lm_scoring": _LM, "op6_mixing": _mixing(), "op7_line_dedup": _LINES, "op9_url_filter": _urls()}
