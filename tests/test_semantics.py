@@ -147,6 +147,17 @@ def test_insert_ignore_is_idempotent(spark):
     assert staging.duplicate_groups(spark.read.parquet(path)).count() == 0
 
 
+def test_upsert_rewrites_only_the_partitions_it_touches(spark):
+    path = fresh(spark, "parts")
+    frame = lambda rows: spark.createDataFrame(rows, "k int, v string, part string")
+    tables.upsert(frame([(1, "a", "p"), (2, "b", "p"), (3, "c", "q")]), path, ["k"], by="part")
+    files = lambda part: {r.input for r in spark.read.parquet(path).where(F.col("part") == part).select(F.input_file_name().alias("input")).collect()}
+    other = files("q")
+    tables.upsert(frame([(2, "x", "p"), (4, "d", "p")]), path, ["k"], by="part")
+    assert sorted((r.k, r.v, r.part) for r in spark.read.parquet(path).collect()) == [(1, "a", "p"), (2, "x", "p"), (3, "c", "q"), (4, "d", "p")]
+    assert files("q") == other
+
+
 def _hashes(spark, n):
     store = spark.createDataFrame([(f"r{i}", float(i), None) for i in range(n)], "route_id string, a double, b double")
     return online.as_hash(store, "route_id", ["a", "b"]).coalesce(1)

@@ -103,11 +103,12 @@ def _(d):
 
 @query("snk_upsert", "SELECT city, hour_ts, CASE WHEN hour(hour_ts) < 6 THEN -1.0::double ELSE round(total_demand, 6) END AS total_demand FROM demand_hourly")
 def _(d):
+    """By day: the second upsert touches the days that it has rows of."""
     path = fresh(d.spark, "hourly")
-    rows = d.demand_hourly.select("city", "hour_ts", *r("total_demand"))
-    tables.upsert(rows, path, ["city", "hour_ts"])
-    tables.upsert(rows.where(F.hour("hour_ts") < 6).withColumn("total_demand", F.lit(-1.0)), path, ["city", "hour_ts"])
-    return d.spark.read.parquet(path)
+    rows = d.demand_hourly.select("city", "hour_ts", *r("total_demand"), F.date_format("hour_ts", "yyyyMMdd").alias("day"))
+    tables.upsert(rows, path, ["city", "hour_ts"], by="day")
+    tables.upsert(rows.where(F.hour("hour_ts") < 6).withColumn("total_demand", F.lit(-1.0)), path, ["city", "hour_ts"], by="day")
+    return d.spark.read.schema(rows.schema).parquet(path).drop("day")
 
 
 @query("snk_upsert_partial", "SELECT city, hour_ts, CASE WHEN hour(hour_ts) < 6 THEN 0 ELSE event_count END AS event_count, is_holiday FROM mart")

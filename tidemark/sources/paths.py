@@ -59,10 +59,12 @@ def replace(spark: SparkSession, new: str, path: str) -> None:
     fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     aside = jvm.Path(f"{path}.old-{uuid.uuid4().hex}")
     there = fs.exists(jvm.Path(path))
-    if there:
-        fs.rename(jvm.Path(path), aside)
+    if there and not fs.rename(jvm.Path(path), aside):
+        raise OSError(f"{path} could not be renamed")
     fs.mkdirs(jvm.Path(path).getParent())
     if not fs.rename(jvm.Path(new), jvm.Path(path)):
+        if there:
+            fs.rename(aside, jvm.Path(path))
         raise OSError(f"{new} could not be renamed to {path}")
     if there:
         fs.delete(aside, True)
