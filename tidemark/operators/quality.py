@@ -99,23 +99,34 @@ def ranked(reference: DataFrame, current: DataFrame, columns: tuple[str, ...]) -
     )
 
 
-def psi_of(ranks: DataFrame, columns: tuple[str, ...], bins: int = 10) -> DataFrame:
-    """feature, psi: bins by exact quantiles of the reference; values outside count in the total only.
-
-    0 when the reference has fewer than 10 values, the current rows fewer than 5, or fewer than two bins are left.
-    """
-    # The values at the ranks around each quantile: two a quantile and feature.
-    at = lambda i: F.floor(i * (F.col("n_r") - 1) / bins)
-    wanted = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.array(at(i), F.least(at(i) + 1, F.col("n_r") - 1)))))
+def quantiles(ranks: DataFrame, parts: int) -> DataFrame:
+    """feature, quantiles: the exact interpolated 0, 1/parts, ... 1 quantiles of the reference, from the values at the ranks around each."""
+    at = lambda i: F.floor(i * (F.col("n_r") - 1) / parts)
+    steps = F.sequence(F.lit(0), F.lit(parts))
+    wanted = F.array_distinct(F.flatten(F.transform(steps, lambda i: F.array(at(i), F.least(at(i) + 1, F.col("n_r") - 1)))))
     here = F.filter(wanted, lambda k: (k >= F.col("through_r") - F.col("r")) & (k < F.col("through_r")))
     known = ranks.where("r > 0").select("feature", "v", "n_r", here.alias("ks")).where(F.size("ks") > 0).select("feature", "v", "n_r", F.explode("ks").alias("k"))
-    by_rank = known.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("of"), F.first("n_r").alias("n_r"))
+    by_rank = known.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("of"), F.first("n_r").alias("n_r"))  # two values a quantile
 
     def quantile(i: Column) -> Column:
         low, high = F.col("of")[at(i)], F.col("of")[F.least(at(i) + 1, F.col("n_r") - 1)]
-        return low + (high - low) * (i * (F.col("n_r") - 1) / bins - at(i))
+        return low + (high - low) * (i * (F.col("n_r") - 1) / parts - at(i))
+
+    return by_rank.select("feature", F.transform(steps, quantile).alias("quantiles"))
+
 
-    edges = by_rank.select("feature", F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(bins)), quantile))).alias("edges"))
+def medians(rows: DataFrame, *columns: str) -> dict[str, float | None]:
+    """The exact median of each column, None without values; no task holds all values of a column."""
+    found = quantiles(ranked(rows, rows.limit(0), columns), 2).select("feature", F.col("quantiles")[1].alias("m"))
+    return dict.fromkeys(columns) | {r["feature"]: r["m"] for r in found.collect()}  # a row a column
+
+
+def psi_of(ranks: DataFrame, columns: tuple[str, ...], bins: int = 10) -> DataFrame:
+    """feature, psi: bins by exact quantiles of the reference; values outside count in the total only.
+
+    0 when the reference has fewer than 10 values, the current rows fewer than 5, or fewer than two bins are left.
+    """
+    edges = quantiles(ranks, bins).select("feature", F.array_sort(F.array_distinct("quantiles")).alias("edges"))
     n, last, v = F.size("edges"), F.element_at("edges", -1), F.col("v")
     # The number of edges at or below a value is its bin; the last bin is closed.
     place = F.when(v == last, n - 1).when((v < F.element_at("edges", 1)) | (v > last), 0).otherwise(F.size(F.filter("edges", lambda e: e <= v)))

@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quality import medians
 from tidemark.sources.paths import exists
 
 TRAINER_NUMERIC = ("event_count", "demand_lag_1h", "demand_lag_24h", "demand_lag_168h", "demand_roll_3h", "demand_roll_24h", "temperature_c", "humidity_pct", "precip_mm")
@@ -35,7 +36,7 @@ def metrics(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def naive(train: DataFrame, val: DataFrame) -> DataFrame:
     """`val` with prediction: demand a day before, or the training median (0 if there is none)."""
-    median = train.agg(F.coalesce(F.percentile(TARGET, 0.5), F.lit(0.0)).alias("m")).first()["m"]
+    median = medians(train, TARGET)[TARGET] or 0.0
     return val.withColumn("prediction", F.coalesce("demand_lag_24h", F.lit(median)))
 
 
@@ -65,13 +66,12 @@ class Preparation:
 
 
 def fit_preparation(rows: DataFrame, numeric: tuple[str, ...] = TRAINER_NUMERIC) -> Preparation:
-    """Two one-row aggregates: medians first, then moments of the filled columns; and a row a city."""
-    first = rows.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in numeric]).first()
-    medians = {c: first[c] if first[c] is not None else 0.0 for c in numeric}
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in numeric}
+    """Medians first, then moments of the filled columns as a one-row aggregate; and a row a city."""
+    middle = {c: m if m is not None else 0.0 for c, m in medians(rows, *numeric).items()}
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c])) for c in numeric}
     second = rows.agg(*[F.avg(filled[c]).alias(f"m_{c}") for c in numeric], *[F.stddev_pop(filled[c]).alias(f"s_{c}") for c in numeric]).first()
     cities = rows.where("city IS NOT NULL").groupBy("city").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "city").collect()
-    return Preparation(numeric, medians, {c: second[f"m_{c}"] or 0.0 for c in numeric}, {c: second[f"s_{c}"] or 0.0 for c in numeric}, cities[0]["city"] if cities else "", tuple(sorted(r["city"] for r in cities)))
+    return Preparation(numeric, middle, {c: second[f"m_{c}"] or 0.0 for c in numeric}, {c: second[f"s_{c}"] or 0.0 for c in numeric}, cities[0]["city"] if cities else "", tuple(sorted(r["city"] for r in cities)))
 
 
 def fit_once(rows: DataFrame, path: str, numeric: tuple[str, ...] = TRAINER_NUMERIC) -> Preparation:
