@@ -57,14 +57,17 @@ def replace(spark: SparkSession, new: str, path: str) -> None:
     """
     jvm = spark._jvm.org.apache.hadoop.fs
     fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    aside = jvm.Path(f"{path}.old-{uuid.uuid4().hex}")
-    there = fs.exists(jvm.Path(path))
-    if there and not fs.rename(jvm.Path(path), aside):
-        raise OSError(f"{path} could not be renamed")
-    fs.mkdirs(jvm.Path(path).getParent())
-    if not fs.rename(jvm.Path(new), jvm.Path(path)):
-        if there:
+    aside, there = jvm.Path(f"{path}.old-{uuid.uuid4().hex}"), fs.exists(jvm.Path(path))
+    if not fs.exists(jvm.Path(new)) or (there and not fs.rename(jvm.Path(path), aside)):
+        raise OSError(f"{new} could not be renamed to {path}")
+    done = False
+    try:
+        fs.mkdirs(jvm.Path(path).getParent())
+        done = fs.rename(jvm.Path(new), jvm.Path(path))
+    finally:
+        if there and not done:
             fs.rename(aside, jvm.Path(path))
+    if not done:
         raise OSError(f"{new} could not be renamed to {path}")
     if there:
         fs.delete(aside, True)
