@@ -123,7 +123,7 @@ def linked_classes(texts):
     return {i: root(i) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("rounds", [6, 1])
+@pytest.mark.parametrize("rounds", [3, 1])
 def test_near_duplicate_classes(spark, make_docs, monkeypatch, rounds):
     """Also when the leader rounds leave nearly all to the exact one, in blocks."""
     monkeypatch.setattr(near_duplicates, "LEADER_ROUNDS", rounds)

@@ -49,7 +49,7 @@ from tidemark.llm.common import bounded, columns_of, mixed, shingles_of, terms_o
 TERMS = 5
 BANDS, ROWS = 24, 5
 SIMILAR = 0.8
-LEADER_ROUNDS = 6
+LEADER_ROUNDS = 3
 #: Members of a bucket in a block of the exact round, about.
 BLOCK = 1_000
 #: Bits of a text's map of runs, 64 to a number.
@@ -256,15 +256,18 @@ def _untried(members: DataFrame, labels: DataFrame | None, bands: DataFrame) ->
     both = written(at.join(buckets, ["band", "value"]), "mixed-members")
     nodes = both.select("node").distinct()
     maps = bands.select(_node(), "size", "bits").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
-    known = both.join(maps, "node").withColumn("x", F.struct("node", "label", "size", "bits", F.aggregate("bits", F.lit(0), lambda n, w: n + F.bit_count(w)).alias("ones")))
-    outside = known.where(F.col("label") != F.col("top")).select("band", "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "x")
-    inside = known.select("band", "value", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("x").alias("y"))
-    ones = reduce(lambda m, n: m + n, [F.bit_count(F.get("x.bits", F.lit(i)).bitwiseAND(F.get("y.bits", F.lit(i)))) for i in range(BITS // 64)])
-    # Each bit that only one has is a run that only it has.
-    most = F.least(F.col("x.size") - F.col("x.ones") + ones, F.col("y.size") - F.col("y.ones") + ones)
-    possible = most >= SIMILAR * (F.col("x.size") + F.col("y.size") - most)
-    pairs = outside.join(inside, ["band", "value", "block"]).where((F.col("x.label") != F.col("y.label")) & possible)
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    words = range(BITS // 64)
+    ones = F.aggregate("bits", F.lit(0), lambda n, w: n + F.bit_count(w))
+    known = written(both.join(maps, "node").select("*", (F.col("size") - ones).alias("hidden"), *[F.get("bits", F.lit(i)).alias(f"w{i}") for i in words]).drop("bits"), "mixed-maps")
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("node", "label", "size", "hidden", *(f"w{i}" for i in words))]
+    outside = known.where(F.col("label") != F.col("top")).select("band", "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("x"))
+    inside = known.select("band", "value", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *side("y"))
+    # Each bit that only one has is a run that only it has: what they share is at most the bits that both have and the
+    # runs that the bits hide. SIMILAR of the union is a fixed share of the sum of the sizes.
+    both_bits = reduce(lambda m, n: m + n, [F.bit_count(F.col(f"x_w{i}").bitwiseAND(F.col(f"y_w{i}"))) for i in words])
+    possible = both_bits >= (F.col("x_size") + F.col("y_size")) * (SIMILAR / (1 + SIMILAR)) - 1e-6 - F.least("x_hidden", "y_hidden")
+    pairs = outside.join(inside, ["band", "value", "block"]).where(possible & (F.col("x_label") != F.col("y_label")))
+    return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def _joined(labels: DataFrame, new: DataFrame) -> DataFrame:
