@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, columns_of, mixed, shingles_of, terms_of, text_key, written
+from tidemark.llm.common import bounded, columns_of, joined_by_count, mixed, shingles_of, terms_of, text_key, written
 
 TERMS = 5
 BANDS, ROWS = 24, 5
@@ -291,8 +291,8 @@ def _placed(docs: DataFrame, keep: list[Column]) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size and kept (it has that id) of every row of `docs`."""
     rows = written(_placed(docs.select("doc_id", "text"), []), "classes")
-    sizes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    some = rows.where("class IS NOT NULL").join(sizes, "class").select(F.col("id").alias("doc_id"), "class_id", "class_size")
+    sizes = written(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "class-sizes")
+    some = joined_by_count(rows.where("class IS NOT NULL"), sizes, ["class"]).select(F.col("id").alias("doc_id"), "class_id", F.col("n").alias("class_size"))
     none = rows.where("class IS NULL").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return some.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
@@ -300,8 +300,8 @@ def judge(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of `docs` of each class, the one with the least doc_id, all columns as they were."""
     narrow = written(_placed(docs.select("doc_id", "text"), []), "classes").where("class IS NOT NULL")
-    least = narrow.groupBy("class").agg(F.min("id").alias("class_id"))
-    best = narrow.join(least, "class").where(F.col("id").eqNullSafe(F.col("class_id")))
+    least = written(narrow.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "class-sizes")
+    best = joined_by_count(narrow, least, ["class"]).where(F.col("id").eqNullSafe(F.col("class_id"))).drop("n")
     # A text and an id name the rows that stay; where several rows have both, one of them.
     stay = written(best.groupBy("class").agg(F.min("node").alias("node"), F.first("class_id").alias("class_id"), F.count("*").alias("n")).select("node", "class_id", "n"), "stay")
     rows = docs.select(F.struct(*columns_of(docs)).alias("row"), docs["doc_id"].alias("id"), *text_key(docs["text"]), _has_terms(docs["text"]).alias("worded"))
