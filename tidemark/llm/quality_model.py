@@ -23,10 +23,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANK, bounded, columns_of, words_of, written
+from tidemark.llm.common import bounded, columns_of, words_of, written
 
 FEATURES = ("mean_word", "symbols", "dup_lines", "repeats", "capitals", "marks", "distinct", "short_words")
 SYMBOLS = "#*$%&|<>!"
+BLANKS = " \t\n\x0b\x0c\r"
 
 #: Rates are smoothed by so many words of plain prose, as few words say little.
 TYPICAL = 10
@@ -59,16 +60,17 @@ class QuadraticModel:
 
 def with_features(rows: DataFrame) -> DataFrame:
     """`rows` (columns row, text) as row, n_words and the transformed statistics of the whole text."""
-    text = F.col("text")
+    text = F.coalesce("text", F.lit(""))
+    without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     split = rows.select(
         "row",
-        words_of(text).alias("words"),
-        F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        F.coalesce(F.length(F.regexp_replace(text, BLANK + "+", "")), F.lit(0)).alias("n_chars"),
-        F.coalesce(F.length(text) - F.length(F.translate(text, SYMBOLS, "")), F.lit(0)).alias("n_symbols"),
-        F.coalesce(F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", "")), F.lit(0)).alias("n_capitals"),
-        F.coalesce(F.length(text) - F.length(F.translate(text, ".,;:?", "")), F.lit(0)).alias("n_marks"),
-    )
+        words_of(F.col("text")).alias("strings"),
+        F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0).alias("lines"),
+        F.length(F.translate(text, BLANKS, "")).alias("n_chars"),
+        without(SYMBOLS).alias("n_symbols"),
+        F.regexp_count(text, F.lit(r"\p{Lu}")).alias("n_capitals"),
+        without(".,;:?").alias("n_marks"),
+    ).select("*", F.transform("strings", lambda w: F.xxhash64(w)).alias("words"))
     n = F.greatest(F.size("words"), F.lit(1))
     windows = F.transform(
         F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0))),
@@ -85,7 +87,7 @@ def with_features(rows: DataFrame) -> DataFrame:
         F.sqrt((F.col("n_marks") + 1.4) / (n + TYPICAL)).alias("marks"),
         # Distinct words against what Heaps' law leaves of a longer text.
         F.log((F.size(F.array_distinct("words")) + TYPICAL) / F.pow((n + TYPICAL).cast("double"), F.lit(0.9))).alias("distinct"),
-        ((F.size(F.filter("words", lambda w: F.length(w) <= 3)) + 4) / (n + TYPICAL)).alias("short_words"),
+        ((F.size(F.filter("strings", lambda w: F.length(w) <= 3)) + 4) / (n + TYPICAL)).alias("short_words"),
     )
     return split.select("row", F.explode(F.array(statistics)).alias("of")).select("row", "of.*")
 
