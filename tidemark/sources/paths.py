@@ -39,10 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes the folder `path` and all that is in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the tables that this application has written; call it when no result is read any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    delete(spark, scratch(spark))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
