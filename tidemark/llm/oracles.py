@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.llm.delta_lloyd import Lloyd
+from tidemark.llm.fill_in_middle import MIDDLE, PREFIX, SUFFIX, Form
 from tidemark.llm.queries import MIX, MIX_BLOCK, URL_LIST_DOMAINS, URL_LIST_NAMES, URL_LIST_PAGES, URL_RULES
 
 
@@ -85,4 +87,50 @@ _LINES = r"""
 """
 
 
-ORACLES = {"op1_lm_scoring": _LM, "op6_mixing": _mixing(), "op7_line_dedup": _LINES, "op9_url_filter": _urls()}
+def _fim(how: Form = Form()) -> str:
+    """Units by a pattern, cut by list slices; what is rebuilt is the text itself."""
+    draw = lambda k: f"('0x' || substr(seed, {8 * k + 1}, 8))::bigint"
+    marked = " OR ".join(f"contains(t, '{m}')" for m in (PREFIX, SUFFIX, MIDDLE))
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{how.salt}' || coalesce(doc_id::varchar, '')) AS seed FROM documents),
+    u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, {draw(0)} AS h1, {draw(1)} AS h2, {draw(2)} AS h3, {draw(3)} AS h4 FROM d),
+    f AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+                 CASE WHEN t = '' OR {marked} OR h3 % 100 >= {how.moved} THEN 'plain' WHEN h4 % 100 < {how.spm} THEN 'spm' ELSE 'psm' END AS form FROM u),
+    c AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(CASE form WHEN 'psm' THEN '{PREFIX}' || p || '{SUFFIX}' || s || '{MIDDLE}' || m WHEN 'spm' THEN '{SUFFIX}' || s || '{PREFIX}' || p || '{MIDDLE}' || m ELSE t END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM c
+    """
+
+
+def _lloyd(how: Lloyd = Lloyd()) -> str:
+    """Every round over all vectors and centroids, by components."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({how.scale} * x::double)::bigint) AS q FROM embeddings
+            WHERE len(embedding) = {how.dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {how.dims})""",
+        f"e AS MATERIALIZED (SELECT r, i, q[i] AS x FROM (SELECT r, q, unnest(range(1, {how.dims} + 1)) AS i FROM v))",
+        f"""c0 AS MATERIALIZED (SELECT k, i, q[i] AS y FROM (SELECT k, q, unnest(range(1, {how.dims} + 1)) AS i FROM
+            (SELECT row_number() OVER (ORDER BY sha256('{how.salt}' || vec_id)) - 1 AS k, q FROM v) WHERE k < {how.clusters}))""",
+    ]
+    for t in range(how.rounds + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT r, k, d FROM (SELECT r, k, sum((x - y) * (x - y))::bigint AS d FROM e JOIN c{t} USING (i) GROUP BY r, k) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)")
+        if t < how.rounds:
+            parts.append(f"""c{t + 1} AS MATERIALIZED (SELECT k, i, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM c{t} LEFT JOIN
+                (SELECT k, i, sum(x)::bigint AS s, count(*) AS n FROM e JOIN a{t} USING (r) GROUP BY k, i) USING (k, i))""")
+    last = how.rounds
+    return f"""WITH {", ".join(parts)},
+    h AS (SELECT k, sha256(string_agg(y::varchar, ',' ORDER BY i)) AS centroid_sha256 FROM c{last} GROUP BY k)
+    SELECT vec_id, k::int AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::bigint AS cluster_inertia, sum(d) OVER ()::bigint AS inertia, centroid_sha256
+    FROM a{last} JOIN v USING (r) JOIN h USING (k)
+    """
+
+
+ORACLES = {
+    "op1_lm_scoring": _LM,
+    "op6_mixing": _mixing(),
+    "op7_line_dedup": _LINES,
+    "op9_url_filter": _urls(),
+    "op12_fill_in_middle": _fim(),
+    "op13_delta_lloyd": _lloyd(),
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, line_dedup, lm_scoring, mixing, near_duplicates, quality_model, robust_rules, sharding, substring_dedup, url_rules
+from tidemark.llm import decontamination, delta_lloyd, fill_in_middle, line_dedup, lm_scoring, mixing, near_duplicates, quality_model, robust_rules, sharding, simhash, substring_dedup, url_rules
 from tidemark.sources.paths import fresh
 
 #: Parts of the mix by source; all other sources share one part.
@@ -89,6 +89,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.judge(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.judge(table(spark, sf_dir, "documents"))
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.judge(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,5 +114,8 @@ QUERIES = {
         op8_decontamination,
         op9_url_filter,
         op10_quality_rules,
+        op11_simhash,
+        op12_fill_in_middle,
+        op13_delta_lloyd,
     )
 }
