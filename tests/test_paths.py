@@ -34,12 +34,11 @@ def test_written_tables_are_read_again_and_cleared(spark, monkeypatch):
     assert not paths.exists(spark, paths.scratch(spark))
 
 
-def test_a_folder_is_replaced_and_put_back_on_failure(spark, tmp_path):
-    old, new = f"{tmp_path}/table", f"{tmp_path}/new"
-    spark.range(3).write.parquet(old)
-    spark.range(7).write.parquet(new)
-    paths.replace(spark, new, old)
-    assert spark.read.parquet(old).count() == 7
-    with pytest.raises(OSError, match="could not be renamed"):
-        paths.replace(spark, f"{tmp_path}/none", old)
-    assert spark.read.parquet(old).count() == 7
+def test_a_folder_is_published_once(spark, tmp_path):
+    for n in (3, 7):
+        spark.range(n).write.parquet(f"{tmp_path}/new{n}")
+    there = f"{tmp_path}/a/b/table"
+    assert paths.publish(spark, f"{tmp_path}/new3", there) and not paths.publish(spark, f"{tmp_path}/new7", there)
+    assert spark.read.parquet(there).count() == 3
+    assert paths.folders(spark, str(tmp_path), 2) == ["a/b"] and paths.folders(spark, f"{tmp_path}/none", 1) == []
+    assert paths.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"

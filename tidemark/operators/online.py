@@ -17,35 +17,49 @@ SHORT, MIDDLE, LONG = 300, 900, 3600
 SLOT = 6
 
 
+#: What is counted, of which events, over how many seconds.
+WINDOWS = (("searches_5m", "search", SHORT), ("bookings_15m", "booking", MIDDLE), ("searches_1h", "search", LONG), ("bookings_1h", "booking", LONG))
+MICRO = 1_000_000
+
+
+def with_slots(rows: DataFrame) -> DataFrame:
+    """`rows` (t, in microseconds) with `slot`, of SLOT hours, and `own`: those of a slot's last hour also stand in the next one, not as its own."""
+    width = SLOT * LONG * MICRO
+    slot = F.floor(F.col("t") / width)
+    late = F.col("t") >= (slot + 1) * width - LONG * MICRO
+    at = rows.select("*", F.explode(F.when(late, F.array(slot, slot + 1)).otherwise(F.array(slot))).alias("slot"), slot.alias("at"))
+    return at.withColumn("own", F.col("slot") == F.col("at")).drop("at")
+
+
 def sliding_features(events: DataFrame) -> DataFrame:
-    """For every event the searches and bookings of its route in the windows that end at it, and their ratio.
+    """For every event how many searches and bookings of its route are in the windows that end at it, and their ratio.
 
-    Events are de-duplicated by id first (the first by time stays), as a set of ids would have it; null ids are one.
-    One sort by (route, SLOT hours, time) serves all four windows: the events of a slot's last hour also stand before
-    the next one's, so that a route is cut into as many tasks as it has slots.
+    An id counts once in a window, however often it is in it; events without id get windows but count in none, as in a
+    replay. A window counts its events, less those whose id it has had already: of two events with an id, from the
+    second one on until the first one has left, which is a running sum. All of it is one exchange by (route, SLOT hours), in
+    which the events of a slot's last hour also stand before the next one's, so that a route is cut into as many tasks
+    as it has slots.
     """
     clean = events.where(F.col("city").isNotNull() & F.col("sim_ts").isNotNull())
-    once = clean.groupBy("city", "event_id").agg(F.min_by(F.struct("sim_ts", "event_type", "id"), F.struct("sim_ts", "id")).alias("e")).select(F.col("city").alias("route_id"), "event_id", "e.*")
-    timed = once.withColumn("t", F.unix_micros(F.col("sim_ts").cast("timestamp")))
-    width = SLOT * LONG * 1_000_000
-    slot = F.floor(F.col("t") / width)
-    late = F.col("t") >= (slot + 1) * width - LONG * 1_000_000
-    at = timed.select("*", F.explode(F.when(late, F.array(slot, slot + 1)).otherwise(F.array(slot))).alias("slot"), slot.alias("own"))
-
-    def over(kind: str, seconds: int) -> Column:
-        w = Window.partitionBy("route_id", "slot").orderBy("t").rangeBetween(-seconds * 1_000_000, 0)
-        return F.count_if(F.col("event_type") == kind).over(w)
-
-    counted = at.select(
-        "route_id",
-        "id",
-        "sim_ts",
-        over("search", SHORT).alias("searches_5m"),
-        over("booking", MIDDLE).alias("bookings_15m"),
-        over("search", LONG).alias("searches_1h"),
-        over("booking", LONG).alias("bookings_1h"),
-        (F.col("slot") == F.col("own")).alias("counts"),
-    )
+    member = F.col("event_type").isin("search", "booking") & F.col("event_id").isNotNull()
+    timed = clean.select(F.col("city").alias("route_id"), "id", "sim_ts", F.when(member, F.col("event_type")).alias("kind"), F.when(member, F.col("event_id")).alias("member"), F.unix_micros(F.col("sim_ts").cast("timestamp")).alias("t"))
+    placed = with_slots(timed).repartition("route_id", "slot")
+    before = Window.partitionBy("route_id", "slot", "kind", "member").orderBy("t", "id")
+    rows = placed.withColumn("prev", F.when(F.col("kind").isNotNull(), F.lag("t").over(before)))
+    again = [F.coalesce((F.col("kind") == k) & (F.col("t") - F.col("prev") <= w * MICRO), F.lit(False)) for _, k, w in WINDOWS]
+    row = F.struct(F.col("t").alias("t"), F.col("kind"), F.array(*[a.cast("int") for a in again]).alias("off"), F.lit(True).alias("event"))
+    ends = [
+        F.when(a, F.struct((F.col("prev") + w * MICRO + 1).alias("t"), F.lit(None).cast("string").alias("kind"), F.array(*[F.lit(-1 if j == i else 0) for j in range(len(WINDOWS))]).alias("off"), F.lit(False).alias("event")))
+        for i, (a, (_, _, w)) in enumerate(zip(again, WINDOWS, strict=True))
+    ]
+    marked = rows.select("route_id", "slot", "own", "id", "sim_ts", F.explode(F.array_compact(F.array(row, *ends))).alias("x")).select("route_id", "slot", "own", "id", "sim_ts", "x.*")
+    by_time = Window.partitionBy("route_id", "slot").orderBy("t")
+
+    def over(i: int, kind: str, seconds: int) -> Column:
+        repeated = F.sum(F.get("off", F.lit(i))).over(by_time.rangeBetween(Window.unboundedPreceding, 0))
+        return F.count_if(F.col("kind") == kind).over(by_time.rangeBetween(-seconds * MICRO, 0)) - repeated
+
+    counted = marked.select("route_id", "id", "sim_ts", *[over(i, k, w).alias(name) for i, (name, k, w) in enumerate(WINDOWS)], (F.col("own") & F.col("event")).alias("counts"))
     return counted.where("counts").drop("counts").withColumn("look_to_book_1h", look_to_book("bookings_1h", "searches_1h"))
 
 

@@ -55,12 +55,9 @@ joined AS (SELECT s.city, date_trunc('hour', s.requested_at) AS serving_hour, w.
   FROM prediction_features s LEFT JOIN mart w ON w.city = s.city AND w.hour_ts = date_trunc('hour', s.requested_at)),
 daily AS (SELECT city, CAST(hour_ts AS date) AS day, sum(total_demand) AS daily_demand, sum(event_count) AS daily_bookings
   FROM mart WHERE total_demand IS NOT NULL AND CAST(hour_ts AS date) <= DATE '2024-01-20' GROUP BY 1, 2),
-slide_once AS (SELECT city AS route_id, event_id, arg_min({{'sim_ts': sim_ts, 'event_type': event_type, 'id': id}}, {{'s': sim_ts, 'i': id}}) AS e
-  FROM demand_events WHERE city IS NOT NULL AND sim_ts IS NOT NULL GROUP BY 1, 2),
-slide AS (SELECT route_id, event_id, e.id AS id, e.sim_ts AS sim_ts, e.event_type AS event_type, epoch_us(e.sim_ts) AS t FROM slide_once),
-sliding AS (SELECT route_id, id, sim_ts,
-    count(*) FILTER (event_type = 'search') OVER (PARTITION BY route_id ORDER BY t RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) AS searches_5m,
-    count(*) FILTER (event_type = 'booking') OVER (PARTITION BY route_id ORDER BY t RANGE BETWEEN 900000000 PRECEDING AND CURRENT ROW) AS bookings_15m,
-    count(*) FILTER (event_type = 'search') OVER (PARTITION BY route_id ORDER BY t RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS searches_1h,
-    count(*) FILTER (event_type = 'booking') OVER (PARTITION BY route_id ORDER BY t RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS bookings_1h FROM slide)
+sliding AS (SELECT s.city AS route_id, s.id, s.sim_ts,
+    count(DISTINCT CASE WHEN e.event_type = 'search' AND e.sim_ts >= s.sim_ts - interval 5 minute THEN e.event_id END) AS searches_5m,
+    count(DISTINCT CASE WHEN e.event_type = 'booking' AND e.sim_ts >= s.sim_ts - interval 15 minute THEN e.event_id END) AS bookings_15m,
+    count(DISTINCT CASE WHEN e.event_type = 'search' THEN e.event_id END) AS searches_1h, count(DISTINCT CASE WHEN e.event_type = 'booking' THEN e.event_id END) AS bookings_1h
+  FROM demand_events s JOIN demand_events e ON e.city = s.city AND e.sim_ts BETWEEN s.sim_ts - interval 1 hour AND s.sim_ts GROUP BY s.city, s.id, s.sim_ts)
 """

@@ -9,6 +9,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -26,3 +27,11 @@ def in_utc(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def stateful(spark: SparkSession) -> SparkSession:
+    """Pins the session to the state store that stateful streams need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key) != SETTINGS[key]:
+        spark.conf.set(key, SETTINGS[key])
+    return spark

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.sources.tables import insert_ignore
+from tidemark.sources import paths
+from tidemark.sources.snapshots import Store
+from tidemark.sources.tables import ROWS, insert_ignore
 
 
 def _as_lake(rows: DataFrame, ts: str) -> DataFrame:
@@ -17,7 +20,11 @@ def _as_lake(rows: DataFrame, ts: str) -> DataFrame:
 
 
 def write_hourly(rows: DataFrame, root: str, table: str, now: datetime, catch_up_hours: int = 25, ts: str = "ingested_at") -> None:
-    """One file for each completed hour of the last `catch_up_hours` that the lake lacks, by ingestion time."""
+    """The completed hours of the last `catch_up_hours` that the lake lacks, by ingestion time.
+
+    Hours are written aside, a large one by several tasks in several files, and each is put in its place whole by one
+    rename: what the lake has of an hour is all of it, and an hour that failed midway is written again next time.
+    """
     end = now.replace(minute=0, second=0, microsecond=0)
     done = rows.where((F.col(ts) < F.lit(end)) & (F.col(ts) >= F.lit(end) - F.make_dt_interval(hours=F.lit(catch_up_hours))))
     have = slots(rows.sparkSession, root, table)
@@ -25,7 +32,13 @@ def write_hourly(rows: DataFrame, root: str, table: str, now: datetime, catch_up
     if have is not None:
         near = have.where(F.col("dt") >= F.lit((end - timedelta(hours=catch_up_hours)).date()))  # catch_up_hours slots and a day at most
         new = new.join(F.broadcast(near), ["dt", "hour"], "left_anti")
-    new.repartition("dt", "hour").write.mode("append").option("compression", "snappy").partitionBy("dt", "hour").parquet(f"{root}/raw/{table}")
+    spark, aside = rows.sparkSession, f"{root}/_staged/{table}-{uuid.uuid4().hex}"
+    try:
+        new.hint("rebalance", "dt", "hour").write.option("compression", "snappy").partitionBy("dt", "hour").parquet(aside)
+        for hour in paths.folders(spark, aside, 2):  # catch_up_hours at most
+            paths.publish(spark, f"{aside}/{hour}", f"{root}/raw/{table}/{hour}")
+    finally:
+        paths.delete(spark, aside)
 
 
 def slots(spark: SparkSession, root: str, table: str) -> DataFrame | None:
@@ -44,9 +57,7 @@ def path_parts(path: Column) -> list[Column]:
 
 def listing(spark: SparkSession, root: str) -> DataFrame | None:
     """path and bytes of the objects under a root, listed without reading them; None if there are none."""
-    from tidemark.sources.paths import exists
-
-    if not exists(spark, root):
+    if not paths.exists(spark, root):
         return None
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root).select("path", F.col("length").alias("bytes"))
 
@@ -73,16 +84,15 @@ def counts(rows: DataFrame) -> DataFrame:
 
 def backfill(spark: SparkSession, root: str, table: str, path: str, start: date, end: date, key: str = "event_id", dry_run: bool = False) -> tuple[int, int]:
     """Puts the lake's rows of a range of days into a stored table, once each; how many were tried and added. NaN becomes null."""
-    from tidemark.sources.paths import exists
-
     rows = spark.read.option("mergeSchema", "true").parquet(f"{root}/raw/{table}").where(F.col("dt").between(F.lit(start), F.lit(end))).drop("dt", "hour")
     rows = rows.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes])
     tried = rows.count()
     if dry_run:
         return tried, 0
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
+    store = Store(spark, path)
+    before = store.count(ROWS)
     insert_ignore(rows, path, key)
-    return tried, spark.read.parquet(path).count() - before
+    return tried, store.count(ROWS) - before
 
 
 def write_monthly(mart: DataFrame, path: str) -> None:

@@ -55,24 +55,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def replace(spark: SparkSession, new: str, path: str) -> None:
-    """Puts the folder `new` in the place of `path`: the old one steps aside, the new one is renamed, the old one goes.
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` with its file system: as the driver means it, wherever it is read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(where).toString()
 
-    For a single writer; a reader that has opened the old files may fail and read again.
-    """
+
+def publish(spark: SparkSession, new: str, path: str) -> bool:
+    """Puts the folder `new` at `path` by one rename, if nothing is there; whether it did."""
     jvm = spark._jvm.org.apache.hadoop.fs
     fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    aside, there = jvm.Path(f"{path}.old-{uuid.uuid4().hex}"), fs.exists(jvm.Path(path))
-    if not fs.exists(jvm.Path(new)) or (there and not fs.rename(jvm.Path(path), aside)):
-        raise OSError(f"{new} could not be renamed to {path}")
-    done = False
-    try:
-        fs.mkdirs(jvm.Path(path).getParent())
-        done = fs.rename(jvm.Path(new), jvm.Path(path))
-    finally:
-        if there and not done:
-            fs.rename(aside, jvm.Path(path))
-    if not done:
-        raise OSError(f"{new} could not be renamed to {path}")
-    if there:
-        fs.delete(aside, True)
+    fs.mkdirs(jvm.Path(path).getParent())
+    return not fs.exists(jvm.Path(path)) and fs.rename(jvm.Path(new), jvm.Path(path))
+
+
+def folders(spark: SparkSession, path: str, depth: int) -> list[str]:
+    """The folders `depth` levels below `path`, by their names from there; none if it is not there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory() and s.getPath().getName()[:1] not in "._"]
+    return names if depth == 1 else [f"{n}/{below}" for n in names for below in folders(spark, f"{path}/{n}", depth - 1)]
