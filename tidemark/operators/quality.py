@@ -86,7 +86,11 @@ def ranked(reference: DataFrame, current: DataFrame, columns: tuple[str, ...]) -
     """
     each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
     long = reference.select(F.inline(each)).withColumns({"r": F.lit(1), "c": F.lit(0)}).unionByName(current.select(F.inline(each)).withColumns({"r": F.lit(0), "c": F.lit(1)}))
-    counts = long.where("v IS NOT NULL AND NOT isnan(v)").groupBy("feature", "v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    return ranks_of(long.where("v IS NOT NULL AND NOT isnan(v)").groupBy("feature", "v").agg(F.sum("r").alias("r"), F.sum("c").alias("c")))
+
+
+def ranks_of(counts: DataFrame) -> DataFrame:
+    """What `ranked` returns, of values that are counted already (feature, v, r, c)."""
     parts = written(counts.repartitionByRange("feature", "v").withColumn("part", F.spark_partition_id()), "ranked-values")
     sums = parts.groupBy("feature", "part").agg(F.sum("r").alias("sr"), F.sum("c").alias("sc"))
     before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
@@ -172,7 +176,8 @@ def ks_statistic(reference: DataFrame, current: DataFrame, *columns: str) -> Dat
     return ks_of(ranked(reference, current, columns)).where("ks IS NOT NULL")
 
 
-DRIFT_FEATURES = ("total_demand", "event_count", "demand_lag_1h", "demand_lag_24h", "demand_lag_168h", "demand_roll_3h", "demand_roll_24h", "temperature_c", "humidity_pct", "precip_mm")
+#: What is watched. Cyclic time features would differ in any short window.
+DRIFT_FEATURES = ("event_count", "demand_lag_1h", "demand_lag_24h", "demand_lag_168h", "demand_roll_3h", "demand_roll_24h", "temperature_c", "humidity_pct", "precip_mm", "is_holiday")
 
 
 def drift_report(reference: DataFrame, current: DataFrame, features: tuple[str, ...] = DRIFT_FEATURES, threshold: float = 0.2, least_rows: int = 20) -> DataFrame:

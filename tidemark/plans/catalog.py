@@ -417,11 +417,11 @@ def _(d):
 
 @query("wn_named", f"SELECT city, hour_ts, {rs('demand_lag_1h', 'demand_roll_3h')} FROM lagged")
 def _(d):
-    d.demand_hourly.createOrReplaceTempView("tidemark_demand_hourly")
     rows = d.spark.sql(
         """SELECT city, hour_ts, lag(total_demand, 1) OVER w AS demand_lag_1h,
         avg(total_demand) OVER (PARTITION BY city ORDER BY hour_ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS demand_roll_3h
-        FROM tidemark_demand_hourly WINDOW w AS (PARTITION BY city ORDER BY hour_ts)"""
+        FROM {hours} WINDOW w AS (PARTITION BY city ORDER BY hour_ts)""",
+        hours=d.demand_hourly,
     )
     return rows.select("city", "hour_ts", *r("demand_lag_1h", "demand_roll_3h"))
 
@@ -477,17 +477,6 @@ def _(d):
     return d.mart.orderBy("hour_ts", "city").select("hour_ts", "city", *r("total_demand"))
 
 
-@query("tk_drift_hits", "SELECT city, hour_ts, round(abs(total_demand - demand_lag_24h), 6) AS score FROM mart WHERE abs(total_demand - demand_lag_24h) > 50 ORDER BY hour_ts DESC, city LIMIT 20")
-def _(d):
-    gap = F.abs(F.col("total_demand") - F.col("demand_lag_24h"))
-    return d.mart.where(gap > 50).orderBy(F.desc("hour_ts"), "city").limit(20).select("city", "hour_ts", F.round(gap, 6).alias("score"))
-
-
-@query("tk_models", "SELECT event_type AS stage, max(id) AS version, arg_max(sim_ts, id) AS created_at FROM demand_events GROUP BY 1")
-def _(d):
-    return d.demand_events.groupBy(F.col("event_type").alias("stage")).agg(F.max("id").alias("version"), F.max_by("sim_ts", "id").alias("created_at")).orderBy(F.desc("version"))
-
-
 @query("tk_worst", "SELECT round(max(m), 6) AS worst_score, arg_max(city, m) AS worst_feature, count(*) FILTER (m > 250) AS above FROM (SELECT city, max(total_demand) AS m FROM mart GROUP BY 1)")
 def _(d):
     scores = d.mart.groupBy("city").agg(F.max("total_demand").alias("m"))

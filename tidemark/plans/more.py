@@ -397,11 +397,6 @@ def _(d):
     return _trained(d, training.fit_ridge)
 
 
-@query("ml_hgb")
-def _(d):
-    return _trained(d, lambda train, prep: training.fit_boosted(train, prep, rounds=20))
-
-
 _CANDIDATES = ("demand_lag_24h", "demand_roll_3h", "demand_roll_24h")
 _CUT = "hour_ts < (SELECT max(hour_ts) FROM mart) - interval 7 day"
 _ERRORS = " UNION ALL ".join(
@@ -425,28 +420,7 @@ def _(d):
     return d.spark.createDataFrame([(n, round(e, 4), n == chosen) for n, e in errors.items()], "name string, mae double, chosen boolean")
 
 
-_GATE_PSI = "(" + " UNION ALL ".join(f"SELECT * FROM {_psi_sql(c)}" for c in WEATHER) + f" UNION ALL {ORACLE_PSI_CITY})"
-
-
-@query(
-    "ml_gate",
-    f"""SELECT name, coalesce(unstable IS NULL AND (production IS NULL OR mae < production), false) AS promote,
-         CASE WHEN unstable IS NOT NULL THEN 'unstable: ' || unstable WHEN production IS NOT NULL AND NOT mae < production THEN 'no better than production' ELSE 'promoted' END AS reason
-    FROM (SELECT name, mae, (SELECT arg_max(feature, psi) FROM {_GATE_PSI} WHERE psi > 0.25 AND name <> 'baseline') AS unstable,
-                 CASE WHEN name <> '{_CANDIDATES[0]}' THEN (SELECT min(mae) FROM ({_ERRORS})) END AS production FROM ({_ERRORS}))""",
-)
-def _(d):
-    """Each candidate against the stability of the mart's two halves and the best one as Production; one has none, one no stability to meet."""
-    errors, halves = _errors(d), _halves(d)
-    rows = quality.psi_numeric(*halves, *WEATHER).unionByName(quality.psi_categorical(*halves, "city"))
-    psi = {row["feature"]: row["psi"] for row in rows.collect()}  # four features
-    cases = [(n, *training.promotion(psi if n != "baseline" else {}, e, None if n == _CANDIDATES[0] else min(errors.values()))) for n, e in errors.items()]
-    return d.spark.createDataFrame(cases, "name string, promote boolean, reason string")
-
-
-def _drift(d: Domain) -> DataFrame:
-    cut = "TIMESTAMP_NTZ '2024-01-15'"
-    return quality.drift_report(d.mart.where(f"hour_ts < {cut}"), d.mart.where(f"hour_ts >= {cut}"), WEATHER)
+GATE_PSI = "(" + " UNION ALL ".join(f"SELECT * FROM {_psi_sql(c)}" for c in WEATHER) + f" UNION ALL {ORACLE_PSI_CITY})"
 
 
 _KS = " UNION ALL ".join(
@@ -460,29 +434,9 @@ def _(d):
     cut = "TIMESTAMP_NTZ '2024-01-15'"
     return quality.ks_statistic(d.mart.where(f"hour_ts < {cut}"), d.mart.where(f"hour_ts >= {cut}"), *WEATHER).select("feature", *r("ks"))
 
-
-_PSI = "(" + " UNION ALL ".join(f"SELECT * FROM {_psi_sql(c)}" for c in WEATHER) + ")"
-_REPORT = f"""(SELECT p.feature AS feature_name, psi AS drift_score, ks, psi > 0.2 AND c >= 20 AS drift_detected, n AS reference_count, c AS current_count
-    FROM {_PSI} p JOIN ({_KS}) k USING (feature), (SELECT count(*) FILTER (hour_ts < TIMESTAMP '2024-01-15') AS n, count(*) FILTER (hour_ts >= TIMESTAMP '2024-01-15') AS c FROM mart))"""
-
-
-@query("ml_drift", f"SELECT * FROM {_REPORT}")
-def _(d):
-    return _drift(d)
-
-
-@query("ml_retrain", f"SELECT name, coalesce((SELECT bool_or(drift_score > 0.3 OR drift_detected) FROM {_REPORT}) AND age >= 360, false) AS retrain FROM (VALUES ('first', 100000), ('cooling', 180), ('due', 420)) t(name, age)")
-def _(d):
-    """By the mart's drift report, with no run before, one three hours and one seven hours ago."""
-    scores = {row["feature_name"]: (row["drift_score"], row["drift_detected"]) for row in _drift(d).collect()}  # a row a feature
-    last = {"first": None, "cooling": _AS_OF - timedelta(minutes=180), "due": _AS_OF - timedelta(minutes=420)}
-    return d.spark.createDataFrame([(n, training.should_retrain(scores, t, _AS_OF)) for n, t in last.items()], "name string, retrain boolean")
-
-
 # Serving
 
 
-
 def _store(d: Domain) -> DataFrame:
     """The online hash of each route: the last sliding features and weather; one route's ratio cannot be read."""
     slid = online.sliding_features(d.demand_events)
@@ -527,15 +481,6 @@ def _(d):
     return online.horizon_rows(_base(d), 48, _AS_OF).select("city", "step", "forecast_ts", "event_count", "is_holiday", *r("hour_sin", "dow_cos", "total_demand"))
 
 
-@query("sv_log", "SELECT city, 2 AS horizon, round(total_demand, 6) AS first_value FROM mart QUALIFY row_number() OVER (PARTITION BY city ORDER BY hour_ts DESC) = 1")
-def _(d):
-    path = fresh(d.spark, "prediction-log")
-    rows = online.horizon_rows(_base(d), 2, _AS_OF)
-    log = rows.groupBy("city").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "total_demand"))), lambda x: x["total_demand"]).alias("forecast"))  # at most 168 a city
-    log.write.mode("append").parquet(path)
-    return d.spark.read.parquet(path).select("city", F.size("forecast").alias("horizon"), F.round(F.col("forecast")[0], 6).alias("first_value"))
-
-
 def _daily_scores(d: Domain) -> DataFrame:
     """A score a day and city, as drift reports are: the relative gap of the day's mean to the city's."""
     days = marts.daily(d.mart, date(2024, 1, 30))
@@ -557,13 +502,6 @@ def _(d):
     return drift_scores(_daily_scores(d))
 
 
-@query("sv_drift_history", f"SELECT feature_name, list(round(drift_score, 6) ORDER BY checked_at) AS series FROM {_SCORES} WHERE checked_at > DATE '2024-01-27' GROUP BY 1")
-def _(d):
-    rows = _daily_scores(d).where("checked_at > DATE '2024-01-27'")
-    points = rows.groupBy("feature_name").agg(F.array_sort(F.collect_list(F.struct("checked_at", F.round("drift_score", 6).alias("s")))).alias("p"))  # 72 hours at most
-    return points.select("feature_name", F.transform("p", lambda x: x["s"]).alias("series"))
-
-
 _PIVOT = ("london", "new_york", "tokyo")
 
 
@@ -572,14 +510,6 @@ def _(d):
     return _daily_scores(d).groupBy("checked_at").pivot("feature_name", list(_PIVOT)).agg(F.round(F.max("drift_score"), 6))
 
 
-@query("ag_prom", "SELECT city, hour_ts, event_count - lag(event_count) OVER (PARTITION BY city ORDER BY hour_ts) AS increase FROM mart")
-def _(d):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("city").orderBy("hour_ts")
-    return d.mart.select("city", "hour_ts", (F.col("event_count") - F.lag("event_count").over(w)).alias("increase"))
-
-
 @query("sv_sentinel", "SELECT city AS route_id, CASE WHEN m = TIMESTAMP '2024-01-30 23:00:00' THEN 'current' WHEN m > TIMESTAMP '2024-01-30 23:00:00' THEN 'ahead' ELSE 'behind' END AS status FROM (SELECT city, max(hour_ts) AS m FROM mart GROUP BY 1)")
 def _(d):
     last = d.mart.groupBy(F.col("city").alias("route_id")).agg(F.max("hour_ts").alias("m"))
@@ -609,30 +539,6 @@ def _(d):
     return d.spark.createDataFrame([(len(errors), len(warnings))], "errors int, warnings int")
 
 
-_NOW = "TIMESTAMP '2024-01-30 23:30:00'"
-
-
-@query(
-    "dq_alerts",
-    f"""SELECT metric, round(value, 6) AS value, coalesce(value > most, true) AS firing FROM (
-      SELECT 'consumer_lag' AS metric, 1000.0::double AS most, count(*)::double AS value FROM demand_events WHERE sim_ts <= {_NOW} AND ingested_at > {_NOW} - interval 3 day
-      UNION ALL SELECT 'drift_score', 0.2, max(drift_score) FROM {_REPORT}
-      UNION ALL SELECT 'predict_p99_seconds', 0.5, quantile_cont(epoch(ingested_at - sim_ts)::double, 0.99) FROM demand_events
-      UNION ALL SELECT 'training_age_seconds', 172800, epoch({_NOW} - max(hour_ts))::double FROM mart WHERE {_CUT})""",
-)
-def _(d):
-    """Measurements of the tables as of a time: messages of the last days, drift, delays and the age of the training rows."""
-    now = F.lit(_AS_OF).cast("timestamp_ntz")
-    seconds = lambda a, b: (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1e6
-    lag = d.demand_events.where((F.col("sim_ts") <= now) & (F.col("ingested_at") > F.lit(_AS_OF - timedelta(days=3)).cast("timestamp_ntz"))).agg(F.count("*").cast("double").alias("value"))
-    drift = _drift(d).agg(F.max("drift_score").alias("value"))
-    delay = d.demand_events.agg(F.percentile(seconds(F.col("ingested_at"), F.col("sim_ts")), 0.99).alias("value"))  # whole minutes
-    age = training.split(d.mart, 7)[0].agg(seconds(now, F.max("hour_ts")).alias("value"))
-    named = {"consumer_lag": lag, "drift_score": drift, "predict_p99_seconds": delay, "training_age_seconds": age}
-    rows = reduce(DataFrame.unionByName, [v.select(F.lit(n).alias("metric"), "value") for n, v in named.items()])
-    return quality.alerts(rows).withColumn("value", F.round("value", 6))
-
-
 @query("jn_overlay", "SELECT m.city, m.hour_ts, round(coalesce(o.t, m.temperature_c), 6) + 0.0::double AS temperature_c FROM mart m LEFT JOIN (SELECT city, arg_max(temperature_c, (polled_at, id)) AS t FROM weather_readings GROUP BY 1) o USING (city)")
 def _(d):
     live = online.latest_weather(d.weather_readings).select(F.col("route_id").alias("city"), "weather_temp_c")
