@@ -5,10 +5,10 @@ from __future__ import annotations
 import pytest
 
 from tests.oracle import connection, same
-from tidemark.plans import catalog, more
+from tidemark.plans import catalog, models, monitoring, more
 
-QUERIES = catalog.QUERIES | more.QUERIES
-ORACLES = catalog.ORACLES | more.ORACLES
+QUERIES = catalog.QUERIES | more.QUERIES | monitoring.QUERIES | models.QUERIES
+ORACLES = catalog.ORACLES | more.ORACLES | monitoring.ORACLES | models.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -209,16 +209,6 @@ def _(d):
     return d.spark.read.schema("id bigint, event_id string, quantity double").option("nullValue", "\\N").csv(path)
 
 
-@query("src_demand_gen")
-def _(d):
-    return generate.demand(generate.weather(d.spark, 24 * 30))
-
-
-@query("src_weather_gen")
-def _(d):
-    return generate.weather(d.spark, 24 * 30)
-
-
 @query("src_weather_flatten", "SELECT city, polled_at, temperature_c, humidity_pct, precip_mm, condition FROM weather_readings")
 def _(d):
     blank = F.lit(None).cast("double")

@@ -6,11 +6,13 @@ import json
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.quality import medians
 from tidemark.sources.paths import exists
+from tidemark.sources.registry_log import PRODUCTION, STAGING, Lease, Registry
 
 TRAINER_NUMERIC = ("event_count", "demand_lag_1h", "demand_lag_24h", "demand_lag_168h", "demand_roll_3h", "demand_roll_24h", "temperature_c", "humidity_pct", "precip_mm")
 #: The worker's list also has the target; both are kept as they are.
@@ -138,18 +140,69 @@ def best(candidates: dict[str, float]) -> str:
 GATE_FEATURES, GATE_PSI = ("temperature_c", "humidity_pct", "precip_mm", "city"), 0.25
 
 
-def promotion(psi: dict[str, float], new_mae: float, production_mae: float | None) -> tuple[bool, str]:
-    """Whether a model goes to Staging, and why. Without a working Production model there is no second gate."""
-    high = {f: p for f, p in psi.items() if f in GATE_FEATURES and p > GATE_PSI}
-    if high:
-        return False, f"unstable: {max(high, key=high.get)}"
-    if production_mae is not None and not new_mae < production_mae:
-        return False, "no better than production"
-    return True, "promoted"
+def line(train: DataFrame, feature: str) -> dict:
+    """Parameters of the least-squares line of the target through one feature."""
+    r = train.agg(F.regr_slope(TARGET, feature).alias("s"), F.regr_intercept(TARGET, feature).alias("i")).first()
+    return {"feature": feature, "slope": r["s"], "intercept": r["i"]}
+
+
+def line_error(parameters: dict, rows: DataFrame) -> float:
+    """Mean absolute error of a stored line; raises if it cannot be read."""
+    said = F.lit(float(parameters["intercept"])) + F.lit(float(parameters["slope"])) * F.col(parameters["feature"])
+    return rows.agg(F.avg(F.abs(F.col(TARGET) - said)).alias("mae")).first()["mae"]
+
 
+def gate(registry: Registry, version: int, psi: dict[str, float], holdout: DataFrame, error=line_error) -> str:
+    """Puts a registered version into Staging if it passes both gates; why, or why not (also as a tag).
 
-def should_retrain(scores: dict[str, tuple[float, bool]], last: datetime | None, now: datetime, threshold: float = 0.3, cooldown_minutes: int = 360) -> bool:
-    """Any score above the threshold or detected drift, unless the last run is within the cooldown."""
+    First, the features of the gate are stable. Second, its error on the holdout is less than that of the stored Production
+    model on the same rows. No Production model, or one that cannot be evaluated, stands in nobody's way.
+    """
+    number, models = registry.state()
+    mine = next(m for m in models if m["version"] == version)
+    high = {f: p for f, p in psi.items() if f in GATE_FEATURES and p > GATE_PSI}
+    if high:
+        why = f"feature_drift: {max(high, key=high.get)}"
+        registry.change(version, tags={"rejection_reason": why}, seen=number)
+        return why
+    production = max((m for m in models if m["stage"] == PRODUCTION), key=lambda m: m["version"], default=None)
+    if production is None:
+        registry.change(version, STAGING, {"promotion_reason": "no_production_model_exists"}, seen=number)
+        return "no_production_model_exists"
+    try:
+        theirs = error(production["parameters"], holdout)
+    except (KeyError, TypeError, ValueError, AnalysisException):
+        registry.change(version, STAGING, {"promotion_reason": "production_model_eval_failed"}, seen=number)
+        return "production_model_eval_failed"
+    against = {"compared_against_prod_version": str(production["version"]), "prod_val_mae": f"{theirs:.6f}"}
+    if error(mine["parameters"], holdout) < theirs:
+        registry.change(version, STAGING, against | {"promotion_reason": "beats_production"}, seen=number)
+        return "beats_production"
+    registry.change(version, tags=against | {"rejection_reason": "holdout_mae"}, seen=number)
+    return "holdout_mae"
+
+
+#: Rows that a training run needs.
+LEAST_ROWS = 100
+
+
+def retrain(lease: Lease, owner: str, scores: dict[str, tuple[float, bool]], rows: DataFrame, now: datetime, train, threshold: float = 0.3, cooldown_minutes: int = 360) -> str:
+    """Trains if a score is above the threshold or drift was detected; what was done.
+
+    Not within the cooldown after the last run began, which the lease has stored; not while another owner's lease
+    lasts; and not on fewer than LEAST_ROWS rows, which still counts as a run.
+    """
+    if not any(s > threshold or hit for s, hit in scores.values()):
+        return "no drift"
+    last = lease.last_run()
     if last is not None and now - last < timedelta(minutes=cooldown_minutes):
-        return False
-    return any(s > threshold or hit for s, hit in scores.values())
+        return "cooling down"
+    if not lease.take(owner, now):
+        return "already running"
+    try:
+        if rows.limit(LEAST_ROWS).count() < LEAST_ROWS:
+            return "too few rows"
+        train()
+        return "trained"
+    finally:
+        lease.give_back(owner)

@@ -1,28 +1,14 @@
-"""Generated demand and weather: column expressions with noise seeded by hashes, so equal inputs give equal rows."""
+"""Rows for measurements, responses made flat, and faults: column expressions whose noise is hashed, so equal inputs give equal rows."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import condition, cyclic_time
+from tidemark.functions.scalar import cyclic_time
 
-# Fixed values of the demand model: bases, scales (1.0 for other cities), and the weight of each hour of the day.
-BASE = {"ELECTRICITY_KWH": 500.0, "GAS_CONSUMPTION_M3": 120.0, "RIDE_SHARE_TRIPS": 80.0, "ICE_CREAM_SALES": 40.0, "HOT_DRINK_SALES": 60.0, "GROCERY_DELIVERIES": 50.0}
-CITY_SCALE = {"london": 1.4, "new_york": 1.6, "tokyo": 1.8, "sydney": 1.1, "dubai": 1.2, "nairobi": 0.8, "moscow": 1.3, "singapore": 1.0, "reykjavik": 0.4, "cape_town": 0.7}
-HOURLY = {
-    "ELECTRICITY_KWH": (0.6, 0.5, 0.5, 0.5, 0.6, 0.8, 1.1, 1.3, 1.3, 1.2, 1.1, 1.0, 1.0, 1.0, 1.0, 1.0, 1.1, 1.3, 1.4, 1.3, 1.2, 1.0, 0.8, 0.7),
-    "GAS_CONSUMPTION_M3": (0.5, 0.5, 0.4, 0.4, 0.5, 0.8, 1.3, 1.4, 1.2, 1.0, 0.9, 0.8, 0.8, 0.8, 0.8, 0.9, 1.1, 1.4, 1.5, 1.3, 1.0, 0.8, 0.6, 0.5),
-    "RIDE_SHARE_TRIPS": (0.3, 0.2, 0.2, 0.2, 0.3, 0.6, 1.2, 1.5, 1.4, 1.0, 0.9, 0.9, 1.0, 0.9, 0.9, 1.0, 1.3, 1.5, 1.4, 1.2, 1.0, 0.8, 0.6, 0.4),
-    "ICE_CREAM_SALES": (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.1, 0.2, 0.3, 0.5, 0.8, 1.1, 1.4, 1.5, 1.5, 1.4, 1.3, 1.1, 0.9, 0.7, 0.4, 0.2, 0.1, 0.0),
-    "HOT_DRINK_SALES": (0.1, 0.0, 0.0, 0.0, 0.1, 0.4, 1.2, 1.6, 1.5, 1.2, 1.0, 1.0, 1.0, 1.0, 0.9, 0.9, 1.0, 1.1, 1.0, 0.8, 0.6, 0.4, 0.2, 0.1),
-    "GROCERY_DELIVERIES": (0.1, 0.0, 0.0, 0.0, 0.1, 0.2, 0.4, 0.6, 0.8, 0.9, 1.0, 1.1, 1.3, 1.2, 1.1, 1.0, 1.1, 1.3, 1.5, 1.4, 1.2, 0.9, 0.6, 0.3),
-}
-NOISE = 0.08
-# Fixed values of the weather model: latitudes of the cities.
-LATITUDE = {"london": 51.5, "nairobi": -1.3, "moscow": 55.8, "singapore": 1.4, "reykjavik": 64.1, "cape_town": -33.9, "new_york": 40.7, "tokyo": 35.7, "dubai": 25.2, "sydney": -33.9}
+#: Cities of measured marts.
+CITIES = ("london", "new_york", "tokyo", "sydney", "dubai", "nairobi", "moscow", "singapore", "reykjavik", "cape_town")
 
 
 def uniform(*parts: Column) -> Column:
@@ -30,86 +16,7 @@ def uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(2**52)) + 0.5) / float(2**52)
 
 
-def normal(*parts: Column) -> Column:
-    """Standard normal (Box-Muller), by a hash of the parts."""
-    return F.sqrt(-2 * F.log(uniform(F.lit("r"), *parts))) * F.cos(2 * math.pi * uniform(F.lit("a"), *parts))
-
-
-def weather_multiplier(kind: Column, temperature: Column, cloud: Column, rain_chance: Column) -> Column:
-    """How weather moves each kind of demand (fixed values)."""
-    rain = rain_chance / 100
-    heating = F.when(temperature <= 5, 1 + (5 - temperature) * 0.08).when(temperature >= 28, 1 + (temperature - 28) * 0.06).otherwise(0.8 + 0.2 * F.abs(temperature - 18) / 13)
-    sun = (1 - cloud / 100 * 0.5) * F.greatest(F.lit(0.0), (temperature - 10) / 25) * 3
-    return (
-        F.when(kind == "ELECTRICITY_KWH", heating)
-        .when(kind == "GAS_CONSUMPTION_M3", F.greatest(F.lit(0.05), 1 + (15 - temperature) * 0.07))
-        .when(kind == "RIDE_SHARE_TRIPS", 1 + rain * 0.8 + F.greatest(F.lit(0.0), (temperature - 32) * 0.04))
-        .when(kind == "ICE_CREAM_SALES", F.when(temperature < 10, 0.05).otherwise(F.greatest(F.lit(0.05), sun)))
-        .when(kind == "HOT_DRINK_SALES", F.greatest(F.lit(0.3), 1 + (18 - temperature) * 0.04) + rain * 0.4)
-        .when(kind == "GROCERY_DELIVERIES", 1 + rain * 1.2 + F.greatest(F.lit(0.0), (5 - temperature) * 0.03))
-    )
-
-
-def hourly_weight(kind: Column, hour: Column) -> Column:
-    """The weight of an hour of the day for a kind of demand."""
-    table = F.create_map(*[x for k, w in HOURLY.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in w]))])
-    return F.get(table[kind], hour)
-
-
-def _dimension(spark: SparkSession, values: dict[str, float], name: str, number: str) -> DataFrame:
-    return spark.createDataFrame(list(values.items()), f"{name} string, {number} double")
-
-
-def weather(spark: SparkSession, hours: int, start: str = "2024-01-01") -> DataFrame:
-    """city, polled_at and ten readings for each city and hour: yearly wave by latitude, daily wave, hashed noise."""
-    cities = _dimension(spark, LATITUDE, "city", "lat")
-    grid = spark.range(hours).join(F.broadcast(cities), F.lit(True)).withColumn("polled_at", F.expr(f"timestampadd(HOUR, CAST(id AS int), TIMESTAMP_NTZ '{start} 00:00:00')"))  # ten cities
-    noise = lambda name: normal(F.lit(name), F.col("lat"), F.col("polled_at").cast("string"))
-    chance = lambda name: uniform(F.lit(name), F.col("lat"), F.col("polled_at").cast("string"))
-    percent = lambda x: F.greatest(F.lit(0), F.least(F.lit(100), F.bround(x).cast("int")))
-    lat = F.abs("lat")
-    season = F.signum(F.when(F.col("lat") == 0, 1.0).otherwise(F.col("lat"))) * F.sin(2 * math.pi * (F.dayofyear("polled_at") - 80) / 365)
-    day = 6 * F.sin(2 * math.pi * (F.hour("polled_at") - 6) / 24)
-    rows = grid.withColumns(
-        {
-            "temperature_c": F.round(27 - 0.5 * lat + 15 * lat / 90 * season + day + 1.5 * noise("temperature"), 1),
-            "humidity_pct": F.greatest(F.lit(10), percent(70 - 0.4 * F.abs(lat - 30) + 8 * season + 12 * noise("humidity"))),
-            "wind_kph": F.round(F.greatest(F.lit(0.0), 18 + 9 * noise("wind")), 1),
-            "wind_direction_deg": F.round(360 * chance("direction"), 1),
-        }
-    )
-    rows = rows.withColumn("cloud_cover_pct", percent((F.col("humidity_pct") - 40) * 1.3 + 10 * noise("cloud")))
-    rows = rows.withColumn("precip_probability_pct", percent((F.col("humidity_pct") - 55) * 1.5 + (F.col("cloud_cover_pct") - 50) * 0.4))
-    rain, t, wind = F.col("precip_probability_pct") / 100, F.col("temperature_c"), F.col("wind_kph")
-    amount = -F.log(chance("rain")) * F.greatest(F.lit(0.1), 5 * rain) * rain
-    warm = t + 0.33 * 6.1 * F.col("humidity_pct") / 100 - 0.7 * wind / 3.6 - 4
-    return rows.select(
-        "city",
-        "polled_at",
-        "temperature_c",
-        F.when(t > 27, F.round(warm, 1)).when(t < 10, F.round(t - wind / 4, 1)).otherwise(t).alias("feels_like_c"),
-        F.round(t - (100 - F.col("humidity_pct")) / 5, 1).alias("dew_point_c"),
-        "humidity_pct",
-        "wind_kph",
-        "wind_direction_deg",
-        "cloud_cover_pct",
-        "precip_probability_pct",
-        F.when(rain < 0.2, 0.0).otherwise(F.round(amount, 2)).alias("precip_mm"),
-        condition(F.col("cloud_cover_pct"), F.col("precip_probability_pct")).alias("condition"),
-    )
-
-
-def demand(readings: DataFrame) -> DataFrame:
-    """A demand event for each reading and kind: base, city, weather and hour, times log-normal noise."""
-    spark = readings.sparkSession
-    scales = readings.join(F.broadcast(_dimension(spark, CITY_SCALE, "city", "scale")), "city", "left").fillna(1.0, ["scale"])
-    rows = scales.join(F.broadcast(_dimension(spark, BASE, "event_type", "base")), F.lit(True))  # six kinds
-    level = F.col("base") * F.col("scale") * weather_multiplier(F.col("event_type"), F.col("temperature_c"), F.col("cloud_cover_pct"), F.col("precip_probability_pct")) * hourly_weight(F.col("event_type"), F.hour("polled_at"))
-    noise = F.exp(NOISE * normal(F.lit("d"), F.col("city"), F.col("event_type"), F.col("polled_at").cast("string")))
-    return rows.select("city", "event_type", F.col("polled_at").alias("sim_ts"), F.greatest(F.lit(0.0), F.round(level * noise, 2)).alias("quantity"), "temperature_c")
-
-
-def mart_rows(spark: SparkSession, n: int, cities: tuple[str, ...] = tuple(CITY_SCALE)) -> DataFrame:
+def mart_rows(spark: SparkSession, n: int, cities: tuple[str, ...] = CITIES) -> DataFrame:
     """n rows of the hourly mart with uniform values, a hundredth of lags and a twentieth of readings missing: for measurements."""
     i, k = F.col("id"), len(cities)
     ts = F.expr(f"timestampadd(HOUR, CAST(id div {k} AS int), TIMESTAMP_NTZ '2000-01-01 00:00:00')")
