@@ -20,6 +20,8 @@ Defined cases
 - escapes that are none (`%zz`): the path stays as written but for its segments.
 - the same entry twice, also as other spellings of one canonical URL: one stays, block before allow.
 - entries with a null host or path, or without a host: fit nothing.
+- very long urls: judged whole. Of a host only as many labels from its end make keys as a rule or an entry has, and of a
+  path as many segments, so the keys of a url do not grow with its length.
 - repeated rows and ids: each row is judged. Null ids: kept. Extra columns are not read.
 - empty tables: no rows; with no entries every verdict is allow.
 """
@@ -83,17 +85,23 @@ def _joined_path(segments: Column) -> Column:
     return F.when(F.size(segments) > 0, F.concat(F.lit("/"), F.array_join(segments, "/"))).otherwise("")
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and all domains above it."""
-    labels = F.split(host, r"\.")
-    return F.filter(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")), lambda x: x != "")
+def _suffixes(host: Column, most: int) -> Column:
+    """The host and the domains above it, as far as they have `most` labels at most: longer ones are in no list."""
+    labels = F.split(F.substring_index(host, ".", -most), r"\.") if most else F.array().cast("array<string>")
+    return F.filter(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.when(i <= F.size(labels), F.array_join(F.slice(labels, i, most), "."))), lambda x: x.isNotNull() & (x != ""))
+
+
+def _labels(host: Column) -> Column:
+    return F.size(F.split(host, r"\."))
 
 
 def by_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """url_host, url_path, rule, verdict: the longest rule that fits each url that has one."""
     known = rules.where("host IS NOT NULL AND path IS NOT NULL").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block before allow
-    at = urls.select("url_host", "url_path", F.explode(_suffixes(F.col("url_host"))).alias("host"))
-    fits = at.join(bounded(written(known, "url-rules")), "host").where(F.startswith("url_path", "path"))
+    known = written(known, "url-rules")
+    most = known.agg(F.coalesce(F.max(_labels(F.col("host"))), F.lit(0))).first()[0]
+    at = urls.select("url_host", "url_path", F.explode(_suffixes(F.col("url_host"), most)).alias("host"))
+    fits = at.join(bounded(known), "host").where(F.startswith("url_path", "path"))
     best = F.max_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), F.length("host") + F.length("path"))
     return fits.groupBy("url_host", "url_path").agg(best.alias("hit")).select("url_host", "url_path", "hit.rule", "hit.verdict")
 
@@ -103,14 +111,14 @@ def by_list(urls: DataFrame, listed: DataFrame) -> DataFrame:
     host, segments = canonical(F.lower("host"), F.col("path"))
     entries = listed.where("host IS NOT NULL AND path IS NOT NULL").select(host.alias("host"), _joined_path(segments).alias("path"), F.size(segments).alias("depth")).where("host <> ''").distinct()
     entries = written(entries, "listed-urls")
-    n, depth = entries.agg(F.count("*"), F.coalesce(F.max("depth"), F.lit(0))).first()
+    n, depth, most = entries.agg(F.count("*"), F.coalesce(F.max("depth"), F.lit(0)), F.coalesce(F.max(_labels(F.col("host"))), F.lit(0))).first()
     blocks = max(1, -(-n * BITS_PER_ENTRY // (64 * LONGS)))
     filters = written(bloom_blocks(entries, blocks), "bloom-blocks")
 
     host, segments = canonical(F.col("url_host"), F.col("url_path"))
     split = urls.select("url_host", "url_path", host.alias("canonical"), F.slice(segments, 1, depth).alias("segments") if depth else F.array().cast("array<string>").alias("segments"))
     prefixes = F.transform(F.sequence(F.lit(0), F.size("segments")), lambda k: _joined_path(F.slice("segments", 1, k)))
-    keys = split.select("url_host", "url_path", F.explode(_suffixes(F.col("canonical"))).alias("host"), "segments").select("url_host", "url_path", "host", F.explode(prefixes).alias("path"))
+    keys = split.select("url_host", "url_path", F.explode(_suffixes(F.col("canonical"), most)).alias("host"), "segments").select("url_host", "url_path", "host", F.explode(prefixes).alias("path"))
     block, bits = _places(F.col("host"), F.col("path"), blocks)
     possible = (
         keys.select("*", block.alias("block"), bits.alias("want"))
