@@ -195,3 +195,48 @@ def test_lloyd_of_odd_vectors(spark):
 @pytest.mark.parametrize("name", ["op12_fill_in_middle", "op13_delta_lloyd"])
 def test_twins(spark, sf_dir, name):
     same(queries.QUERIES[name](spark, sf_dir), connection(sf_dir), oracles.ORACLES[name])
+
+
+# Long urls, lists from a table, lines that a third of all texts have
+
+
+def test_hosts_of_many_labels_and_long_paths(spark):
+    from tidemark.llm import url_rules
+
+    long_host, long_path = ".".join(["a"] * 50_000) + ".bad.test", "/x" * 50_000
+    urls = [f"http://{long_host}/", f"http://good.test{long_path}", f"http://{'b.' * 20_000}com/en/1{long_path}", "http://bad.test"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/en/", "block")], "host string, path string, verdict string")
+    listed = spark.createDataFrame([("bad.test", "")], "host string, path string")
+    got = {r.page_id: (r.verdict, r.by) for r in url_rules.judge(pages, rules, listed).select("page_id", "verdict", "by").collect()}
+    assert got == {0: ("block", "list"), 1: ("allow", None), 2: ("block", "rule"), 3: ("block", "list")}
+
+
+def test_a_list_of_thousands_hits_and_its_false_positives_go(spark):
+    from tidemark.llm import url_rules
+
+    pages = spark.range(12_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 700, F.lit(".net/p/"), F.col("id")).alias("url"))
+    listed = pages.where("page_id % 3 = 0").select(F.concat(F.lit("h"), F.col("page_id") % 700, F.lit(".net")).alias("host"), F.concat(F.lit("/p/"), F.col("page_id")).alias("path"))
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    got = url_rules.judge(pages, rules, listed)
+    assert got.where("verdict = 'block'").count() == 4_000 == got.where("verdict = 'block' AND page_id % 3 = 0").count()
+    # The filter alone lets some keys through that are in no list: the exact join is what removes them.
+    entries = listed.withColumn("depth", F.lit(2))
+    blocks = -(-4_000 * url_rules.BITS_PER_ENTRY // (64 * url_rules.LONGS))
+    others = pages.where("page_id % 3 <> 0").select(F.concat(F.lit("h"), F.col("page_id") % 700, F.lit(".net")).alias("host"), F.concat(F.lit("/p/"), F.col("page_id")).alias("path"))
+    block, bits = url_rules._places(F.col("host"), F.col("path"), blocks)
+    found = others.select(block.alias("block"), bits.alias("want")).join(url_rules.bloom_blocks(entries, blocks), "block")
+    false = found.where(F.forall("want", lambda b: url_rules._bit(F.col("bits"), b))).count()
+    assert 0 < false < 0.02 * 8_000
+
+
+def test_a_line_in_a_third_of_all_texts_is_split(spark, make_docs, monkeypatch):
+    from tests.llm.conftest import prose
+    from tidemark.llm import common, line_dedup
+
+    hot, near = "this very line is in a third of all texts", "this very line is in a third of all tests"
+    texts = [(hot + "\n" if k % 3 == 0 else near + "\n" if k == 100 else "") + prose(k, 30) for k in range(150)]
+    want = {r.doc_id: r.removed for r in line_dedup.judge(make_docs(texts)).collect()}
+    monkeypatch.setattr(common.joined_by_count, "__defaults__", (5,))  # hot from six rows on
+    assert {r.doc_id: r.removed for r in line_dedup.judge(make_docs(texts)).collect()} == want
+    assert want[0] == [] and want[3] == [0] and want[100] == [0] and sum(map(len, want.values())) == 50

@@ -13,7 +13,8 @@ words are compared with the line's at the end, which removes hash collisions.
 
 Lines one edit apart also agree in their first or last half, so only lines that share a half with a different line
 emit variants. Nothing is lost by that: the halves of a line of n words are cut as for n and for n - 1 words.
-Counts by half, variant and line are grouped aggregates with map-side combining, whatever the size of the group.
+Counts by half, variant and line are grouped aggregates with map-side combining, whatever the size of the group, and the
+joins back to them split halves, variants and lines that many rows have.
 
 Defined cases
 - null text: no lines. Lines without words: never removed. Lines shorter than `min_words`: equal lines only.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import bounded, columns_of, written
+from tidemark.llm.common import columns_of, joined_by_count, written
 
 MIN_WORDS = 5
 LAST = 2**63 - 1
@@ -90,25 +91,29 @@ def decisions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     order = F.struct("id", "text_hash", "line_no")
     lines = _lines(docs)
     seen = written(lines.select("id", "text_hash", "line_no", "h1", "h2", F.when(F.col("n") >= min_words, _halves()).alias("halves")), "lines")
-    first = written(seen.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")), "first-lines")
+    first = written(seen.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")), "first-lines")
 
     halves = seen.where("halves IS NOT NULL").select("h1", "h2", F.explode("halves").alias("half"))
-    ends = halves.groupBy("half").agg(F.min("h1").alias("a1"), F.max("h1").alias("b1"), F.min("h2").alias("a2"), F.max("h2").alias("b2"))
-    shared = ends.where("a1 <> b1 OR a2 <> b2").select("half")
-    names = written(halves.join(shared, "half").select("h1", "h2").distinct(), "suspect-names")
-    texts = lines.select("h1", "h2", "line").join(bounded(names), ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    suspects = written(texts.join(first.select("h1", "h2", "first"), ["h1", "h2"]).withColumn("words", F.split("line", " ")).drop("line"), "suspects")
+    ends = halves.groupBy("half").agg(F.min("h1").alias("a1"), F.max("h1").alias("b1"), F.min("h2").alias("a2"), F.max("h2").alias("b2"), F.count("*").alias("n"))
+    shared = written(ends.where("a1 <> b1 OR a2 <> b2").select("half", "n"), "shared-halves")
+    named = joined_by_count(halves, shared, ["half"]).select("h1", "h2").distinct()
+    named = written(first.join(named, ["h1", "h2"]).select("h1", "h2", "first", "n"), "suspect-lines")
+    texts = joined_by_count(lines.select("h1", "h2", "line"), named, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("line").alias("line"))
+    suspects = written(texts.withColumn("words", F.split("line", " ")).drop("line"), "suspects")
 
     variants = written(_variants(suspects), "variants")
-    earliest = variants.groupBy("variant").agg(F.min("first").alias("earliest"), F.max("first").alias("latest")).where("earliest <> latest").select("variant", "earliest")
-    tried = variants.join(earliest, "variant").where("earliest < first").select("first", "earliest").distinct()
+    earliest = variants.groupBy("variant").agg(F.min("first").alias("earliest"), F.max("first").alias("latest"), F.count("*").alias("n"))
+    earliest = written(earliest.where("earliest <> latest").select("variant", "earliest", "n"), "shared-variants")
+    tried = joined_by_count(variants, earliest, ["variant"]).where("earliest < first").select("first", "earliest").distinct()
     theirs = suspects.select(F.col("first").alias("earliest"), F.col("words").alias("other"))
     near = tried.join(suspects, "first").join(theirs, "earliest").where(_within_one(F.col("words"), F.col("other"))).select("h1", "h2").distinct()
 
-    doubles = first.where("first <> last").select("h1", "h2", "first")
-    goes = doubles.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "full")
-    gone = F.coalesce("near", F.lit(False)) | F.coalesce(order != F.col("first"), F.lit(False))
-    marked = seen.select("id", "text_hash", "line_no", "h1", "h2").join(goes, ["h1", "h2"], "left").select("id", "text_hash", F.when(gone, F.col("line_no")).alias("off"), "line_no").distinct()
+    goes = first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("near OR first <> last")
+    goes = written(goes.select("h1", "h2", "first", "n", F.coalesce("near", F.lit(False)).alias("near")), "lines-to-go")
+    gone = F.col("near") | (order != F.col("first"))
+    off = joined_by_count(seen.select("id", "text_hash", "line_no", "h1", "h2"), goes, ["h1", "h2"]).where(gone).select("id", "text_hash", "line_no", F.col("line_no").alias("off"))
+    all_ = seen.select("id", "text_hash", "line_no", F.lit(None).cast("int").alias("off"))
+    marked = all_.unionByName(off).groupBy("id", "text_hash", "line_no").agg(F.max("off").alias("off"))  # a repeated row's lines once
     return written(marked.groupBy("id", "text_hash").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list("off")).alias("removed")), "lines-gone")
 
 
