@@ -240,3 +240,38 @@ def test_a_line_in_a_third_of_all_texts_is_split(spark, make_docs, monkeypatch):
     monkeypatch.setattr(common.joined_by_count, "__defaults__", (5,))  # hot from six rows on
     assert {r.doc_id: r.removed for r in line_dedup.judge(make_docs(texts)).collect()} == want
     assert want[0] == [] and want[3] == [0] and want[100] == [0] and sum(map(len, want.values())) == 50
+
+
+@pytest.mark.parametrize("places", [100_000, 0])
+def test_common_seeds_join_nothing_and_lose_nothing(spark, make_docs, monkeypatch, places):
+    """A phrase in a third of all texts, in items too; copies that keep no other seed are found all the same."""
+    from tests.llm.conftest import prose
+    from tidemark.llm import decontamination as op
+
+    phrase = "at the end of the day it was"
+    items = [f"one two {phrase} three four five", f"{phrase} six seven", "nothing of that kind is in here at all", "w1 w2 w3"]
+    # Of the first item only the phrase and single terms between edits are left.
+    worn = f"one XX two {phrase} three YY four ZZ five"
+    texts = [prose(k, 60) + (f" {phrase} " if k % 3 == 0 else " ") + prose(k + 500, 20) for k in range(60)]
+    texts += [prose(901, 40) + " " + worn + " " + prose(902, 40), items[2], prose(903, 30) + " w1 w2 w3 " + prose(904, 30), None, ""]
+    frame = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {r.doc_id: (list(r.item_ids), r.score) for r in op.judge(make_docs(texts), frame).collect()}
+    for k, t in enumerate(texts):  # every pair by the full alignment, of those that share a run
+        terms = re.findall(r"[^\W_]+", (t or "").lower())
+        found = []
+        for i, item in enumerate(items):
+            w = re.findall(r"[^\W_]+", item.lower())
+            n = min(4, len(w))
+            grams = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} & {tuple(terms[j : j + n]) for j in range(len(terms) - n + 1)}
+            names = {x: j for j, x in enumerate(dict.fromkeys(terms + w))}
+            if grams and op.smith_waterman(np.array([names[x] for x in w]), np.array([names[x] for x in terms])) >= len(w) / 2:
+                found.append(i)
+        assert want[k][0] == found
+    assert want[60][0] == [0, 1]
+    monkeypatch.setattr(op, "COMMON_PLACES", places)
+    seen = []
+    by_common = op._by_common
+    monkeypatch.setattr(op, "_by_common", lambda *a: (seen.append(a[3].count()), by_common(*a))[1])
+    got = op.judge(make_docs(texts), frame, op.Decontamination(rare_texts=5))
+    assert {r.doc_id: (list(r.item_ids), r.score) for r in got.collect()} == want
+    assert seen == [5]  # the runs of four of the phrase's eight words

@@ -1,14 +1,18 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are all runs of `seed_terms` terms (lower-cased runs of letters and digits) of benchmark items, however many
-documents have them: any stretch of seed_terms terms that a copy leaves intact is one. An item of fewer terms has one
-seed, all its terms. Texts that share a seed with an item are aligned with it locally: +1 for a term in common, -1 for
-a changed, added or missing one. A score of at least `least` times the item's terms marks the text. Stretches of a
-text that lack too many of the item's terms to reach it are passed over, and the stretches are wide enough for all
-gaps that it allows, so neither loses a match.
+Seeds are runs of `seed_terms` terms (lower-cased runs of letters and digits) of benchmark items; an item of fewer terms
+has one, all its terms. A seed that at most `rare_texts` texts have is rare, and joins texts to items. The common ones,
+which in prose are phrases like "at the end of the", join nothing: a text with one is looked at where it is, beside the
+items that have it, and becomes a candidate only if around the seed it has as many of the item's terms as a match needs.
+So no copy is lost to a seed being common, and no pairs are made of all texts and all items that share a phrase.
 
-A copy whose every run of seed_terms terms is broken (an edit in each fourth term, or a term put in after each
-third) is not found; of an item of fewer terms only copies without an edit are.
+Candidates are aligned locally: +1 for a term in common, -1 for a changed, added or missing one. A score of at least
+`least` times the item's terms marks the text. Stretches of a text that lack too many of the item's terms to reach it
+are passed over, and the stretches are wide enough for all gaps that it allows, so neither loses a match.
+
+A copy of an item of L terms with up to (L - seed_terms) / seed_terms changed terms keeps a seed, wherever they are. One whose
+every run of seed_terms terms is broken (an edit in each fourth term, or a term put in after each third) is not
+found; of an item of fewer terms only copies without an edit are.
 
 Each distinct run of a text is looked up in the item runs. Those are broadcast when their counted number is at
 most BROADCAST_SEEDS, and otherwise joined by a shuffle. Items and texts are compared by 128-bit keys of their texts
@@ -40,12 +44,17 @@ from tidemark.llm.common import bounded, columns_of, shingles_of, terms_of, text
 BROADCAST_SEEDS = 2_000_000
 #: Items that are aligned with a text in one row, about.
 ITEMS_A_ROW = 64
+#: Places of common seeds in items that are sent to all tasks; more of them are joined, hot seeds split.
+COMMON_PLACES = 100_000
+SPLITS = 64
 
 
 @dataclass(frozen=True)
 class Decontamination:
     seed_terms: int = 4
     least: float = 0.5
+    #: A seed that more texts have is common.
+    rare_texts: int = 1_000
 
 
 def smith_waterman(item: np.ndarray, text: np.ndarray) -> int:
@@ -78,37 +87,73 @@ def _windows(starts: list[int], length: int, slack: int, end: int) -> list[tuple
     return out
 
 
-def best_alignments(text: str, items: list[str], n: int, least: float) -> list[tuple[int, float]]:
-    """(item's place in `items`, score / its terms) of each item that shares a seed with the text and scores `least`."""
-    terms, numbers = _terms(text), {}
+#: Where each run of terms is in the items: (item, place).
+Places = dict[tuple, list[tuple[int, int]]]
+
+
+def stretches(terms: list[str], items: list[list[str]], runs: Places, least: float) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """Each item that shares a run with a text, its terms as numbers, and the stretches of the text that have enough of them to score `least`."""
+    numbers: dict[str, int] = {}
     coded = np.array([numbers.setdefault(t, len(numbers)) for t in terms], dtype=np.int64)
-    split = [_terms(t) for t in items]
-    runs: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-    for k, words in enumerate(split):
-        size = min(n, len(words))
-        for p in range(len(words) - size + 1 if size else 0):
-            runs[tuple(words[p : p + size])].append((k, p))
     starts: dict[int, list[int]] = defaultdict(list)
     for size in {len(r) for r in runs}:
         for p in range(len(terms) - size + 1):
             for k, q in runs.get(tuple(terms[p : p + size]), ()):
                 starts[k].append(p - q)
-    out = []
     for k, at in starts.items():
-        words = np.array([numbers.get(t, -1 - i) for i, t in enumerate(split[k])], dtype=np.int64)
+        words = np.array([numbers.get(t, -1 - i) for i, t in enumerate(items[k])], dtype=np.int64)
         slack = max(4, int(len(words) * (1 - least)))
-        stretches = (coded[lo:hi] for lo, hi in _windows(at, len(words), slack, len(terms)))
         # No score exceeds the number of the item's terms that the stretch has.
-        scores = [smith_waterman(words, s) / len(words) for s in stretches if np.isin(words, s).sum() / len(words) >= least]
-        if scores and max(scores) >= least:
-            out.append((k, max(scores)))
-    return out
+        wide = [coded[lo:hi] for lo, hi in _windows(at, len(words), slack, len(terms))]
+        if enough := [s for s in wide if np.isin(words, s).sum() / len(words) >= least]:
+            yield k, words, enough
+
+
+def best_alignments(text: str, items: list[str], n: int, least: float) -> list[tuple[int, float]]:
+    """(item's place in `items`, score / its terms) of each item that shares a seed with the text and scores `least`."""
+    split = [_terms(t) for t in items]
+    runs: Places = defaultdict(list)
+    for k, words in enumerate(split):
+        size = min(n, len(words))
+        for p in range(len(words) - size + 1 if size else 0):
+            runs[tuple(words[p : p + size])].append((k, p))
+    found = ((k, max(smith_waterman(words, s) / len(words) for s in enough)) for k, words, enough in stretches(_terms(text), split, runs, least))
+    return [(k, score) for k, score in found if score >= least]
 
 
 def _item_key() -> list[Column]:
     return [c.alias(f"item_{k}") for c, k in zip(text_key(F.col("text")), "ab", strict=True)]
 
 
+def _by_common(docs: DataFrame, hits: DataFrame, places: DataFrame, common: DataFrame, how: Decontamination) -> DataFrame:
+    """key_a, key_b, item_a, item_b: texts that have a common seed and around it enough of the terms of an item with it.
+
+    `places`: where the items have seeds (item_a, item_b, terms, size, p, gram).
+    """
+    common = written(common, "common-seeds")
+    hot = hits.join(bounded(common), "gram")
+    theirs = written(places.join(bounded(common), "gram"), "common-seed-places")
+    if theirs.count() > COMMON_PLACES:  # too many to send: all pairs of their keys, a seed's in SPLITS tasks
+        salted = theirs.select("gram", "item_a", "item_b").distinct().withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
+        return hot.withColumn("split", F.pmod("key_a", F.lit(SPLITS)).cast("int")).join(salted, ["gram", "split"]).select("key_a", "key_b", "item_a", "item_b")
+    items = theirs.groupBy("item_a", "item_b").agg(F.first("terms").alias("terms"), F.first("size").alias("size"), F.collect_list("p").alias("ps")).collect()
+    runs: Places = defaultdict(list)
+    for k, r in enumerate(items):
+        for p in r["ps"]:
+            runs[tuple(r["terms"][p : p + r["size"]])].append((k, p))
+    sent = docs.sparkSession.sparkContext.broadcast((dict(runs), [r["terms"] for r in items], [(r["item_a"], r["item_b"]) for r in items]))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs, terms, keys = sent.value
+        for batch in batches:
+            out = [(a, b, *keys[k]) for a, b, text in batch.itertuples(index=False) for k, _, _ in stretches(_terms(text), terms, runs, how.least)]
+            yield pd.DataFrame(out, columns=["key_a", "key_b", "item_a", "item_b"])
+
+    keys = written(hot.select("key_a", "key_b").distinct(), "common-seed-texts")
+    texts = docs.select(*text_key(F.col("text")), "text").join(bounded(keys), ["key_a", "key_b"], "left_semi")
+    return texts.mapInPandas(look, "key_a long, key_b long, item_a long, item_b long")
+
+
 def matches(docs: DataFrame, items: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
     """key_a, key_b (the text's key), item_a, item_b (the item's), score: the items that each marked text holds."""
     n = how.seed_terms
@@ -124,8 +169,16 @@ def matches(docs: DataFrame, items: DataFrame, how: Decontamination = Decontamin
     runs = F.array_distinct(F.concat(*[shingles_of(F.col("terms"), m) for m in counts or [n]]))
     hits = written(terms.select("key_a", "key_b", F.explode(runs).alias("gram")).join(grams, "gram"), "seed-hits")
 
+    often = written(hits.groupBy("gram").agg(F.count("*").alias("n")), "seed-counts")
+    rare = seeds.join(often.where(F.col("n") <= how.rare_texts), "gram").select("gram", "item_a", "item_b")
+    pairs = hits.join(rare, "gram").select("key_a", "key_b", "item_a", "item_b")
+    common = often.where(F.col("n") > how.rare_texts)
+    if common.limit(1).count():
+        at = lambda m: named.where(size == m).select("item_a", "item_b", "terms", F.lit(m).alias("size"), F.posexplode(shingles_of(F.col("terms"), m)).alias("p", "gram"))
+        pairs = pairs.unionByName(_by_common(docs, hits, reduce(DataFrame.unionByName, [at(m) for m in counts]), common, how))
+    pairs = pairs.distinct()
+
     rows = max(1, -(-sum(counts.values()) // ITEMS_A_ROW))
-    pairs = hits.join(seeds, "gram").select("key_a", "key_b", "item_a", "item_b").distinct()
     listed = pairs.join(named.select("item_a", "item_b", "item_text"), ["item_a", "item_b"]).groupBy("key_a", "key_b", F.pmod("item_a", F.lit(rows)).alias("row"))
     wanted = written(listed.agg(F.collect_list(F.struct("item_a", "item_b", "item_text")).alias("items")), "candidates")
 
