@@ -31,10 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import columns_of, joined_by_count, written
+from tidemark.llm.common import BROADCAST_ROWS, columns_of, joined_by_count, written
 
 MIN_WORDS = 5
 LAST = 2**63 - 1
+#: A half, variant or line with more rows is split.
+HOT = 1_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -96,22 +98,24 @@ def decisions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     halves = seen.where("halves IS NOT NULL").select("h1", "h2", F.explode("halves").alias("half"))
     ends = halves.groupBy("half").agg(F.min("h1").alias("a1"), F.max("h1").alias("b1"), F.min("h2").alias("a2"), F.max("h2").alias("b2"), F.count("*").alias("n"))
     shared = written(ends.where("a1 <> b1 OR a2 <> b2").select("half", "n"), "shared-halves")
-    named = joined_by_count(halves, shared, ["half"]).select("h1", "h2").distinct()
+    named = joined_by_count(halves, shared, ["half"], HOT).select("h1", "h2").distinct()
     named = written(first.join(named, ["h1", "h2"]).select("h1", "h2", "first", "n"), "suspect-lines")
-    texts = joined_by_count(lines.select("h1", "h2", "line"), named, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("line").alias("line"))
+    worded = lines.select("h1", "h2", "line")
+    met = worded.join(F.broadcast(named), ["h1", "h2"]) if named.count() <= BROADCAST_ROWS else joined_by_count(worded, named, ["h1", "h2"], HOT)
+    texts = met.groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("line").alias("line"))
     suspects = written(texts.withColumn("words", F.split("line", " ")).drop("line"), "suspects")
 
     variants = written(_variants(suspects), "variants")
     earliest = variants.groupBy("variant").agg(F.min("first").alias("earliest"), F.max("first").alias("latest"), F.count("*").alias("n"))
     earliest = written(earliest.where("earliest <> latest").select("variant", "earliest", "n"), "shared-variants")
-    tried = joined_by_count(variants, earliest, ["variant"]).where("earliest < first").select("first", "earliest").distinct()
+    tried = joined_by_count(variants, earliest, ["variant"], HOT).where("earliest < first").select("first", "earliest").distinct()
     theirs = suspects.select(F.col("first").alias("earliest"), F.col("words").alias("other"))
     near = tried.join(suspects, "first").join(theirs, "earliest").where(_within_one(F.col("words"), F.col("other"))).select("h1", "h2").distinct()
 
     goes = first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("near OR first <> last")
     goes = written(goes.select("h1", "h2", "first", "n", F.coalesce("near", F.lit(False)).alias("near")), "lines-to-go")
     gone = F.col("near") | (order != F.col("first"))
-    off = joined_by_count(seen.select("id", "text_hash", "line_no", "h1", "h2"), goes, ["h1", "h2"]).where(gone).select("id", "text_hash", "line_no", F.col("line_no").alias("off"))
+    off = joined_by_count(seen.select("id", "text_hash", "line_no", "h1", "h2"), goes, ["h1", "h2"], HOT).where(gone).select("id", "text_hash", "line_no", F.col("line_no").alias("off"))
     all_ = seen.select("id", "text_hash", "line_no", F.lit(None).cast("int").alias("off"))
     marked = all_.unionByName(off).groupBy("id", "text_hash", "line_no").agg(F.max("off").alias("off"))  # a repeated row's lines once
     return written(marked.groupBy("id", "text_hash").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list("off")).alias("removed")), "lines-gone")
