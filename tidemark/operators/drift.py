@@ -48,7 +48,7 @@ def reports(counts: DataFrame, windows: list[tuple[datetime, date, date, date, d
     days = counts.join(F.broadcast(asked), F.col("day").between(F.col("ref_from"), F.col("ref_to")) | F.col("day").between(F.col("cur_from"), F.col("cur_to")))  # a row a window
     part = lambda a, b: F.sum(F.when(F.col("day").between(F.col(a), F.col(b)), F.col("n")).otherwise(0))
     sums = written(days.groupBy("w", "feature", "v").agg(part("ref_from", "ref_to").alias("r"), part("cur_from", "cur_to").alias("c")), "drift-sums")
-    totals = sums.where(F.col("feature") == ALL).select("w", F.col("r").alias("reference_count"), F.col("c").alias("current_count"))
+    totals = sums.where(F.col("feature") == ALL).groupBy("w").agg(F.sum("r").alias("reference_count"), F.sum("c").alias("current_count"))
     keyed = sums.where(F.col("feature") != ALL).select(F.concat_ws("|", "w", "feature").alias("feature"), "v", "r", "c")
     ranks = quality.ranks_of(keyed)
     found = quality.psi_of(ranks, tuple(f"{i}|{n}" for i in range(len(windows)) for n in features)).join(quality.ks_of(ranks), "feature", "left")

@@ -188,7 +188,7 @@ def drift_report(reference: DataFrame, current: DataFrame, features: tuple[str,
     ranks = ranked(reference, current, features)
     psi, ks = psi_of(ranks, features), ks_of(ranks)
     n = reference.agg(F.count("*").alias("reference_count")).join(F.broadcast(current.agg(F.count("*").alias("current_count"))), F.lit(True))  # one row each
-    rows = psi.join(ks, "feature").join(F.broadcast(n), F.lit(True))
+    rows = psi.join(ks, "feature", "left").join(F.broadcast(n), F.lit(True))
     return rows.select(
         F.col("feature").alias("feature_name"),
         F.round("psi", 6).alias("drift_score"),

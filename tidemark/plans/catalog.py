@@ -173,16 +173,16 @@ _LEADS = "SELECT city, quantile_cont(l, 0.5) AS lead_time_p50, quantile_cont(l,
 _CANCEL = "SELECT city, count(*) FILTER (event_type = 'cancellation') / count(*) AS cancellation_rate_180d FROM demand_events WHERE CAST(sim_ts AS date) > DATE '2024-01-20' - 180 AND CAST(sim_ts AS date) <= DATE '2024-01-20' AND city IS NOT NULL GROUP BY city"
 _CORR = "SELECT city, CASE WHEN stddev_pop(temperature_c) * stddev_pop(total_demand) > 0 THEN covar_pop(temperature_c, total_demand) / (stddev_pop(temperature_c) * stddev_pop(total_demand)) END AS elasticity_estimate FROM mart WHERE CAST(hour_ts AS date) <= DATE '2024-01-20' AND temperature_c IS NOT NULL AND total_demand IS NOT NULL GROUP BY city"
 _LEVEL = "SELECT city, avg(daily_bookings) AS avg_bookings_90d FROM daily WHERE day > DATE '2024-01-20' - 90 GROUP BY city"
-_ROUTE = ["avg_bookings_90d", *_DAYS, "lead_time_p50", "lead_time_p90", "cancellation_rate_180d", "elasticity_estimate"]
+ROUTE_FEATURES = ["avg_bookings_90d", *_DAYS, "lead_time_p50", "lead_time_p90", "cancellation_rate_180d", "elasticity_estimate"]
 
 
 @query(
     "jn_assemble",
-    f"SELECT l.city AS route_id, DATE '2024-01-20' AS feature_date, {rs(*[c for c in _ROUTE if c != 'cancellation_rate_180d'])}, round(coalesce(cancellation_rate_180d, 0.0)::double, 6) AS cancellation_rate_180d "
+    f"SELECT l.city AS route_id, DATE '2024-01-20' AS feature_date, {rs(*[c for c in ROUTE_FEATURES if c != 'cancellation_rate_180d'])}, round(coalesce(cancellation_rate_180d, 0.0)::double, 6) AS cancellation_rate_180d "
     f"FROM ({_LEVEL}) l LEFT JOIN (SELECT city, {_SEASON} FROM daily GROUP BY city) s USING (city) LEFT JOIN ({_LEADS}) t USING (city) LEFT JOIN ({_CANCEL}) c USING (city) LEFT JOIN ({_CORR}) e USING (city)",
 )
 def _(d):
-    return marts.route_features(d.mart, d.demand_events, FEATURE_DATE).select("route_id", "feature_date", *r(*_ROUTE))
+    return marts.route_features(d.mart, d.demand_events, FEATURE_DATE).select("route_id", "feature_date", *r(*ROUTE_FEATURES))
 
 
 _DELTAS = [f"d_{c}" for c in [*quality.OFFLINE, *quality.ONLINE]]

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import marts, online, quality
+from tidemark.operators.staging import latest_by
 from tidemark.plans import training
-from tidemark.plans.catalog import CYCLES, MART_SQL, ORACLE_PSI_CITY, WEATHER, _halves, _psi_sql, r, rs
+from tidemark.plans.catalog import CYCLES, MART_SQL, ORACLE_PSI_CITY, ROUTE_FEATURES, WEATHER, _psi_sql, r, rs
+from tidemark.plans.catalog import ORACLES as ORACLES_OF
 from tidemark.plans.views_sql import VIEWS
-from tidemark.registry import registered
+from tidemark.registry import REGISTRY, registered
 from tidemark.sources import envelope, generate, lake, tables
 from tidemark.sources.domain import FEATURE_DATE, Domain
 from tidemark.sources.paths import delete, fresh, qualified
@@ -129,25 +131,6 @@ def _(d):
     return tables.stored(d.spark, path)
 
 
-@query(
-    "snk_hset",
-    "SELECT city AS route_id, strftime(hour_ts, '%Y-%m-%d %H:%M:%S') AS hour_text, 1 + (total_demand IS NOT NULL)::int + (temperature_c IS NOT NULL)::int + (precip_mm IS NOT NULL)::int + (demand_lag_24h IS NOT NULL)::int AS n_fields, '2024-01-30T23:30:00' AS batch_computed_at, '2024-01-30T23:30:00' AS completed_at FROM mart",
-)
-def _(d):
-    """Sent by the tasks in batches to a store of files, then the marker; and read back from both."""
-    store, marker = qualified(d.spark, fresh(d.spark, "hashes")), fresh(d.spark, "marker")
-    rows = d.mart.withColumn("key", F.concat_ws("|", "city", F.date_format("hour_ts", "yyyy-MM-dd HH:mm:ss")))
-    sent = online.as_hash(rows, "key", ["total_demand", "temperature_c", "precip_mm", "demand_lag_24h"])
-    finish = lambda at: d.spark.createDataFrame([(at,)], "completed_at string").write.parquet(marker)
-    tables.sync(sent, tables.parquet_store(store), finish, _AS_OF.isoformat())
-    parts = F.split("key", r"\|")
-    kept = d.spark.read.schema("key string, fields map<string,string>").parquet(store)
-    return kept.select(parts[0].alias("route_id"), parts[1].alias("hour_text"), F.size("fields").alias("n_fields"), F.col("fields")["batch_computed_at"].alias("batch_computed_at")).join(
-        F.broadcast(d.spark.read.schema("completed_at string").parquet(marker)),
-        F.lit(True),  # one row
-    )
-
-
 # The lake
 
 _LAKE_NOW = datetime(2024, 2, 2, 10, 15)
@@ -230,10 +213,30 @@ def _(d):
     return generate.with_faults(d.weather_readings.select("id", *WEATHER), 0.1, ("temperature_c", "temp")).agg(F.count("*").alias("n"), F.count("temp").alias("n_temp"))
 
 
-@query("prj_registry", f"SELECT l.city AS route_id, round(avg_bookings_90d::double, 6) + 0.0::double AS avg_bookings_90d FROM (SELECT city, avg(daily_bookings) AS avg_bookings_90d FROM daily WHERE day > DATE '2024-01-20' - 90 GROUP BY city) l")
+_ROUTES = ORACLES_OF["jn_assemble"][len(VIEWS) :]
+
+
+@query("prj_registry", f"SELECT * EXCLUDE (feature_date) FROM ({_ROUTES})")
 def _(d):
     rows = marts.route_features(d.mart, d.demand_events, FEATURE_DATE)
-    return registered(rows, "batch", ["route_id"]).select("route_id", *r("avg_bookings_90d"))
+    return registered(rows, "batch", ["route_id"]).select("route_id", *r(*ROUTE_FEATURES))
+
+
+@query("snk_hset", f"SELECT * EXCLUDE (feature_date), '2024-01-30T23:30:00' AS batch_computed_at, '2024-01-30T23:30:00' AS completed_at FROM ({_ROUTES})")
+def _(d):
+    """The last of two days of each route, all batch features of the registry: sent by the tasks in batches to a store of files, then the marker; and read back from both."""
+    store, marker = qualified(d.spark, fresh(d.spark, "hashes")), fresh(d.spark, "marker")
+    days = [marts.route_features(d.mart, d.demand_events, day) for day in (FEATURE_DATE - timedelta(days=1), FEATURE_DATE)]
+    last = latest_by(days[0].unionByName(days[1]), "route_id", "feature_date")
+    sent = online.as_hash(last, "route_id", [f.name for f in REGISTRY.of("batch")])
+    finish = lambda at: d.spark.createDataFrame([(at,)], "completed_at string").write.parquet(marker)
+    tables.sync(sent, tables.parquet_store(store), finish, _AS_OF.isoformat())
+    kept = d.spark.read.schema("key string, fields map<string,string>").parquet(store)
+    values = [(F.round(F.try_element_at("fields", F.lit(c)).cast("double"), 6) + 0.0).alias(c) for c in ROUTE_FEATURES]
+    return kept.select(F.col("key").alias("route_id"), *values, F.col("fields")["batch_computed_at"].alias("batch_computed_at")).join(
+        F.broadcast(d.spark.read.schema("completed_at string").parquet(marker)),
+        F.lit(True),  # one row
+    )
 
 
 # Set operations
@@ -367,7 +370,7 @@ def _(d):
     return dead.groupBy(F.substring_index(F.col("headers")[0]["value"].cast("string"), ":", 1).alias("reason")).agg(F.count("*").alias("n"))
 
 
-_SC = ("demand_lag_1h", "temperature_c")
+_SC = training.WORKER_NUMERIC
 _THERE = " AND ".join(f"{c} IS NOT NULL" for c in _SC)
 
 
@@ -456,8 +459,6 @@ def _(d):
 
 
 def _base(d: Domain) -> DataFrame:
-    from tidemark.operators.staging import latest_by
-
     return latest_by(d.mart, "city", "hour_ts")
 
 
@@ -523,10 +524,33 @@ def _(d):
     return one.join(two, ["city", "hour_ts"]).groupBy("city").agg(F.avg(F.abs(F.col("prediction") - F.col("shadow"))).alias("gap"))
 
 
-@query("dq_assert", "SELECT 0 AS errors, 0 AS warnings")
+#: What is wrong with each mart that the checks are put to.
+_MARTS = {
+    "whole": {},
+    "nulls": {"event_count": "CASE WHEN hour(hour_ts) <> 3 THEN event_count END", "total_demand": "CASE WHEN hour(hour_ts) <> 4 THEN total_demand END", "temperature_c": "CASE WHEN hour(hour_ts) = 5 AND day(hour_ts) = 5 THEN temperature_c END"},
+    "rows lost": {},
+    "empty": {},
+}
+_ROWS = {"rows lost": "hour(hour_ts) <> 7", "empty": "false"}
+_SOFT = (("demand_lag_1h", 0.5), ("temperature_c", 0.9))
+
+
+def _quality_sql(name: str) -> str:
+    col = lambda c: _MARTS[name].get(c, c)
+    hard = " + ".join(f"coalesce(max(({col(c)} IS NULL)::int), 0)" for c in marts.NEVER_NULL)
+    soft = " + ".join(f"coalesce((avg(({col(c)} IS NULL)::int) > {limit}::double)::int, 0)" for c, limit in _SOFT)
+    return f"SELECT '{name}' AS mart, ((count(*) = 0)::int + (count(*) <> (SELECT count(*) FROM demand_hourly))::int + {hard})::int AS errors, ({soft})::int AS warnings FROM mart WHERE {_ROWS.get(name, 'true')}"
+
+
+@query("dq_assert", " UNION ALL ".join(map(_quality_sql, _MARTS)))
 def _(d):
-    errors, warnings = marts.quality_report(d.mart, d.demand_hourly)
-    return d.spark.createDataFrame([(len(errors), len(warnings))], "errors int, warnings int")
+    """The mart as it is, and three that are broken."""
+    out = []
+    for name, changes in _MARTS.items():
+        rows = d.mart.where(_ROWS.get(name, "true")).withColumns({c: F.expr(e) for c, e in changes.items()})
+        errors, warnings = marts.quality_report(rows, d.demand_hourly)
+        out.append((name, len(errors), len(warnings)))
+    return d.spark.createDataFrame(out, "mart string, errors int, warnings int")
 
 
 @query("jn_overlay", "SELECT m.city, m.hour_ts, round(coalesce(o.t, m.temperature_c), 6) + 0.0::double AS temperature_c FROM mart m LEFT JOIN (SELECT city, arg_max(temperature_c, (polled_at, id)) AS t FROM weather_readings GROUP BY 1) o USING (city)")
