@@ -101,8 +101,9 @@ def decisions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = joined_by_count(halves, shared, ["half"], HOT).select("h1", "h2").distinct()
     named = written(first.join(named, ["h1", "h2"]).select("h1", "h2", "first", "n"), "suspect-lines")
     worded = lines.select("h1", "h2", "line")
-    met = worded.join(F.broadcast(named), ["h1", "h2"]) if named.count() <= BROADCAST_ROWS else joined_by_count(worded, named, ["h1", "h2"], HOT)
-    texts = met.groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("line").alias("line"))
+    few = named.count() <= BROADCAST_ROWS
+    met = worded.join(F.broadcast(named.select("h1", "h2")), ["h1", "h2"]) if few else joined_by_count(worded, named.select("h1", "h2", "n"), ["h1", "h2"], HOT)
+    texts = met.groupBy("h1", "h2").agg(F.first("line").alias("line")).join(named.select("h1", "h2", "first"), ["h1", "h2"])
     suspects = written(texts.withColumn("words", F.split("line", " ")).drop("line"), "suspects")
 
     variants = written(_variants(suspects), "variants")
@@ -115,10 +116,13 @@ def decisions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     goes = first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("near OR first <> last")
     goes = written(goes.select("h1", "h2", "first", "n", F.coalesce("near", F.lit(False)).alias("near")), "lines-to-go")
     gone = F.col("near") | (order != F.col("first"))
-    off = joined_by_count(seen.select("id", "text_hash", "line_no", "h1", "h2"), goes, ["h1", "h2"], HOT).where(gone).select("id", "text_hash", "line_no", F.col("line_no").alias("off"))
-    all_ = seen.select("id", "text_hash", "line_no", F.lit(None).cast("int").alias("off"))
-    marked = all_.unionByName(off).groupBy("id", "text_hash", "line_no").agg(F.max("off").alias("off"))  # a repeated row's lines once
-    return written(marked.groupBy("id", "text_hash").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list("off")).alias("removed")), "lines-gone")
+    off = joined_by_count(seen.select("id", "text_hash", "line_no", "h1", "h2"), goes, ["h1", "h2"], HOT).where(gone).select("id", "text_hash", "line_no").distinct()
+    removed = off.groupBy("id", "text_hash").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    # All lines of a text are counted where they are; a row that is repeated repeats them.
+    copies = docs.select(F.coalesce(docs["doc_id"], F.lit(LAST)).alias("id"), F.xxhash64(docs["text"]).alias("text_hash")).where(docs["text"].isNotNull()).groupBy("id", "text_hash").agg(F.count("*").alias("copies"))
+    counted = seen.groupBy("id", "text_hash").agg(F.count("*").alias("all")).join(copies, ["id", "text_hash"])
+    n_lines = counted.select("id", "text_hash", F.expr("`all` DIV copies").alias("n_lines"))
+    return written(n_lines.join(removed, ["id", "text_hash"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>"))), "lines-gone")
 
 
 def judge(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
