@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import boosting
 from tidemark.operators.quality import medians
 from tidemark.sources.paths import exists
 from tidemark.sources.registry_log import PRODUCTION, STAGING, Lease, Registry
@@ -118,11 +119,21 @@ def fit_ridge(train: DataFrame, prep: Preparation, alpha: float = 1.0):
     return LinearRegression(elasticNetParam=0.0, regParam=alpha / r["n"] * (r["s"] or 1.0), standardization=False, solver="normal").fit(rows)
 
 
-def fit_boosted(train: DataFrame, prep: Preparation, rounds: int = 300, seed: int = 42):
-    """Gradient-boosted trees."""
-    from pyspark.ml.regression import GBTRegressor
+#: Inputs of the boosted trees; nulls stay nulls.
+BOOSTED = (*TRAINER_NUMERIC, *CYCLIC, "is_holiday", "city_code")
 
-    return GBTRegressor(maxIter=rounds, stepSize=0.05, maxDepth=5, minInstancesPerNode=20, seed=seed).fit(_assembled(train, prep))
+
+def with_city_code(rows: DataFrame, cities: list[str]) -> DataFrame:
+    """`rows` with the city's place in `cities`, from 0; -1 for others."""
+    return rows.withColumn("city_code", F.coalesce(F.array_position(F.array(*[F.lit(c) for c in cities]).cast("array<string>"), F.col("city")), F.lit(0)) - 1)
+
+
+def boosted(train: DataFrame, val: DataFrame, how: boosting.Boosting = boosting.Boosting()) -> DataFrame:
+    """city, hour_ts, actual and prediction of `val` by boosted trees (`operators.boosting`) of `train`."""
+    cities = [r.city for r in train.where("city IS NOT NULL").select("city").distinct().orderBy("city").collect()]  # a row a city
+    model = boosting.fit(with_city_code(train, cities), BOOSTED, TARGET, how)
+    rows = with_city_code(val.where(F.col(TARGET).isNotNull()), cities).withColumn("actual", F.col(TARGET).cast("double"))
+    return model.transform(rows, ["city", "hour_ts", "actual"])
 
 
 def predicted(model, rows: DataFrame, prep: Preparation) -> DataFrame:
