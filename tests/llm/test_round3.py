@@ -135,6 +135,8 @@ def test_middle_of_odd_rows(spark, odd_docs):
         assert fill_in_middle.restored(r.output, r.form) == (r.text or "") and r.restored_sha256 == fill_in_middle.digest(r.text or "")
     assert {r.form for r in rows if not r.text} == {"plain"} and all(r.n == 0 for r in rows if not r.text)
     assert fill_in_middle.judge(odd_docs.limit(0)).count() == 0
+    again = fill_in_middle.transform(odd_docs.withColumn("fim", F.lit(1)))
+    assert again.dtypes == got.dtypes and again.count() == len(rows)
 
 
 # Delta Lloyd

@@ -11,7 +11,8 @@ Defined cases
 - null doc_id: drawn from the salt alone. Negative ids: with their sign.
 - long texts: whole; the array takes four bytes a unit. Ties (both cuts at one unit): an empty middle.
 - repeated rows: each is transformed, to the same output. Empty table: no rows.
-- extra columns: `transform` keeps them, whatever their names; the new ones are in a struct, under a name of the caller's.
+- extra columns: `transform` keeps them, whatever their names; the new ones are in a struct, under a name of the caller's, in the
+  place of a column that has it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns_of, quoted
+from tidemark.llm.common import quoted
 
 UNIT = regex.compile(r"[A-Za-z]+|[^A-Za-z]")
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -98,7 +99,8 @@ def _transformed(how: Form) -> Callable[[pd.Series, pd.Series], pd.DataFrame]:
 def transform(docs: DataFrame, how: Form = Form(), into: str = "fim") -> DataFrame:
     """`docs` with a struct `into`: n, form, prefix_chars, middle_chars, output, and the digests of the output and of the text rebuilt from it."""
     made = F.pandas_udf(_transformed(how), OUTPUT)
-    return docs.select(*columns_of(docs.drop(quoted(into)) if into in docs.columns else docs), made(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias(into))
+    kept = [F.col(quoted(c)) for c in docs.columns if c != into]
+    return docs.select(*kept, made(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias(into))
 
 
 def judge(docs: DataFrame, how: Form = Form()) -> DataFrame:
