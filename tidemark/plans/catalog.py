@@ -367,7 +367,7 @@ _SPLIT = "hour_ts < TIMESTAMP '2024-01-15'"
 
 
 def _halves(d):
-    return d.mart.where("hour_ts < TIMESTAMP_NTZ '2024-01-15'"), d.mart.where("hour_ts >= TIMESTAMP_NTZ '2024-01-15'")
+    return d.stored_mart.where("hour_ts < TIMESTAMP_NTZ '2024-01-15'"), d.stored_mart.where("hour_ts >= TIMESTAMP_NTZ '2024-01-15'")
 
 
 def _psi_sql(c: str) -> str:

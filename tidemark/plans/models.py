@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
 @query("ml_hgb")
 def _(d):
     """Boosted trees at full size: 300 rounds of 31 leaves."""
-    return training.boosted(*training.split(d.mart, 7))
+    return training.boosted(*training.split(d.stored_mart, 7))
 
 
 # The registry and the gates
@@ -50,7 +50,7 @@ def gated(d: Domain) -> tuple[Registry, list[tuple[str, int, str]]]:
     At the end a version without readable parameters gets into Production, and the first candidate comes again.
     """
     registry = Registry(d.spark, fresh(d.spark, "registry"))
-    train, val = training.split(d.mart, 7)
+    train, val = training.split(d.stored_mart, 7)
     halves = _halves(d)
     rows = quality.psi_numeric(*halves, *WEATHER).unionByName(quality.psi_categorical(*halves, "city"))
     psi = {row["feature"]: row["psi"] for row in rows.collect()}  # four features
@@ -113,7 +113,7 @@ def _(d):
     """Triggers by the drift report, one after another: one within the cooldown, one while a dead job's lease lasts, one on few rows."""
     scores = {r["feature_name"]: (r["drift_score"], r["drift_detected"]) for r in halves_report(d).collect()}  # a row a feature
     lease, registry, out = Lease(d.spark, fresh(d.spark, "lease"), minutes=400), Registry(d.spark, fresh(d.spark, "registry")), []
-    train, _val = training.split(d.mart, 7)
+    train, _val = training.split(d.stored_mart, 7)
     for owner, minutes, n in _TRIGGERS:
         now = _AS_OF + timedelta(minutes=minutes)
         if owner == "dead":  # takes the lease and is never heard of again
@@ -121,7 +121,7 @@ def _(d):
             continue
         cooldown = 0 if owner == "blocked" else 360
         fit = lambda: registry.register(owner, None, training.line(train, _CANDIDATES[0]), now)  # noqa: B023, E731
-        out.append((owner, training.retrain(lease, owner, scores, d.mart if n is None else d.mart.limit(n), now, fit, cooldown_minutes=cooldown)))
+        out.append((owner, training.retrain(lease, owner, scores, d.stored_mart if n is None else d.stored_mart.limit(n), now, fit, cooldown_minutes=cooldown)))
     return d.spark.createDataFrame(out, "owner string, outcome string")
 
 

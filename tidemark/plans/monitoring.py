@@ -169,8 +169,8 @@ def _(d):
 
 def hourly_scores(d: Domain) -> DataFrame:
     """city, t, v: how far an hour's demand is from the city's mean; hours without demand have none."""
-    mean = d.mart.groupBy("city").agg(F.avg("total_demand").alias("mean"))
-    return d.mart.join(mean, "city").select("city", F.expr("CAST(unix_micros(CAST(hour_ts AS timestamp)) DIV 1000000 AS bigint)").alias("t"), F.abs(F.col("total_demand") / F.col("mean") - 1).alias("v"))
+    mean = d.stored_mart.groupBy("city").agg(F.avg("total_demand").alias("mean"))
+    return d.stored_mart.join(mean, "city").select("city", F.expr("CAST(unix_micros(CAST(hour_ts AS timestamp)) DIV 1000000 AS bigint)").alias("t"), F.abs(F.col("total_demand") / F.col("mean") - 1).alias("v"))
 
 
 _HOURLY = ", hs AS (SELECT city, epoch(hour_ts)::bigint AS t, abs(total_demand / avg(total_demand) OVER (PARTITION BY city) - 1) AS v FROM mart)"

@@ -334,13 +334,13 @@ def _(d):
 
 @query("ml_split", "SELECT part, count(*) AS n, min(hour_ts) AS first_at FROM (SELECT hour_ts, CASE WHEN hour_ts >= (SELECT max(hour_ts) FROM mart) - interval 7 day THEN 'val' ELSE 'train' END AS part FROM mart) GROUP BY 1")
 def _(d):
-    parts = [p.withColumn("part", F.lit(n)) for p, n in zip(training.split(d.mart, 7), ("train", "val"), strict=True)]
+    parts = [p.withColumn("part", F.lit(n)) for p, n in zip(training.split(d.stored_mart, 7), ("train", "val"), strict=True)]
     return reduce(DataFrame.unionByName, parts).groupBy("part").agg(F.count("*").alias("n"), F.min("hour_ts").alias("first_at"))
 
 
 @query("ml_naive", "SELECT city, hour_ts, round(coalesce(demand_lag_24h, (SELECT quantile_cont(total_demand, 0.5) FROM mart WHERE hour_ts < (SELECT max(hour_ts) FROM mart) - interval 7 day)), 6) AS prediction FROM mart WHERE hour_ts >= (SELECT max(hour_ts) FROM mart) - interval 7 day")
 def _(d):
-    return training.naive(*training.split(d.mart, 7)).select("city", "hour_ts", *r("prediction"))
+    return training.naive(*training.split(d.stored_mart, 7)).select("city", "hour_ts", *r("prediction"))
 
 
 _Z = training.TRAINER_NUMERIC
@@ -349,8 +349,8 @@ _FILLED = "(SELECT city, hour_ts, " + ", ".join(f"coalesce({c}::double, (SELECT
 
 @query("ml_prep", "SELECT hour_ts, city, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 5) + 0.0::double AS z_{c}" for c in _Z) + f" FROM {_FILLED}")
 def _(d):
-    prep = training.fit_preparation(d.mart)
-    return prep.transform(d.mart, ("hour_ts", "city")).select(F.col("key_hour_ts").alias("hour_ts"), F.col("key_city").alias("city"), *r(*[f"z_{c}" for c in _Z], n=5))
+    prep = training.fit_preparation(d.stored_mart)
+    return prep.transform(d.stored_mart, ("hour_ts", "city")).select(F.col("key_hour_ts").alias("hour_ts"), F.col("key_city").alias("city"), *r(*[f"z_{c}" for c in _Z], n=5))
 
 
 @query("ml_fit_once", "SELECT 'demand_lag_1h' AS feature, round(quantile_cont(demand_lag_1h, 0.5), 6) + 0.0::double AS median FROM mart")
@@ -376,11 +376,11 @@ _THERE = " AND ".join(f"{c} IS NOT NULL" for c in _SC)
 
 @query("ml_scaler", "SELECT city, hour_ts, " + ", ".join(f"round(CASE WHEN {_THERE} THEN ({c} - (SELECT avg({c}) FROM mart WHERE {_THERE})) / (SELECT stddev_pop({c}) FROM mart WHERE {_THERE}) ELSE {c} END, 5) + 0.0::double AS {c}" for c in _SC) + " FROM mart")
 def _(d):
-    return training.scaled(d.mart, *training.complete_scaler(d.mart, _SC)).select("city", "hour_ts", *r(*_SC, n=5))
+    return training.scaled(d.stored_mart, *training.complete_scaler(d.stored_mart, _SC)).select("city", "hour_ts", *r(*_SC, n=5))
 
 
 def _trained(d: Domain, fit) -> DataFrame:
-    train, val = training.split(d.mart, 7)
+    train, val = training.split(d.stored_mart, 7)
     prep = training.fit_preparation(train)
     return training.predicted(fit(train, prep), val, prep)
 
@@ -399,7 +399,7 @@ _ERRORS = " UNION ALL ".join(
 
 def _errors(d: Domain) -> dict[str, float]:
     """Validation errors (mae) of the baseline and of a line through each candidate feature."""
-    train, val = training.split(d.mart, 7)
+    train, val = training.split(d.stored_mart, 7)
     lines = train.agg(*[f(training.TARGET, c).alias(f"{n}_{c}") for c in _CANDIDATES for n, f in (("s", F.regr_slope), ("i", F.regr_intercept))]).first()
     gaps = [F.avg(F.abs(F.col(training.TARGET) - (F.lit(lines[f"i_{c}"]) + F.lit(lines[f"s_{c}"]) * F.col(c)))).alias(c) for c in _CANDIDATES]
     of = val.agg(*gaps).first().asDict()
@@ -425,7 +425,7 @@ _KS = " UNION ALL ".join(
 @query("ml_ks", _KS)
 def _(d):
     cut = "TIMESTAMP_NTZ '2024-01-15'"
-    return quality.ks_statistic(d.mart.where(f"hour_ts < {cut}"), d.mart.where(f"hour_ts >= {cut}"), *WEATHER).select("feature", *r("ks"))
+    return quality.ks_statistic(d.stored_mart.where(f"hour_ts < {cut}"), d.stored_mart.where(f"hour_ts >= {cut}"), *WEATHER).select("feature", *r("ks"))
 
 # Serving
 
@@ -517,7 +517,7 @@ def _(d):
 
 @query("sv_shadow")
 def _(d):
-    train, val = training.split(d.mart, 7)
+    train, val = training.split(d.stored_mart, 7)
     prep = training.fit_preparation(train)
     one = training.predicted(training.fit_ridge(train, prep), val, prep)
     two = training.predicted(training.fit_ridge(train, prep, alpha=100.0), val, prep).select("city", "hour_ts", F.col("prediction").alias("shadow"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import holiday_table
 from tidemark.operators import marts, staging
 from tidemark.session import in_utc
+from tidemark.sources.paths import written
 
 CITIES = ("london", "new_york", "tokyo", "sydney", "dubai")
 TYPES = {"view": "search", "purchase": "booking", "error": "cancellation"}
@@ -85,6 +86,11 @@ class Domain:
     def mart(self) -> DataFrame:
         return marts.city_hour_features(self.demand_hourly, self.weather_hourly, self.holidays)
 
+    @cached_property
+    def stored_mart(self) -> DataFrame:
+        """The mart written and read again, for jobs that read it several times."""
+        return written(self.mart, "mart")
+
     @cached_property
     def prediction_features(self) -> DataFrame:
         """What serving would have logged, with stale rows, overrides and defects put in by rule."""
