@@ -232,17 +232,14 @@ def test_a_list_of_thousands_hits_and_its_false_positives_go(spark):
     assert 0 < false < 0.02 * 8_000
 
 
-def test_a_line_in_a_third_of_all_texts_is_split(spark, make_docs, monkeypatch):
+def test_a_line_in_a_third_of_all_texts(make_docs):
     from tests.llm.conftest import prose
     from tidemark.llm import line_dedup
 
     hot, near = "this very line is in a third of all texts", "this very line is in a third of all tests"
     texts = [(hot + "\n" if k % 3 == 0 else near + "\n" if k == 100 else "") + prose(k, 30) for k in range(150)]
-    want = {r.doc_id: r.removed for r in line_dedup.judge(make_docs(texts)).collect()}
-    monkeypatch.setattr(line_dedup, "HOT", 5)
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
-    assert {r.doc_id: r.removed for r in line_dedup.judge(make_docs(texts)).collect()} == want
-    assert want[0] == [] and want[3] == [0] and want[100] == [0] and sum(map(len, want.values())) == 50
+    got = {r.doc_id: r.removed for r in line_dedup.judge(make_docs(texts)).collect()}
+    assert got[0] == [] and got[3] == [0] and got[100] == [0] and sum(map(len, got.values())) == 50
 
 
 @pytest.mark.parametrize("places", [100_000, 0])
