@@ -31,36 +31,48 @@ def with_slots(rows: DataFrame) -> DataFrame:
     return at.withColumn("own", F.col("slot") == F.col("at")).drop("at")
 
 
+def _counted(rows: DataFrame, windows: tuple[tuple[str, str | None, int], ...]) -> DataFrame:
+    """Of `rows` (route_id, slot, t, kind, member, event, asked, others) those that ask, with the counts of `windows` at their times.
+
+    An id is in a window from its event on until the window has left the event behind or the id comes again, so that it
+    counts once. At that time a row stands that takes it out, and every count is a running sum: a row costs the same
+    however many events a window has. A window of kind None counts all events. All of it is one exchange by (route, slot).
+    """
+    after = Window.partitionBy("route_id", "slot", "kind", "member").orderBy("t")
+    placed = rows.repartition("route_id", "slot").withColumn("next", F.when(F.col("kind").isNotNull(), F.lead("t").over(after)))
+    inside = [F.coalesce(F.col("event") if k is None else F.col("kind") == k, F.lit(False)) for _, k, _ in windows]
+    count = lambda by: [by(i).cast("int").alias(f"n{i}") for i in range(len(windows))]
+    steps = [F.struct("t", "asked", *count(lambda i: inside[i]))]
+    for j, (_, k, w) in enumerate(windows):
+        end = F.col("t") + w * MICRO + 1
+        out = F.struct((end if k is None else F.least(end, F.col("next"))).alias("t"), F.lit(False).alias("asked"), *count(lambda i: F.lit(-1 if i == j else 0)))  # noqa: B023
+        steps.append(F.when(inside[j], out))
+    others = [c for c in rows.columns if c not in ("t", "kind", "member", "event", "asked")]
+    marked = placed.select(*others, F.explode(F.array_compact(F.array(*steps))).alias("x")).select(*others, "x.*")
+    so_far = Window.partitionBy("route_id", "slot").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = marked.select(*others, "asked", *[F.sum(f"n{i}").over(so_far).alias(name) for i, (name, _, _) in enumerate(windows)])
+    return counted.where("asked").drop("asked", "slot").withColumn("look_to_book_1h", look_to_book("bookings_1h", "searches_1h"))
+
+
+def _timed(events: DataFrame, *also: str) -> DataFrame:
+    """The events that have a route and a time, in slots: t, and kind and member (the id) of those that count in a window."""
+    member = F.col("event_type").isin("search", "booking") & F.col("event_id").isNotNull()
+    clean = events.where(F.col("city").isNotNull() & F.col("sim_ts").isNotNull())
+    return with_slots(clean.select(F.col("city").alias("route_id"), *also, F.when(member, F.col("event_type")).alias("kind"), F.when(member, F.col("event_id")).alias("member"), micros("sim_ts").alias("t"), F.lit(True).alias("event")))
+
+
+def micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def sliding_features(events: DataFrame) -> DataFrame:
     """For every event how many searches and bookings of its route are in the windows that end at it, and their ratio.
 
     An id counts once in a window, however often it is in it; events without id get windows but count in none, as in a
-    replay. A window counts its events, less those whose id it has had already: of two events with an id, from the
-    second one on until the first one has left, which is a running sum. All of it is one exchange by (route, SLOT hours), in
-    which the events of a slot's last hour also stand before the next one's, so that a route is cut into as many tasks
+    replay. The events of a slot's last hour also stand before the next one's, so that a route is cut into as many tasks
     as it has slots.
     """
-    clean = events.where(F.col("city").isNotNull() & F.col("sim_ts").isNotNull())
-    member = F.col("event_type").isin("search", "booking") & F.col("event_id").isNotNull()
-    timed = clean.select(F.col("city").alias("route_id"), "id", "sim_ts", F.when(member, F.col("event_type")).alias("kind"), F.when(member, F.col("event_id")).alias("member"), F.unix_micros(F.col("sim_ts").cast("timestamp")).alias("t"))
-    placed = with_slots(timed).repartition("route_id", "slot")
-    before = Window.partitionBy("route_id", "slot", "kind", "member").orderBy("t", "id")
-    rows = placed.withColumn("prev", F.when(F.col("kind").isNotNull(), F.lag("t").over(before)))
-    again = [F.coalesce((F.col("kind") == k) & (F.col("t") - F.col("prev") <= w * MICRO), F.lit(False)) for _, k, w in WINDOWS]
-    row = F.struct(F.col("t").alias("t"), F.col("kind"), F.array(*[a.cast("int") for a in again]).alias("off"), F.lit(True).alias("event"))
-    ends = [
-        F.when(a, F.struct((F.col("prev") + w * MICRO + 1).alias("t"), F.lit(None).cast("string").alias("kind"), F.array(*[F.lit(-1 if j == i else 0) for j in range(len(WINDOWS))]).alias("off"), F.lit(False).alias("event")))
-        for i, (a, (_, _, w)) in enumerate(zip(again, WINDOWS, strict=True))
-    ]
-    marked = rows.select("route_id", "slot", "own", "id", "sim_ts", F.explode(F.array_compact(F.array(row, *ends))).alias("x")).select("route_id", "slot", "own", "id", "sim_ts", "x.*")
-    by_time = Window.partitionBy("route_id", "slot").orderBy("t")
-
-    def over(i: int, kind: str, seconds: int) -> Column:
-        repeated = F.sum(F.get("off", F.lit(i))).over(by_time.rangeBetween(Window.unboundedPreceding, 0))
-        return F.count_if(F.col("kind") == kind).over(by_time.rangeBetween(-seconds * MICRO, 0)) - repeated
-
-    counted = marked.select("route_id", "id", "sim_ts", *[over(i, k, w).alias(name) for i, (name, k, w) in enumerate(WINDOWS)], (F.col("own") & F.col("event")).alias("counts"))
-    return counted.where("counts").drop("counts").withColumn("look_to_book_1h", look_to_book("bookings_1h", "searches_1h"))
+    return _counted(_timed(events, "id", "sim_ts").withColumnRenamed("own", "asked"), WINDOWS)
 
 
 def look_to_book(bookings: str, searches: str) -> Column:
@@ -70,25 +82,15 @@ def look_to_book(bookings: str, searches: str) -> Column:
 def reconstruct(events: DataFrame, asks: DataFrame) -> DataFrame:
     """The windows as they stood at (route_id, at) of each row of `asks`, from the events alone.
 
-    An ask reads the hours that its longest window touches: each ask becomes an equi-join on (route, hour), so many
-    asks are one job, and a partitioned lake is pruned to their hours.
+    Asks stand among the events of their slot and its hour before, so that any number of them, however many events their
+    windows hold, is one sorted union. Slots without an ask are left out before. An ask without events gets no row.
     """
-    hours = asks.select("route_id", "at", F.explode(F.array((epoch(F.col("at")) / 3600).cast("long"), (epoch(F.col("at")) / 3600).cast("long") - 1)).alias("slot"))
-    rows = events.select(F.col("city").alias("route_id"), "event_id", "event_type", epoch(F.col("sim_ts")).alias("t"), (epoch(F.col("sim_ts")) / 3600).cast("long").alias("slot"))
-    end = epoch(F.col("at"))
-    found = hours.join(rows, ["route_id", "slot"]).where((F.col("t") <= end) & (F.col("t") >= end - LONG))
-
-    def distinct(kind: str, seconds: int) -> Column:
-        return F.count_distinct(F.when((F.col("event_type") == kind) & (F.col("t") >= end - seconds), F.col("event_id")))
-
-    counted = found.groupBy("route_id", "at").agg(
-        distinct("search", SHORT).alias("searches_5m"),
-        distinct("booking", MIDDLE).alias("bookings_15m"),
-        distinct("search", LONG).alias("searches_1h"),
-        distinct("booking", LONG).alias("bookings_1h"),
-        F.count("*").alias("rows_scanned"),
-    )
-    return counted.withColumn("look_to_book_1h", look_to_book("bookings_1h", "searches_1h"))
+    blank = lambda kind: F.lit(None).cast(kind)
+    asked = asks.select("route_id", "at", micros("at").alias("t")).where("t IS NOT NULL").distinct()
+    asked = asked.withColumns({"slot": F.floor(F.col("t") / (SLOT * LONG * MICRO)), "kind": blank("string"), "member": blank("string"), "event": F.lit(False), "asked": F.lit(True)})
+    rows = _timed(events).drop("own").join(asked.select("route_id", "slot").distinct(), ["route_id", "slot"], "left_semi")
+    rows = rows.withColumns({"at": blank(asks.schema["at"].dataType), "asked": F.lit(False)})
+    return _counted(rows.unionByName(asked), (*WINDOWS, ("rows_scanned", None, LONG))).where("rows_scanned > 0")
 
 
 def verify(rebuilt: DataFrame, served: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-3) -> DataFrame:
