@@ -141,6 +141,19 @@ def test_envelope_null_value_passes_but_missing_key_fails(spark):
     assert all(bytes(r.key) == b"k" for r in dead.collect())
 
 
+def test_a_message_is_written_and_parsed_once(spark, sf_dir):
+    """Neither the reasons nor the fields cost another parse; a null and an empty value are one dead letter each."""
+    d = Domain(spark, sf_dir)
+    valid, dead = envelope.split(more.messages(d), "demand")
+    for df in (envelope.demand_rows(valid), dead):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.count("StructsToJsonEvaluator") == 2 and plan.count("Relation [") == 1
+    assert valid.count() + dead.count() == d.demand_events.count()
+    odd = spark.createDataFrame([(bytearray(b"k"), None), (bytearray(b"k"), bytearray()), (bytearray(b"k"), bytearray(b"[]")), (None, bytearray(b"{}"))], "key binary, value binary")
+    valid, dead = envelope.split(odd, "demand")
+    assert valid.count() == 0 and [r.headers[0].value.decode() for r in dead.collect()] == ["malformed envelope"] * 4
+
+
 def test_store_failure_sends_the_batch_to_dead_letters(spark, sf_dir, monkeypatch):
     def broken(*_a, **_k):
         raise StoreError("no store")
