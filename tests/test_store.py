@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import threading
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import online
 from tidemark.plans import more
-from tidemark.sources import lake, paths, tables
+from tidemark.sources import lake, paths, snapshots, tables
 from tidemark.sources.domain import Domain
 from tidemark.sources.paths import delete, fresh
 from tidemark.sources.snapshots import PART, Conflict, Store, StoreError, VersionLog
@@ -44,6 +45,20 @@ def test_a_batch_that_runs_again_changes_nothing(spark):
     assert store.count("t") == 2 and store.version() == 2 and store.applied("stream") == 1 and store.applied("other") == -1
 
 
+def test_an_insert_writes_its_tables_at_once_and_nothing_beside_them(spark, monkeypatch):
+    """A micro-batch is a few short jobs: no table on the way, and a table does not wait for another to be staged."""
+    store, beside, both = Store(spark, fresh(spark, "s")), [], threading.Barrier(2, timeout=60)
+    monkeypatch.setattr(snapshots, "written", lambda df, name: beside.append(name) or paths.written(df, name))
+    stage = Store.stage
+    monkeypatch.setattr(Store, "stage", lambda self, *a, **k: both.wait() and None or stage(self, *a, **k))
+    dead = spark.createDataFrame([("x", 0)], KV)
+    for n, keys in enumerate(("ab", "bc")):
+        rows = spark.createDataFrame([(k, n) for k in keys], KV)
+        store.insert_ignore("t", rows, "k", batch=("stream", n), also={"dead": dead})
+    assert rows_of(store.read("t")) == [("a", 0), ("b", 0), ("c", 1)] and store.count("t") == 3 and store.count("dead") == 2
+    assert not beside
+
+
 def test_several_tables_are_committed_together(spark, monkeypatch):
     store, rows = Store(spark, fresh(spark, "s")), spark.createDataFrame([("a", 1)], KV)
     store.append({"log": rows, "features": rows})
