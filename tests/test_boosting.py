@@ -93,3 +93,13 @@ def test_trees_beat_the_baseline_on_the_holdout(spark, sf_dir):
     train, val = training.split(Domain(spark, sf_dir).mart, 7)
     errors = training.metrics(training.boosted(train, val, boosting.Boosting(rounds=40)), "actual", "prediction").first()
     assert errors.mae < 0.9 * training.metrics(training.naive(train, val), "total_demand", "prediction").first().mae
+
+
+def test_few_rows_are_one_task_of_a_step_and_the_trees_do_not_depend_on_it(spark, monkeypatch):
+    rows = spark.range(0, 400, 1, 12).selectExpr("cast(id % 37 as double) AS a", "cast(id * id % 101 as double) AS y")
+    blocks, parts, trees = boosting._blocks, [], []
+    monkeypatch.setattr(boosting, "_blocks", lambda *a: parts.append((held := blocks(*a)).getNumPartitions()) or held)
+    for most in (boosting.TASK_ROWS, 100):
+        monkeypatch.setattr(boosting, "TASK_ROWS", most)
+        trees.append(boosting.fit(rows, ("a",), "y", boosting.Boosting(rounds=2, leaves=4)).trees)
+    assert parts[0] == 1 < parts[1] and trees[0] == trees[1]

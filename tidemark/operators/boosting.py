@@ -31,6 +31,8 @@ from tidemark.sources.paths import written
 
 SCALE = 24
 STORED = 25
+#: Rows that a task of a step has at least: fewer do not pay for it.
+TASK_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -179,15 +181,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _blocks(stored: DataFrame, width: int) -> RDD:
-    """The stored rows as arrays (bins, y, f), held by the executors for the rounds that read them; what is lost is read again."""
+def _blocks(stored: DataFrame, width: int, tasks: int) -> RDD:
+    """The stored rows as arrays (bins, y, f), held by the executors in so many tasks at most for the rounds that read them; what is lost is read again."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = _matrix(batch.column("bins"), width).astype(np.int16), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "f"))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held)], pa.binary())], ["block"])
 
-    return stored.mapInArrow(packed, "block binary").rdd.map(lambda r: pickle.loads(r.block)).persist(StorageLevel.MEMORY_AND_DISK)
+    return stored.coalesce(tasks).mapInArrow(packed, "block binary").rdd.map(lambda r: pickle.loads(r.block)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit(rows: DataFrame, columns: tuple[str, ...], target: str, how: Boosting = Boosting()) -> Model:
@@ -196,7 +198,9 @@ def fit(rows: DataFrame, columns: tuple[str, ...], target: str, how: Boosting =
     known = written(known, "boosting-rows")
     found = {r["feature"]: r["quantiles"] for r in quantiles(ranked(known, known.limit(0), columns), how.bins).collect()}  # a row a column
     edges = [np.unique(np.array(found.get(c) or [0.0]))[:-1] for c in columns]
-    model = Model(columns, edges, known.agg(F.coalesce(F.avg("_y"), F.lit(0.0))).first()[0], [])
+    mean, n_rows = known.agg(F.coalesce(F.avg("_y"), F.lit(0.0)), F.count("*")).first()
+    model = Model(columns, edges, mean, [])
+    tasks = n_rows // TASK_ROWS + 1
     width, cells = len(columns), how.bins + 2
 
     def ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +210,7 @@ def fit(rows: DataFrame, columns: tuple[str, ...], target: str, how: Boosting =
             yield pa.RecordBatch.from_arrays([listed, batch.column("_y"), pa.array(np.full(len(bins), model.start))], ["bins", "y", "f"])
 
     stored = written(known.select(F.array(*columns).alias("_x"), "_y").mapInArrow(ready, "bins array<short>, y double, f double"), "boosting-bins")
-    blocks, since = _blocks(stored, width), []
+    blocks, since = _blocks(stored, width, tasks), []
 
     def sums_of(tree: Tree, nodes: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         size = len(nodes) * width * cells
@@ -245,6 +249,6 @@ def fit(rows: DataFrame, columns: tuple[str, ...], target: str, how: Boosting =
 
             stored = written(stored.mapInArrow(further, "bins array<short>, y double, f double"), "boosting-bins")
             blocks.unpersist()
-            blocks, since = _blocks(stored, width), []
+            blocks, since = _blocks(stored, width, tasks), []
     blocks.unpersist()
     return model
