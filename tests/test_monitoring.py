@@ -206,3 +206,10 @@ def test_a_prediction_is_logged_in_two_rows_or_none(spark, monkeypatch):
     more = lambda df, *rest: df.unionByName(spark.createDataFrame([("r9", *rest)], df.schema))
     models.log_predictions(store, more(log, [3.0]), more(features, 4.0))
     assert both() == (4, 4)
+
+
+def test_no_step_of_a_log_commit_reads_the_events(spark, sf_dir, monkeypatch):
+    read, commit = [], models.log_predictions
+    monkeypatch.setattr(models, "log_predictions", lambda store, log, features: read.extend(log.inputFiles() + features.inputFiles()) or commit(store, log, features))
+    assert models.QUERIES["sv_log"](spark, sf_dir).count() == 10
+    assert read and not [f for f in read if sf_dir in f]

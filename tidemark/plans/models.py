@@ -15,7 +15,7 @@ from tidemark.plans.monitoring import HALVES_SQL, halves_report
 from tidemark.plans.more import _AS_OF, _CANDIDATES, _CUT, _LAST_SLIDE, _LAST_WX, GATE_PSI, _base, _store
 from tidemark.plans.views_sql import VIEWS
 from tidemark.sources.domain import Domain
-from tidemark.sources.paths import fresh
+from tidemark.sources.paths import fresh, together, written
 from tidemark.sources.registry_log import PRODUCTION, STAGING, Lease, Registry
 from tidemark.sources.snapshots import Store
 
@@ -131,10 +131,19 @@ LOG, FEATURES = "prediction_log", "prediction_features"
 HORIZON = 48
 
 
-def predictions(d: Domain, as_of: datetime) -> tuple[DataFrame, DataFrame]:
+def served(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """What requests are answered from, written once: the last mart row of each city and the online hash of each route.
+
+    A commit runs its rows several times (the keys it looks up, both tables), so they must not have the events below them.
+    """
+    base, hashes = together(d.spark, lambda: written(_base(d), "last-rows"), lambda: written(_store(d), "online-hashes"))
+    return base, hashes
+
+
+def predictions(base: DataFrame, hashes: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
     """A request a city: its row of the log (forecasts of both models, what was missing online) and its row of features (those of step 0)."""
-    base = _base(d).withColumn("mart_hour_ts", F.col("hour_ts"))
-    live = online.online_overlay(base.select(F.col("city").alias("route_id")), _store(d), as_of).select(F.col("route_id").alias("city"), "age_seconds", "missing", "stale")
+    base = base.withColumn("mart_hour_ts", F.col("hour_ts"))
+    live = online.online_overlay(base.select(F.col("city").alias("route_id")), hashes, as_of).select(F.col("route_id").alias("city"), "age_seconds", "missing", "stale")
     steps = online.horizon_rows(base, HORIZON, as_of)
     request = F.sha2(F.concat_ws("|", "city", F.lit(as_of.isoformat())), 256).alias("request_id")
     series = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("step", F.col(c).alias("p")))), lambda x: x["p"])
@@ -165,9 +174,10 @@ def log_predictions(store: Store, log: DataFrame, features: DataFrame, batch: tu
 def _(d):
     """Two rounds of requests, of which the first is sent again with the second; the rows of both tables by request."""
     store = Store(d.spark, fresh(d.spark, "predictions"))
-    log, features = predictions(d, _AS_OF)
+    base, hashes = served(d)
+    log, features = predictions(base, hashes, _AS_OF)
     log_predictions(store, log, features)
-    later = predictions(d, _AS_OF + timedelta(hours=1))
+    later = predictions(base, hashes, _AS_OF + timedelta(hours=1))
     log_predictions(store, log.unionByName(later[0]), features.unionByName(later[1]))
     both = store.read(LOG).join(store.read(FEATURES).drop("city", "requested_at"), "request_id")
     return both.select(
