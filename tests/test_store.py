@@ -194,6 +194,54 @@ def test_a_fault_of_the_plan_is_no_dead_letter(spark, sf_dir, monkeypatch):
     assert Store(spark, path).version() == 0
 
 
+def test_small_batches_take_few_jobs_and_leave_few_files(spark, sf_dir, monkeypatch):
+    """What a micro-batch costs does not grow with the number of those before it, and no key is lost on the way to its bucket."""
+    monkeypatch.setattr(snapshots, "FEW_FILES", 2)
+    monkeypatch.setattr(snapshots, "FEW_ROWS", 120)  # two batches' rows are more
+    stream, path, dealt, jobs = topic(spark, sf_dir, 100), fresh(spark, "store"), [], []
+    stage, tidy = Store.stage, Store.tidy
+    ran = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(spark.streams.active[0].runId)))
+    monkeypatch.setattr(Store, "stage", lambda self, name, *a, **k: dealt.append(name) or stage(self, name, *a, **k))
+    monkeypatch.setattr(Store, "tidy", lambda self, *a, **k: jobs.append(ran()) or tidy(self, *a, **k) and jobs.append(ran()))
+    streams.ingest(stream(), "demand", path, fresh(spark, "p"), at_most=100).awaitTermination()
+    store = Store(spark, path)
+    assert counts(store) == (864, 136) and dealt.count("demand") >= 2
+    files = {n: store.manifest().where(F.col("name") == n).count() for n in ("demand", streams.DEAD)}
+    assert files["demand"] <= 2 + 2 + 2 * 16 and files[streams.DEAD] <= 2 + 2 + 2  # of 10 batches, each of which was 16 files
+    assert max(after - before for before, after in zip([0, *jobs[1::2]], jobs[::2])) <= 15  # noqa: B905
+    assert store.read("demand").select("event_id").distinct().count() == 864 and store.read(streams.DEAD).count() == 136
+    # All are known to a large batch too, wherever they are now.
+    streams.ingest(more.messages(more.Live(spark, sf_dir)), "demand", path, fresh(spark, "p")).awaitTermination()
+    assert counts(store) == (864, 272)
+
+
+def test_a_repeated_id_in_small_batches_is_one_row(spark):
+    path, point = fresh(spark, "store"), fresh(spark, "p")
+    value = lambda i: f'{{"schema_version": 1, "event_id": "{i}", "produced_at": "x", "payload": {{"city": "x", "event_type": "search", "sim_ts": "2024-01-01T00:00:00", "quantity": "1"}}}}'
+    folder = fresh(spark, "topic")
+    for ids in (["a", "b", "a"], ["b", "c"], []):
+        rows = [(bytearray(b"k"), bytearray(value(i).encode())) for i in ids] or [(None, None)]
+        spark.createDataFrame(rows, "key binary, value binary").coalesce(1).write.mode("append").parquet(folder)
+    streams.ingest(streams.envelope.from_files(spark, folder, spark.read.parquet(folder).schema), "demand", path, point, at_most=3).awaitTermination()
+    store = Store(spark, path)
+    assert sorted(r.event_id for r in store.read("demand").collect()) == ["a", "b", "c"] and store.count(streams.DEAD) == 1 and store.version() == 3
+
+
+def test_a_small_batch_fails_as_a_large_one_does(spark, sf_dir, monkeypatch):
+    stream, path = topic(spark, sf_dir, 400), fresh(spark, "store")
+    with monkeypatch.context() as patch:
+        patch.setattr(streams.envelope, "demand_rows", lambda valid: valid.select(F.expr("raise_error('a bug')").cast("string").alias("event_id")))
+        with pytest.raises(Exception, match="a bug"):
+            streams.ingest(stream(), "demand", path, fresh(spark, "p"), at_most=400).awaitTermination()
+    assert Store(spark, path).version() == 0
+    with monkeypatch.context() as patch:
+        patch.setattr(Store, "insert_ignore", lambda *_a, **_k: (_ for _ in ()).throw(StoreError("no store")))
+        streams.ingest(stream(), "demand", path, fresh(spark, "p"), at_most=400).awaitTermination()
+    assert Store(spark, path).read(streams.DEAD).count() == 1000
+    streams.ingest(stream(), "demand", path, fresh(spark, "p"), at_most=400).awaitTermination()
+    assert counts(Store(spark, path)) == (864, 1136)
+
+
 # The lake
 
 
